@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from datetime import date, datetime
@@ -62,7 +63,7 @@ if __name__ == "__main__":
     import __spark_entry__ as e
     from wherry.session import build_session
 
-    s = build_session("local[8]", 8, **{"spark.driver.memory": "8g"})
+    s = build_session(os.environ.get("ORACLE_MASTER", "local[8]"), 8, **{"spark.driver.memory": "8g"})
     s.sparkContext.setLogLevel("ERROR")
     for n in sys.argv[2:] if len(sys.argv) > 2 else list(e.queries()):
         t = time.time()
