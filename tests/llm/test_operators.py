@@ -1,0 +1,377 @@
+"""The operators for training data against brute force, exact round trips and hand-made cases."""
+
+from __future__ import annotations
+
+import json
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from wherry.llm import canonical, conversations, cooccur, encoding, knn, leakage, mixing, queries, splitting
+
+SF = "/root/testdata/sf0.001"
+
+
+# ---- splitting -------------------------------------------------------------------------------------------------------------
+
+
+def check_pieces(text, limit, overlap):
+    got = splitting.split(text, limit, overlap)
+    assert got[0][0] == 0 and got[-1][1] == len(text)
+    for (s, e, _), (s2, e2, _) in zip(got, got[1:]):
+        assert s2 == max(0, e - overlap) and e2 > e
+    assert all(0 < e - s <= limit for s, e, _ in got)
+    return got
+
+
+def test_split_covers_texts_of_all_kinds():
+    rng = random.Random(3)
+    for _ in range(200):
+        words = ["".join(rng.choices("abcdefgäßж界🧵", k=rng.randint(1, 40))) for _ in range(rng.randint(1, 120))]
+        text = "".join(w + rng.choice([" ", ". ", "\n", "\n\n", "\n# ", "\n```\n"]) for w in words)
+        limit = rng.randint(60, 300)
+        check_pieces(text, limit, rng.randint(0, limit // 3))
+
+
+def test_split_prefers_strong_boundaries_and_keeps_graphemes():
+    text = "# A\n\n" + "word " * 60 + "\n\n# B\n\n" + "other " * 40
+    got = check_pieces(text, 400, 20)
+    assert text[got[0][1] :].startswith("# B")
+    long = "é" * 500
+    for s, e, at in check_pieces(long, 101, 0):
+        assert at in (splitting.HARD, splitting.HEADING)
+        assert e == len(long) or long[e] != "́"
+
+
+def test_split_small_and_empty():
+    assert splitting.split("") == []
+    assert splitting.split("short") == [(0, 5, splitting.HEADING)]
+    with pytest.raises(ValueError):
+        splitting.split("x" * 50, 10, 10)
+
+
+def test_newest_version_decides(spark):
+    rows = [("A/x.md", "y" * 7000, "2024-01-01"), ("a/X.md", "short", "2024-02-01"), ("b.md", "z " * 4000, "2024-01-01"), ("b.md", "z " * 4000, "2024-01-01"), (None, "q" * 9000, "2024-01-01"), ("c.md", None, "2024-01-01")]
+    df = spark.createDataFrame(rows, "path string, content string, modified string")
+    got = splitting.newest_oversized(df).collect()
+    assert [r["path"] for r in got] == ["b.md"]
+    p = splitting.pieces(splitting.newest_oversized(df), "path", "content").collect()
+    assert {r["kind"] for r in p} == {"soft"} and max(len(r["text"]) for r in p) <= 6000
+    assert splitting.pieces(df.limit(0), "path", "content").count() == 0
+
+
+# ---- co-occurrence -----------------------------------------------------------------------------------------------------------
+
+
+def brute_pairs(rows, least, lift):
+    baskets = defaultdict(set)
+    for b, i in rows:
+        if b is not None and i:
+            baskets[b].add(i)
+    n = Counter(i for s in baskets.values() for i in s)
+    pair = Counter((a, b) for s in baskets.values() for a in s for b in s if a < b)
+    N = len(baskets)
+    return {(a, b, c) for (a, b), c in pair.items() if c >= least and c * N >= lift * n[a] * n[b]}
+
+
+@pytest.mark.parametrize("big", [2000, 12])
+def test_pairs_against_brute_force_with_and_without_big_baskets(spark, monkeypatch, big):
+    monkeypatch.setattr(cooccur, "BIG", big)
+    monkeypatch.setattr(cooccur, "TILE", 5)
+    rng = random.Random(11)
+    rows = []
+    for b in range(220):
+        size = rng.choice([1, 2, 3, 5, 8]) if b % 20 else 40
+        base = rng.randint(0, 9) * 5
+        rows += [(f"b{b}", f"i{(base + rng.randint(0, 6)) % 60 if rng.random() < 0.8 else rng.randint(0, 59)}") for _ in range(size)]
+    rows += [("b1", None), (None, "i1"), ("b2", ""), ("b3", "i3"), ("b3", "i3")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "basket string, item string, n_ab int")
+    got = {(r["item_a"], r["item_b"], r["n_ab"]) for r in cooccur.together(df, "basket", "item", 4, 1.5).collect()}
+    assert got == brute_pairs(rows, 4, 1.5) and got
+
+
+def test_pairs_of_nothing(spark):
+    assert cooccur.together(spark.createDataFrame([], "basket string, item string"), "basket", "item").count() == 0
+
+
+def test_partners_are_ranked_by_significance(spark):
+    p = spark.createDataFrame([("a", "b", 5, 2.0, 9.0), ("a", "c", 5, 2.0, 9.0), ("a", "d", 9, 4.0, 20.0)], "item_a string, item_b string, n_ab int, lift double, llr double")
+    assert [r["partner"] for r in cooccur.rank_pairs(p, 2).where("item = 'a'").orderBy("rank").collect()] == ["d", "b"]
+
+
+# ---- leakage -----------------------------------------------------------------------------------------------------------------
+
+
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(40)] + ["Ünï", "日本", "x1"]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.choice([3, 8, 13, 14, 30])))) for i in range(12)] + [(90, None), (91, " ...!? "), (3, "w1 w2 w3")]
+    docs = []
+    for d in range(120):
+        ws = rng.choices(vocab, k=rng.randint(0, 60))
+        if rng.random() < 0.6:
+            src = leakage.words(items[rng.randint(0, 11)][1])
+            a = rng.randint(0, max(0, len(src) - 1))
+            ws[len(ws) // 2 : len(ws) // 2] = [w.upper() for w in src[a : a + rng.choice([5, 12, 13, 20])]]
+        docs.append((d, rng.choice([" ", "--", "\n* "]).join(ws), d))
+    docs += [(500, None, 1), (501, "", 1), docs[3]]
+
+    def contains(doc, item):
+        d, w = leakage.words(doc or ""), leakage.words(item or "")
+        if not w:
+            return False
+        n = min(13, len(w))
+        wins = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+        return any(tuple(d[i : i + n]) in wins for i in range(len(d) - n + 1))
+
+    want = {(d, i) for d, t, _ in docs for i, x in items if contains(t, x)}
+    df, it = spark.createDataFrame(docs, "doc_id long, text string, item_id int"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.leaks(df, "doc_id", "text", it, "item_id", "text").collect()}
+    assert got == want and want
+    assert leakage.leaks(df, "doc_id", "text", it.limit(0), "item_id", "text").count() == 0
+
+
+def test_items_in_blocks_give_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "x y")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "b c"), (2, "x"), (3, "zz")], "item_id long, text string")
+    monkeypatch.setattr(leakage, "BLOCK", 1)
+    assert sorted((r["doc_id"], r["item_id"]) for r in leakage.leaks(docs, "doc_id", "text", items, "item_id", "text").collect()) == [(1, 1), (2, 2)]
+
+
+# ---- mixing ------------------------------------------------------------------------------------------------------------------
+
+
+def mix_data(spark):
+    rng = random.Random(2)
+    docs = [(i, rng.choice(["Big", "big ", "mid", "small"] if i % 30 else ["small"]), "word " * rng.randint(5, 40), 7) for i in range(4000)]
+    docs = [(i, s if s != "small" or i % 12 == 0 else "big", t, n) for i, s, t, n in docs]
+    docs += [(9001, "mid", None, 0), (9002, None, "some text", 0), (9003, "mid", "  \n ", 0), docs[0]]
+    targets = [("m", "big", 1.0, 1), ("m", "MID", 1.0, 2), ("m", "small", 1.0, 4), ("m", "none", 3.0, 4), ("m", "other", None, 4), ("z", "big", 0.0, 2), ("m", "big", 1.0, 1)]
+    return spark.createDataFrame(docs, "doc_id long, source string, text string, mix int"), spark.createDataFrame(targets, "mix string, source string, weight double, max_repeats int")
+
+
+def test_shares_and_caps(spark):
+    docs, targets = mix_data(spark)
+    copies, plan = mixing.mixed(docs, targets)
+    copies = copies.persist()
+    s = {r["source"]: r for r in mixing.actual_shares(copies, plan).collect()}
+    for name, cap in (("big", 1), ("mid", 2), ("small", 4)):
+        assert abs(s[name]["actual_share"] - 1 / 3) < 0.02, s[name]
+        assert s[name]["most_copies"] <= cap
+    assert s["none"]["actual_share"] == 0 and "other" not in s
+    assert copies.groupBy("mix", "doc_id", "copy_no").count().where("count > 1").count() == 0
+    again = {tuple(r) for r in mixing.mixed(docs, targets)[0].select("doc_id", "copy_no").collect()}
+    assert again == {tuple(r) for r in copies.select("doc_id", "copy_no").collect()}
+
+
+def test_poisson_inversion_and_empty_tables(spark):
+    cdf = mixing.thresholds(0.7, 4)
+    u = (np.arange(100_000) + 0.5) / 100_000
+    n = sum((u >= c).astype(int) for c in cdf)
+    want = sum(min(k, 4) * np.exp(-0.7) * 0.7**k / float(np.prod(np.arange(1, k + 1))) for k in range(30))
+    assert abs(n.mean() - want) < 1e-3 and n.max() == 4
+    docs, targets = mix_data(spark)
+    c, p = mixing.mixed(docs, targets.limit(0))
+    assert c.count() == 0 and mixing.actual_shares(c, p).count() == 0
+    c, p = mixing.mixed(docs.limit(0), targets)
+    assert c.count() == 0
+
+
+# ---- encodings ---------------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    return encoding.train(encoding.sample(docs, "doc_id", "text", "lang"))
+
+
+CLEAN = {
+    "fr": "Après la réunion, la requête a été déplacée près du château d’eau. Les résultats sont présentés à l’équipe.",
+    "de": "Während der Prüfung fielen 13 tote Verweise auf. Für die Übersicht fehlt weiterhin eine gültige Übersetzung.",
+    "pl": "Następna część będzie dłuższa i trudniejsza. Zespół chciałby wkrótce zamknąć indeks.",
+    "ru": "Заметка требует новой сводки. Поиск вернул старые страницы без объяснений. Граф ссылок стал заметно плотнее.",
+    "es": "¿Quién mantendrá la página el próximo año? También se revisó según el índice.",
+}
+
+
+@pytest.mark.parametrize("enc", ["cp1252", "latin-1", "cp1250", "mac_roman", "cp437", "cp850"])
+def test_utf8_misread_is_restored(model, enc):
+    for lang, text in CLEAN.items():
+        high = encoding._high(enc)
+        bad = "".join(chr(b) if b < 128 else high[b - 128] for b in text.encode())
+        out, chain, n, lost = encoding.restore("Plain line.\n" + bad + "\nok", model)
+        assert out == "Plain line.\n" + text + "\nok", (lang, enc, chain)
+        twice = "".join(chr(b) if b < 128 else high[b - 128] for b in bad.encode())
+        assert encoding.restore(twice, model)[0] == text, (lang, enc)
+
+
+def test_single_byte_misreadings(model):
+    assert encoding.restore(CLEAN["ru"].encode("koi8_r").decode("cp1251"), model)[0] == CLEAN["ru"]
+    assert encoding.restore(CLEAN["ru"].encode("cp1251").decode("latin-1"), model)[0] == CLEAN["ru"]
+    assert encoding.restore(CLEAN["pl"].encode("cp1250").decode("cp1252"), model)[0] == CLEAN["pl"]
+
+
+def test_right_texts_are_left_alone(model):
+    for text in [*CLEAN.values(), "Budget: £14 + €1 ≤ ¥18, √2 ≈ 1.4 ± 0.1 σ", "“CAFÉ Ångström” at 21° ×4 → √3", "ATENÇÃO: NÃO APAGAR A DESCRIÇÃO", "├── a.md\n│   └── b.md", "plain ascii", "", "🧵 ✅ ⚠️ 📅"]:
+        assert encoding.restore(text, model)[:2] == (text, []), text
+
+
+def test_lost_characters_are_reported(spark, model):
+    rows = [(1, "W�hrend der Pr�fung", "de"), (2, None, None), (3, "", "de"), (4, "plain", "en"), (5, "RÃ©sumÃ© of the note", "en"), (5, "RÃ©sumÃ© of the note", "en")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, chain int")
+    got = {r["doc_id"]: r for r in encoding.garbled(df, model=model).collect()}
+    assert set(got) == {1, 5} and not got[1]["restorable"] and got[5]["restored"] == "Résumé of the note"
+    assert encoding.garbled(df.limit(0)).count() == 0
+
+
+# ---- canonical list ----------------------------------------------------------------------------------------------------------
+
+PATTERNS = [("Kroupaestho Field Crawler", 1, False), ("KROCR", 1, True), ("Grástound Junction", 2, False), ("Theitrurgon Pipeline", 3, False), ("Theitrurgon Pipeline 2", 4, False), ("M. Routemtral", 5, False), ("Miatrugro Routemtral", 5, False)]
+
+
+@pytest.mark.parametrize(
+    "term, want",
+    [
+        ("kroupaestho field crawler", 1), ("  Crawler, Kroupaestho Field ", 1), ("kroupaesthofieldcrawler", 1), ("kruopaestho field carwler", 1), ("notes on kroupaestho field crawler", 1), ("krocr", 1), ("krocx", -1), ("crawler", -1), ("kroupaestho pipeline", -1),
+        ("[[grastound junction]]", 2), ("grástound junct.", 2), ("theitrurgon pipeline", 3), ("theitrurgon pipelin 2", 4), ("theitrurgon pipeline 3", -1), ("theitrurgon pipeline’s", 3), ("m. routemtral", 5), ("2024-01-01", -1), ("...", -1), ("theitrurgon-pipeline.md", 3),
+    ],
+)
+def test_spellings(term, want):
+    assert canonical.Matcher(PATTERNS).best(term)[1] == want
+
+
+def test_edits_against_plain_definition():
+    assert canonical.edits("abcd", "acbd", 2) == 1 and canonical.edits("abcd", "abxcd", 2) == 1 and canonical.edits("kitten", "sitting", 3) == 3 and canonical.edits("a", "abcdef", 2) == 3
+
+
+def test_values_in_blocks_and_chunks(spark):
+    ent = spark.createDataFrame([(i, p, None) for i, p in ((1, "Kroupaestho Crawler"), (2, "Grastound Junction"), (3, None))] + [(4, "Zet Yard", '["ZETYA", "Zet Hub"]'), (5, "Bad Alias", "[not json")], "id long, name string, aliases_json string")
+    led = spark.createDataFrame([(1, "zet hub"), (2, "zetya"), (3, None), (4, " "), (5, "grastond junction"), (5, "grastond junction"), (6, "nothing here")], "sighting_id long, term string")
+    got = {(r["sighting_id"], r["entity_id"]) for r in canonical.resolve_sightings(led, ent).collect()}
+    assert got == {(1, 4), (2, 4), (5, 2), (6, -1)}
+    small = canonical.resolve_values(led.select(F.col("term").alias("value")), canonical.patterns_of(ent), block_patterns=2, chunk_values=1)
+    assert {(r["value"], r["entity_id"]) for r in small.collect()} == {("zet hub", 4), ("zetya", 4), ("grastond junction", 2), ("nothing here", -1)}
+    assert {r["entity_id"] for r in canonical.resolve_sightings(led, ent.limit(0)).collect()} == {-1}
+    assert canonical.resolve_sightings(led.limit(0), ent).count() == 0
+
+
+# ---- vectors -----------------------------------------------------------------------------------------------------------------
+
+
+def test_nearest_against_brute_force(spark):
+    v = queries.vectors(spark, SF).persist()
+    exact = {(r["src"], r["model"], r["key"], r["near"]) for r in knn.brute_force(v, v).collect()}
+    got = {(r["src"], r["model"], r["key"], r["near"]) for r in knn.nearest(v).collect()}
+    assert len(exact & got) >= 0.99 * len(exact) and len(got) == len(exact)
+
+
+def test_recall_of_a_divided_index(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 32))
+    x = np.concatenate([centres[i % 12] + rng.normal(size=32) * 0.3 for i in range(3000)]).reshape(3000, 32)
+    v = spark.createDataFrame([("s", "m", f"k{i:05d}", [float(a) for a in x[i]]) for i in range(3000)], "src string, model string, key string, v array<float>")
+    p = knn.Params(sample=1500, cells=64, share=0.3, least=400, shard=500, queries=400)
+    q = v.where("key like '%00'")
+    exact = {(r["key"], r["near"]) for r in knn.brute_force(v, q).collect()}
+    got = {(r["key"], r["near"]) for r in knn.nearest(v, 5, p).where("key like '%00'").collect()}
+    assert len(exact & got) >= 0.9 * len(exact)
+
+
+def test_unusable_vectors_and_ties(spark):
+    good = [1.0, 0.0]
+    rows = [("a", good, 1), ("b", [2.0, 0.0], 1), ("c", [3.0, 0.0], 1), ("d", [0.0, 1.0], 1), ("e", [0.0, 0.0], 1), ("f", None, 1), ("g", [float("nan"), 1.0], 1), ("h", [1.0], 1), ("i", good, 1), ("i", None, 2), (None, good, 1), ("a", good, 1)]
+    t = spark.createDataFrame([(k, v, "m", u) for k, v, u in rows], "path string, embedding array<float>, model string, updated_at int")
+    v = knn.usable(t, "s", "path", {"m": 2})
+    assert {r["key"] for r in v.collect()} == {"a", "b", "c", "d"}
+    got = defaultdict(list)
+    for r in knn.nearest(v, 2).orderBy("key", "rank").collect():
+        got[r["key"]].append(r["near"])
+    assert got == {"a": ["b", "c"], "b": ["a", "c"], "c": ["a", "b"], "d": ["a", "b"]}
+    assert knn.nearest(v.limit(0), 2).count() == 0
+
+
+# ---- conversations -----------------------------------------------------------------------------------------------------------
+
+
+def test_pointers_paths_orphans_and_cycles(spark):
+    rows = [(0, None)] + [(i, i - 1) for i in range(1, 40)] + [(50, 99), (51, 50), (60, 61), (61, 62), (62, 60), (63, 60), (70, None), (71, 70), (72, 70)]
+    got = {r["id"]: (r["root"], r["depth"], r["state"]) for r in conversations.resolve_pointers(spark.createDataFrame(rows, "id long, parent long")).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == (0, i, "rooted") for i in range(40))
+    assert got[51] == (99, 2, "orphan") and got[72] == (70, 1, "rooted")
+    assert all(got[i][2] == "cycle" and got[i][0] is None for i in (60, 61, 62, 63))
+    assert conversations.resolve_pointers(spark.createDataFrame([], "id long, parent long")).count() == 0
+
+
+def brute_conversations(rows):
+    """Whole sessions by a plain loop over each session's rows."""
+    from wherry.operators.shred import parse
+
+    sessions = defaultdict(list)
+    for r in rows:
+        if r["type"] in ("user", "assistant") and r["session_id"] is not None:
+            sessions[r["session_id"]].append(r)
+    out = set()
+    for sid, rs in sessions.items():
+        seen, msgs, ok = set(), {}, True
+        for r in sorted(rs, key=lambda r: (r["run"], r["line_no"])):
+            if r["uuid"] in seen:
+                continue
+            seen.add(r["uuid"])
+            m = parse(r["message"])
+            if not isinstance(m, dict):
+                ok = False
+                break
+            c = m.get("content")
+            blocks = [b for b in (c if isinstance(c, list) else [c]) if b is not None]
+            key = m.get("id") or r["uuid"]
+            msgs.setdefault(key, {"role": (m.get("role") or r["type"]).strip().lower(), "blocks": []})["blocks"] += blocks
+        if not ok:
+            continue
+        order = list(msgs.items())
+        uses, results = defaultdict(list), defaultdict(list)
+        for t, (_, m) in enumerate(order):
+            bs = m["blocks"]
+            m["text"] = any((b if isinstance(b, str) else b.get("text") if b.get("type") == "text" else "") and (b if isinstance(b, str) else b["text"]).strip() for b in bs)
+            m["use"] = any(isinstance(b, dict) and b.get("type") == "tool_use" for b in bs)
+            if m["role"] == "user" and bs and all(isinstance(b, dict) and b.get("type") == "tool_result" for b in bs):
+                m["role"] = "tool"
+            for b in bs:
+                if isinstance(b, dict) and b.get("type") == "tool_use":
+                    uses[b.get("id")].append(t)
+                if isinstance(b, dict) and b.get("type") == "tool_result":
+                    results[b.get("tool_use_id")].append(t)
+        whole = order and order[0][1]["role"] == "user" and order[-1][1]["role"] == "assistant" and order[-1][1]["text"]
+        for t, (_, m) in enumerate(order):
+            if m["role"] == "user" and not (m["text"] and t + 1 < len(order) and order[t + 1][1]["role"] == "assistant"):
+                whole = False
+            if m["role"] == "assistant" and not (m["text"] or m["use"]):
+                whole = False
+        if any(k not in uses for k in results) or any(sum(x > t for x in results[k]) != 1 for k, ts in uses.items() for t in ts):
+            whole = False
+        if whole:
+            out |= {(sid, t, k) for t, (k, _) in enumerate(order)}
+    return out
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_conversations_against_a_plain_loop(spark, sf):
+    w = spark.read.parquet(f"{sf}/warmup.parquet")
+    got = {tuple(r) for r in queries.p4_found(spark, sf).collect()}
+    assert got == brute_conversations(w.collect()) and got
+
+
+def test_conversations_of_a_hot_session_and_of_nothing(spark):
+    rows = []
+    for i in range(300):
+        role = "user" if i % 2 == 0 else "assistant"
+        rows.append((i, "r1", i, role, None, "hot", f"u{i}", None, json.dumps({"role": role, "content": f"text {i}"}), None))
+    rows.append((900, "r1", 900, "user", None, None, "n", None, None, None))
+    schema = "line_id long, run string, line_no int, type string, subtype string, session_id string, uuid string, ts timestamp, message string, mcp_servers string"
+    m = conversations.build(spark.createDataFrame(rows, schema)).where("whole").orderBy("turn_no").collect()
+    assert [r["msg_key"] for r in m] == [f"u{i}" for i in range(300)] and [r["turn_no"] for r in m] == list(range(300))
+    assert conversations.build(spark.createDataFrame([], schema)).count() == 0

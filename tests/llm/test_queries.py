@@ -1,0 +1,19 @@
+"""Every query of the folder against its SQL, or that it runs, on the smallest tables."""
+
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from oracle import compare  # noqa: E402
+
+from wherry.llm import queries  # noqa: E402
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_query(spark, sf, name):
+    rows, diff = compare(spark, name, sf)
+    assert not diff, diff
+    assert rows >= 0

@@ -229,10 +229,11 @@ def resolve_values(values: DataFrame, patterns: DataFrame, block_patterns: int =
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty:
-            return pd.DataFrame({"value": [], "score": [], "entity_id": []})
+            return pd.DataFrame({"value": pd.Series([], dtype=object), "score": pd.Series([], dtype="float64"), "entity_id": pd.Series([], dtype="int64")})
         m = Matcher(list(zip(b["pattern"], b["id"], b["is_code"])))
-        got = [m.best(x) for x in a["value"]]
-        return pd.DataFrame({"value": a["value"], "score": [s for s, _ in got], "entity_id": [i for _, i in got]})
+        values = list(a["value"])
+        got = [m.best(x) for x in values]
+        return pd.DataFrame({"value": values, "score": [s for s, _ in got], "entity_id": [i for _, i in got]})
 
     met = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(meet, "value string, score double, entity_id long")
     best = met.groupBy("value").agg(F.max(F.struct("score", (-F.col("entity_id")).alias("minus"))).alias("x"))
