@@ -30,12 +30,12 @@ class Params:
 
     sample: int = 20_000
     cells: int = 2048
-    share: float = 0.15
+    share: float = 0.2
     least: int = 6_000
-    sub: int = 4
-    keep: int = 64
-    shard: int = 12_000
-    queries: int = 24_000
+    sub: int = 2
+    keep: int = 96
+    shard: int = 6_000
+    queries: int = 8_000
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, spherical: bool) -> np.ndarray:
@@ -71,31 +71,39 @@ class Index:
         cell = _nearest(sample, self.centroids)
         weight = np.bincount(cell, minlength=len(self.centroids)) * (total / max(1, len(sample)))
         self.weight = weight
-        res = sample - self.centroids[cell]
+        # the direction of a residual is quantised and its length kept, so that dense cells are as finely resolved as loose ones
+        res, _ = self.residuals(sample, cell)
         self.subs = [slice(i, min(i + p.sub, self.dim)) for i in range(0, self.dim, p.sub)]
         self.books = [_kmeans(res[:, s], 256, 6, rng, False) for s in self.subs]
         # cells into shards: neighbouring centroids together, by weight
         want = max(1, math.ceil(total / p.shard))
         groups = _nearest(self.centroids, _kmeans(self.centroids, want, 12, rng, True))
         self.shard_of = groups.astype(np.int32)
-        held = np.bincount(groups, weights=weight, minlength=want)
-        self.slices = np.maximum(1, np.ceil(held / (1.5 * p.shard))).astype(np.int32)
-        # how often a vector asks a shard is about the same for all; asking vectors of a shard are divided so that a task holds few enough
-        self.chunks = np.maximum(1, np.ceil(min(1.0, 4 * p.share + 3 * p.shard / max(total, 1)) * total / p.queries)) * np.ones(want, dtype=np.int32)
+        n_shards = int(groups.max()) + 1
+        held = np.bincount(groups, weights=weight, minlength=n_shards)
+        self.slices = np.maximum(1, np.ceil(held / (1.5 * p.shard))).astype(np.int64)
+        # all vectors of a cell ask the cells nearest to its centroid until they hold the wanted share
+        sim = self.centroids @ self.centroids.T
+        order = np.argsort(-sim, axis=1)
+        before = np.cumsum(weight[order], axis=1) - weight[order]
+        self.asks = np.zeros(sim.shape, dtype=bool)
+        np.put_along_axis(self.asks, order, before < max(p.least, p.share * total), axis=1)
+        self.asks_shard = np.stack([self.asks[:, groups == s].any(axis=1) for s in range(n_shards)], axis=1)
+        # the vectors that ask a shard are divided into chunks by their cell, those of a large cell by their key too
+        self.chunks = np.maximum(1, np.ceil(self.asks_shard.T @ weight / p.queries)).astype(np.int64)
+        self.parts = np.maximum(1, np.ceil(weight / (p.queries / 2))).astype(np.int64)
+
+    def residuals(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unit residuals and their lengths."""
+        r = x - self.centroids[cell]
+        n = np.linalg.norm(r, axis=1)
+        return r / np.maximum(n, 1e-9)[:, None], n.astype(np.float32)
 
     def codes(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        res = x - self.centroids[cell]
-        return np.stack([_nearest(res[:, s], b) for s, b in zip(self.subs, self.books)], axis=1).astype(np.uint8)
-
-    def probes(self, x: np.ndarray) -> np.ndarray:
-        """Cells that each vector asks, as a mask: the nearest ones until they hold the wanted share of the group."""
-        sim = x @ self.centroids.T
-        order = np.argsort(-sim, axis=1)
-        want = max(self.p.least, self.p.share * self.total)
-        before = np.cumsum(self.weight[order], axis=1) - self.weight[order]
-        mask = np.zeros(sim.shape, dtype=bool)
-        np.put_along_axis(mask, order, before < want, axis=1)
-        return mask
+        """For each vector the codes of its residual's slices, then the four bytes of its length."""
+        res, n = self.residuals(x, cell)
+        c = np.stack([_nearest(res[:, s], b) for s, b in zip(self.subs, self.books)], axis=1).astype(np.uint8)
+        return np.concatenate([c, n.view(np.uint8).reshape(-1, 4)], axis=1)
 
 
 def usable(table: DataFrame, src: str, key: str, models: dict[str, int]) -> DataFrame:
@@ -149,22 +157,17 @@ def _place(indexes: dict[tuple[str, str], Index]):
                 codes = ix.codes(x, cell)
                 shard = ix.shard_of[cell]
                 h = hashes[at]
-                part = (h % ix.slices[shard].astype(np.uint64)).astype(np.int32)
-                n_chunks = ix.chunks[shard].astype(np.int32)
-                rep = np.repeat(np.arange(len(at)), n_chunks)
-                chunk = np.concatenate([np.arange(n) for n in n_chunks])
+                part = (h % ix.slices[shard].astype(np.uint64)).astype(np.int64)
+                n = ix.chunks[shard]
+                rep = np.repeat(np.arange(len(at)), n)
+                chunk = np.concatenate([np.arange(k) for k in n])
                 yield _rows(schema, g, key, raw, rep, cell, codes, shard[rep], part[rep], chunk, False)
-                for i in range(0, len(at), 2048):
-                    mask = ix.probes(x[i : i + 2048])
-                    asked = np.zeros((mask.shape[0], len(ix.slices)), dtype=bool)
-                    for s in range(len(ix.slices)):
-                        asked[:, s] = mask[:, ix.shard_of == s].any(axis=1)
-                    q, s = np.nonzero(asked)
-                    n = ix.slices[s]
-                    qq, ss = np.repeat(q, n), np.repeat(s, n)
-                    sl = np.concatenate([np.arange(k) for k in n])
-                    ch = ((h[i + qq] >> np.uint64(20)) % ix.chunks[ss].astype(np.uint64)).astype(np.int32)
-                    yield _rows(schema, g, key, raw, i + qq, cell, None, ss, sl, ch, True)
+                q, s = np.nonzero(ix.asks_shard[cell])
+                n = ix.slices[s]
+                qq, ss = np.repeat(q, n), np.repeat(s, n)
+                c = cell[qq]
+                ch = (c * 7919 + ((h[qq] >> np.uint64(20)).astype(np.int64) % ix.parts[c])) % ix.chunks[ss]
+                yield _rows(schema, g, key, raw, qq, cell, None, ss, np.concatenate([np.arange(k) for k in n]), ch, True)
 
     return run
 
@@ -182,7 +185,7 @@ def _search(k: int, indexes: dict[tuple[str, str], Index]):
     """One shard slice against one chunk of the vectors that ask it."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"src": [], "model": [], "key": [], "near": [], "cos": []})
+        none = pd.DataFrame({c: pd.Series([], dtype="float64" if c == "cos" else object) for c in ("src", "model", "key", "near", "cos")})
         base, ask = pdf[~pdf["asks"]], pdf[pdf["asks"]]
         if base.empty or ask.empty:
             return none
@@ -192,46 +195,63 @@ def _search(k: int, indexes: dict[tuple[str, str], Index]):
         ask = ask.sort_values(["cell", "key"])
         bx = np.array(base["v"].tolist(), dtype=np.float64)
         bx /= np.linalg.norm(bx, axis=1, keepdims=True)
-        bkey = base["key"].to_numpy()
+        bkey = base["key"].to_numpy(dtype=object)
         bcell = base["cell"].to_numpy()
         codes = np.frombuffer(b"".join(base["codes"]), dtype=np.uint8).reshape(len(base), -1)
         qx = np.array(ask["v"].tolist(), dtype=np.float64)
         qx /= np.linalg.norm(qx, axis=1, keepdims=True)
-        qkey = ask["key"].to_numpy()
+        qkey = ask["key"].to_numpy(dtype=object)
         starts = np.searchsorted(bcell, np.arange(len(ix.centroids) + 1))
-        out_q, out_b, out_c = [], [], []
-        for i in range(0, len(qx), 256):
-            q = qx[i : i + 256]
-            q32 = q.astype(np.float32)
-            mask = ix.probes(q32)
-            cells = np.flatnonzero(mask.any(axis=0) & (np.diff(starts) > 0))
+        qcell = ask["cell"].to_numpy()
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for cell in np.unique(qcell):
+            cells = np.flatnonzero(ix.asks[cell] & (np.diff(starts) > 0))
             if not len(cells):
                 continue
             rows = np.concatenate([np.arange(starts[c], starts[c + 1]) for c in cells])
-            adc = (q32 @ ix.centroids[cells].T)[:, np.repeat(np.arange(len(cells)), np.diff(starts)[cells])]
-            rc = codes[rows]
-            for m, (s, book) in enumerate(zip(ix.subs, ix.books)):
-                table = q32[:, s] @ book.T
-                adc += np.take(table, rc[:, m], axis=1)
-            keep = min(ix.p.keep, len(rows))
-            top = np.argpartition(-adc, keep - 1, axis=1)[:, :keep] if keep < len(rows) else np.tile(np.arange(len(rows)), (len(q), 1))
-            cand = rows[top]
-            exact = np.round(np.einsum("qd,qkd->qk", q, bx[cand]), 12)
-            names = bkey[cand]
-            exact[names == qkey[i : i + 256, None]] = -np.inf
-            best = np.argsort(-exact, axis=1, kind="stable")[:, : k + 8]
-            for r in range(len(q)):
-                row = [(-exact[r, j], names[r, j], j) for j in range(exact.shape[1]) if exact[r, j] >= exact[r, best[r, min(k, exact.shape[1]) - 1]]]
-                for c, _, j in sorted(row)[:k]:
-                    if c < np.inf:
-                        out_q.append(qkey[i + r])
-                        out_b.append(names[r, j])
-                        out_c.append(-c)
-        return pd.DataFrame({"src": src, "model": model, "key": out_q, "near": out_b, "cos": out_c}) if out_q else none
+            of = np.repeat(np.arange(len(cells)), np.diff(starts)[cells])
+            mine = np.flatnonzero(qcell == cell)
+            for i in range(0, len(mine), 128):
+                q = qx[mine[i : i + 128]]
+                names = qkey[mine[i : i + 128]]
+                near, cos = _best(k, ix, q, names, rows, cells, of, codes, bx, bkey)
+                got = np.isfinite(cos)
+                out.append((np.repeat(names, got.sum(1)), near[got], cos[got]))
+        if not out:
+            return none
+        key, near, cos = (np.concatenate(x) for x in zip(*out))
+        return pd.DataFrame({"src": src, "model": model, "key": list(key), "near": list(near), "cos": cos})
 
     return run
 
 
+def _best(k: int, ix: Index, q: np.ndarray, names: np.ndarray, rows: np.ndarray, cells: np.ndarray, of: np.ndarray, codes: np.ndarray, bx: np.ndarray, bkey: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best of ``rows`` for each of a few queries: tables of asymmetric distances over the codes, then exact cosines of the ``keep`` best."""
+    q32 = q.astype(np.float32)
+    base = ix.centroids[cells] @ q32.T
+    tables = [np.ascontiguousarray(b @ q32[:, s].T) for s, b in zip(ix.subs, ix.books)]
+    adc = np.empty((len(q), len(rows)), dtype=np.float32)
+    for j in range(0, len(rows), 2048):  # rows of a table are copied whole, a block of them stays in the cache
+        rc = codes[rows[j : j + 2048]]
+        part = tables[0][rc[:, 0]]
+        for m in range(1, len(tables)):
+            part += tables[m][rc[:, m]]
+        part *= np.ascontiguousarray(rc[:, len(tables) :]).view(np.float32)
+        part += base[of[j : j + 2048]]
+        adc[:, j : j + 2048] = part.T
+    keep = ix.p.keep
+    top = np.argpartition(adc, len(rows) - keep, axis=1)[:, -keep:] if keep < len(rows) else np.tile(np.arange(len(rows)), (len(q), 1))
+    cand = rows[top]
+    near = bkey[cand]
+    exact = np.round(np.einsum("qd,qkd->qk", q, bx[cand]), 12)
+    exact[near == names[:, None]] = -np.inf
+    # by cosine, ties to the smaller key: order by key first, then stably by cosine
+    by_key = np.argsort(near, axis=1, kind="stable")
+    exact, near = np.take_along_axis(exact, by_key, 1), np.take_along_axis(near, by_key, 1)
+    first = np.argsort(-exact, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(near, first, 1), np.take_along_axis(exact, first, 1)
+
+
 def nearest(vectors: DataFrame, k: int = 5, p: Params = Params()) -> DataFrame:
     """``src, model, key, near, cos, rank``: for every vector its ``k`` nearest others of the same group by cosine, ties to the smaller key.
 
@@ -243,6 +263,9 @@ def nearest(vectors: DataFrame, k: int = 5, p: Params = Params()) -> DataFrame:
     if not indexes:
         return v.select("src", "model", "key", F.col("key").alias("near"), F.lit(0.0).alias("cos"), F.lit(0).alias("rank")).limit(0)
     placed = v.select("src", "model", "key", "v", F.shiftrightunsigned(F.xxhash64("key"), 1).alias("h")).mapInArrow(_place(indexes), _PLACED)
+    groups = sum(int((ix.slices * ix.chunks).sum()) for ix in indexes.values())
+    # the work is in the search, not in the bytes: a stated number of partitions keeps small tables from falling into a few tasks
+    placed = placed.repartition(max(8, min(4000, 2 * groups)), "src", "model", "shard", "slice", "chunk")
     found = placed.groupBy("src", "model", "shard", "slice", "chunk").applyInPandas(_search(k, indexes), "src string, model string, key string, near string, cos double")
     w = Window.partitionBy("src", "model", "key").orderBy(F.desc("cos"), "near")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -260,7 +283,7 @@ def brute_force(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int =
     ready = {}
     for g, (keys, x) in qs.items():
         x = np.array(x, dtype=np.float64)
-        ready[g] = (np.array(keys), x / np.linalg.norm(x, axis=1, keepdims=True))
+        ready[g] = (np.array(keys, dtype=object), x / np.linalg.norm(x, axis=1, keepdims=True))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -270,7 +293,7 @@ def brute_force(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int =
             keys, q = ready[g]
             x = np.array(part["v"].tolist(), dtype=np.float64)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            names = part["key"].to_numpy()
+            names = part["key"].to_numpy(dtype=object)
             for i in range(0, len(q), 512):
                 cos = np.round(np.einsum("qd,nd->qn", q[i : i + 512], x, optimize=True), 12)
                 cos[keys[i : i + 512, None] == names[None, :]] = -np.inf
@@ -278,7 +301,7 @@ def brute_force(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int =
                     for j in np.lexsort((names, -cos[r]))[:k]:
                         if cos[r, j] > -np.inf:
                             out.append((g[0], g[1], keys[i + r], names[j], cos[r, j]))
-        return pd.DataFrame(out, columns=["src", "model", "key", "near", "cos"])
+        return pd.DataFrame({c: list(x) for c, x in zip(("src", "model", "key", "near", "cos"), zip(*out))}) if out else pd.DataFrame({c: pd.Series([], dtype="float64" if c == "cos" else object) for c in ("src", "model", "key", "near", "cos")})
 
     def blocks(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
