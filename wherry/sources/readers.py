@@ -18,7 +18,7 @@ def read_vault(spark: SparkSession, root: str) -> DataFrame:
     rel = F.regexp_replace(F.col("path"), r"^.*?" + _quote(root.rstrip("/")) + "/", "")
     parts = F.split(rel, "/")
     ok = (F.col("length") <= MAX_NOTE_BYTES) & (F.length(rel) < LONGEST_PATH) & ~F.exists(parts, lambda x: x.isin(*SYSTEM_FOLDERS))
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.make_valid_utf8(F.col("content").cast("string"))
     return f.where(ok).select(rel.alias("path"), text.alias("content"), F.col("modificationTime").alias("modified")).where(~F.contains("content", F.lit("\0")))
 
 
