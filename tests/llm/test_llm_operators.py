@@ -236,7 +236,7 @@ PATTERNS = [("Kroupaestho Field Crawler", 1, False), ("KROCR", 1, True), ("Grás
 @pytest.mark.parametrize(
     "term, want",
     [
-        ("kroupaestho field crawler", 1), ("  Crawler, Kroupaestho Field ", 1), ("kroupaesthofieldcrawler", 1), ("kruopaestho field carwler", 1), ("notes on kroupaestho field crawler", 1), ("krocr", 1), ("krocx", -1), ("crawler", -1), ("kroupaestho pipeline", -1),
+        ("kroupaestho field crawler", 1), ("  Crawler, Kroupaestho Field ", 1), ("kroupaesthofieldcrawler", 1), ("kruopaestho field carwler", 1), ("theitrurgnpipeline", 3), ("kroupaetso field crawler", -1), ("notes on kroupaestho field crawler", 1), ("krocr", 1), ("krocx", -1), ("crawler", -1), ("kroupaestho pipeline", -1),
         ("[[grastound junction]]", 2), ("grástound junct.", 2), ("theitrurgon pipeline", 3), ("theitrurgon pipelin 2", 4), ("theitrurgon pipeline 3", -1), ("theitrurgon pipeline’s", 3), ("m. routemtral", 5), ("2024-01-01", -1), ("...", -1), ("theitrurgon-pipeline.md", 3),
     ],
 )

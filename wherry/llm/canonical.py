@@ -26,7 +26,7 @@ from wherry.session import cut, hot_join
 BLOCK_PATTERNS, CHUNK_VALUES = 60_000, 25_000
 #: Words of a value that a mention may leave over, and the least share of characters that similar values must have in common.
 MOST_LEFT_OVER, LEAST_SHARE = 3, 0.6
-CODE_LENGTH = 6
+CODE_LENGTH, GLUED_LENGTH = 6, 12
 _FOLD = str.maketrans({"ł": "l", "ø": "o", "ß": "ss", "đ": "d", "æ": "ae", "œ": "oe", "þ": "th", "ı": "i"})
 _POSSESSIVE = re.compile(r"['’ʼ`´]s\b")
 _MD = re.compile(r"\.md\s*$")
@@ -44,10 +44,8 @@ def fold(text: str) -> list[str]:
 
 
 def allowed_edits(word: str) -> int:
-    """Edits that a word of this length may differ by; none for numbers and short words."""
-    if not word.isalpha() or len(word) < 4:
-        return 0
-    return 1 if len(word) < 7 else 2
+    """Edits that a word may differ by: one, a swap of neighbours being one; none for numbers and words under four letters."""
+    return int(word.isalpha() and len(word) >= 4)
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -118,6 +116,7 @@ class Matcher:
             for n in range(3, len(w)):
                 self.begins[w[:n]].append(w)
         self._similar: dict[str, dict[str, int]] = {}
+        self._glued_near: dict[str, list[str]] | None = None
 
     def mentions(self, words: list[str]) -> list[tuple[int, str, int]]:
         """Longest non-overlapping mentions at word boundaries: ``(place, phrase, entity id)``."""
@@ -173,8 +172,21 @@ class Matcher:
                 left.remove(w)
             if not any(w.isdigit() for w in left) and len(left) <= MOST_LEFT_OVER:
                 return 2.0 + 0.9 * len(p) / len(phrase), i
+        if len(words) == 1 and len(glued) >= GLUED_LENGTH and (near := self.near_glued(glued)) != -1:
+            return 1.9, near
         return self.similar(words, {x for w in _SHORT.findall(value) for x in fold(w)})
 
+    def near_glued(self, glued: str) -> int:
+        """The entity whose name without spaces is one edit away, the smallest id of several; -1 if there is none. Its index is built when first asked for."""
+        if self._glued_near is None:
+            self._glued_near = defaultdict(list)
+            for g in self.by_glued:
+                if len(g) >= GLUED_LENGTH - 1:
+                    for d in deletions(g, 1):
+                        self._glued_near[d].append(g)
+        hits = {g for d in deletions(glued, 1) for g in self._glued_near.get(d, ())}
+        return min((self.by_glued[g] for g in hits if edits(glued, g, 1) <= 1), default=-1)
+
     def similar(self, words: list[str], short: set[str] = frozenset()) -> tuple[float, int]:
         """The pattern all of whose words have their own similar word in the value, with the greatest share of characters in common."""
         close = [self.similar_words(w) | (dict.fromkeys(self.begins.get(w, ()), 0) if w in short else {}) for w in words]
