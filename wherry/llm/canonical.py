@@ -247,6 +247,9 @@ def resolve_values(values: DataFrame, patterns: DataFrame, block_patterns: int =
         got = [m.best(x) for x in values]
         return pd.DataFrame({"value": values, "score": [s for s, _ in got], "entity_id": [i for _, i in got]})
 
+    # the work is in the matching, not in the bytes: a stated number of partitions keeps small values from falling into a few tasks
+    n = min(2000, 2 * blocks * chunks)
+    left, right = left.repartition(n, "block", "chunk"), right.repartition(n, "block", "chunk")
     met = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(meet, "value string, score double, entity_id long")
     best = met.groupBy("value").agg(F.max(F.struct("score", (-F.col("entity_id")).alias("minus"))).alias("x"))
     return best.select("value", F.when(F.col("x.score") > 0, -F.col("x.minus")).otherwise(F.lit(-1)).cast("long").alias("entity_id"), F.col("x.score").alias("score"))
