@@ -295,3 +295,33 @@ def test_fresh_and_cooldown(spark, tmp_path):
         q.awaitTermination()
         got[name] = sorted(r["seq"] for r in spark.table(name).collect())
     assert got["cool"] == [1, 3, 4] and len(got["fresh"]) == 3 and {3, 4} <= set(got["fresh"])
+
+
+# ---- links in prose ----------------------------------------------------------------------------------------------------------------
+
+
+def test_mentions_and_links(spark):
+    from wherry.operators import linking
+
+    text = "---\ntitle: Alpha Beta\n---\n# Alpha Beta\nAlpha beta and [[Alpha Beta]] `Alpha Beta` alphabet Alpha.\n```\nAlpha Beta\n```\nÉté Alpha Beta https://x/Alpha İ Alpha Beta"
+    docs = spark.createDataFrame([(1, text, 7), (2, None, 7), (3, "", 7), (4, "nothing", 7), (5, "Alpha " * 3000, 7)], "k long, t string, start int")
+    pats = spark.createDataFrame([("Alpha Beta", 1), ("Alpha", 2), ("beta and", 3), (None, 4), ("alpha", 9)], "pattern string, id long")
+    whole = sorted(map(tuple, linking.find_mentions(docs, "k", "t", pats).collect()))
+    assert whole == sorted(map(tuple, linking.find_mentions(docs, "k", "t", pats, most=1).collect()))
+    got = [(text[a:b], i) for k, a, b, i in whole if k == 1]
+    assert got == [("Alpha beta", 1), ("Alpha", 2), ("Alpha Beta", 1), ("Alpha Beta", 1)]
+    names = spark.createDataFrame([(1, "Alpha Beta"), (2, "Alpha")], "id long, name string")
+    first = linking.first_mentions(linking.find_mentions(docs, "k", "t", pats))
+    out = {r["key"]: r["text"] for r in linking.apply_links(docs, "k", "t", first, names).collect()}
+    assert out[1] == text.replace("Alpha beta and", "[[Alpha Beta|Alpha beta]] and").replace("alphabet Alpha.", "alphabet [[Alpha]].")
+    assert set(out) == {1, 5} and out[5].startswith("[[Alpha]] Alpha Alpha")
+    assert linking.find_mentions(docs, "k", "t", pats.limit(0)).count() == 0
+
+
+def test_layers_can_be_left_out(spark, sf):
+    from wherry.plans.linking import suggestion_scores
+
+    full = {(r["doc_id"], r["id"]): r for r in suggestion_scores(spark, sf).collect()}
+    bare = {(r["doc_id"], r["id"]): r for r in suggestion_scores(spark, sf, disabled=("hub", "edge", "kind", "feedback")).collect()}
+    assert full and all(r["score"] == r["lexical"] for r in bare.values())
+    assert len(list(suggestion_scores(spark, sf, "conservative").collect())) <= len(full)
