@@ -11,8 +11,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wherry.session import cut
@@ -22,6 +23,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Bins of the histogram for each halving of 1 - u: equally fine in relation to what is drawn, whether of a large source little or of a small one all.
 BINS = 128
+#: Seeds tried for a source whose drawn tokens stay further than this share from what is wanted (its documents are large against the mix).
+SEEDS, CLOSE = 12, 0.01
 #: Targets are read to the driver; more are refused.
 MOST_TARGETS = 20_000
 
@@ -68,20 +71,47 @@ def thresholds(rate: float, cap: int) -> list[float]:
     return out
 
 
-def solve_rate(hist: list[tuple[float, int]], want: float, cap: int) -> float:
-    """The Poisson rate at which the tokens drawn from ``(u, tokens)`` bins come closest to ``want``."""
+#: Sorted ``u`` and tokens of the bins.
+Bins = tuple[np.ndarray, np.ndarray]
+
+
+def solve_rate(hist: Bins, want: float, cap: int) -> tuple[float, float]:
+    """The Poisson rate at which the tokens drawn from the bins come closest to ``want``, and those tokens."""
+
+    us, tokens = hist
+    above = np.r_[np.cumsum(tokens[::-1])[::-1], 0.0]  # tokens at or above each bin
 
     def drawn(rate: float) -> float:
-        cdf = thresholds(rate, cap)
-        return sum(t * sum(u >= c for c in cdf) for u, t in hist)
+        return float(above[np.searchsorted(us, thresholds(rate, cap))].sum())
 
-    low, high = 0.0, 60.0 + 3.0 * cap
-    if drawn(high) <= want:
+    most = 60.0 + 3.0 * cap
+
+    def edge(reached) -> float:
+        """The least rate whose tokens are ``reached``; they grow with the rate."""
+        low, high = 0.0, most
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (low, mid) if reached(drawn(mid)) else (mid, high)
         return high
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if drawn(mid) < want else (low, mid)
-    return min((low, high), key=lambda r: abs(drawn(r) - want))
+
+    if drawn(most) <= want:
+        return most, drawn(most)
+    over = edge(lambda t: t >= want)
+    near = min((drawn(over), drawn(over * (1 - 1e-9))), key=lambda t: abs(t - want))
+    # the middle of the rates that draw these tokens: no document's u lies at a threshold there
+    rate = (edge(lambda t: t >= near) + edge(lambda t: t > near)) / 2
+    return rate, drawn(rate)
+
+
+def histogram(counts: DataFrame, named: list[tuple[str, str]], seeds: range) -> dict[tuple[str, str, int], Bins]:
+    """``(u, tokens)`` bins of each mix, source and seed: at most targets x seeds x BINS x log2(documents) rows reach the driver."""
+    spark = counts.sparkSession
+    keys = spark.createDataFrame(named, "mix string, source string")
+    x = counts.where(F.col("n_tokens") > 0).join(F.broadcast(keys), "source").withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    bins = x.groupBy("mix", "source", "seed", F.floor(-F.log2(1 - draw(F.col("seed"))) * BINS).cast("int").alias("bin")).agg(F.sum("n_tokens").alias("t"))
+    got = bins.toArrow().to_pandas()  # columns of numbers, not rows of objects
+    got["u"] = 1 - 2.0 ** (-(got["bin"] + 0.5) / BINS)
+    return {k: (g["u"].to_numpy(), g["t"].to_numpy(dtype="float64")) for k, g in got.sort_values("u").groupby(["mix", "source", "seed"])}
 
 
 def clean_targets(targets: DataFrame) -> list[tuple[str, str, float, int]]:
@@ -97,44 +127,50 @@ def clean_targets(targets: DataFrame) -> list[tuple[str, str, float, int]]:
     return [tuple(r) for r in rows]
 
 
-def plan_mix(counts: DataFrame, targets: DataFrame, seed: int = 0, total: float | None = None) -> DataFrame | None:
-    """Per mix and source: ``share`` asked for, ``want`` tokens, ``rate`` and ``cdf``; ``None`` if there is nothing to draw.
+PLAN = "mix string, source string, weight double, max_repeats int, share double, want double, rate double, seed int, cdf array<double>"
+
+
+def plan_mix(counts: DataFrame, targets: DataFrame, seed: int = 0, total: float | None = None) -> DataFrame:
+    """Per mix and source: ``share`` asked for, ``want`` tokens, ``rate``, ``seed`` and ``cdf``; no rows if there is nothing to draw.
 
     Weights are scaled to shares of the sources that have tokens; sources without documents get no share. ``total`` is the mix's size in
-    tokens; by default the largest at which no source needs more than its capped repeats, so that every share can be had.
+    tokens; by default the largest at which no source needs more than its capped repeats, so that every share can be had. A source whose
+    documents are too large to come close with the given seed takes the one of ``SEEDS`` further seeds that comes closest.
     """
     spark = counts.sparkSession
     rows = clean_targets(targets)
     if not rows:
-        return None
-    named = spark.createDataFrame([(m, s) for m, s, _, _ in rows], "mix string, source string")
-    u = draw("mix", "doc_id", seed)
-    bins = counts.where(F.col("n_tokens") > 0).join(F.broadcast(named), "source").groupBy("mix", "source", F.floor(-F.log2(1 - u) * BINS).cast("int").alias("bin")).agg(F.sum("n_tokens").alias("t"))
-    hist: dict[tuple[str, str], list[tuple[float, int]]] = {}
-    for r in bins.collect():  # at most targets x BINS x log2(documents) rows
-        hist.setdefault((r["mix"], r["source"]), []).append((1 - 2 ** (-(r["bin"] + 0.5) / BINS), r["t"]))
-    size = {k: sum(t for _, t in h) for k, h in hist.items()}
-    out = []
+        return spark.createDataFrame([], PLAN)
+    hist = histogram(counts, [(m, s) for m, s, _, _ in rows], range(seed, seed + 1))
+    size = {(m, s): float(t.sum()) for (m, s, _), (_, t) in hist.items()}
+    plan: dict[tuple[str, str], list] = {}
     for mix in sorted({r[0] for r in rows}):
         there = [(s, w, c) for m, s, w, c in rows if m == mix and size.get((m, s))]
         weight = sum(w for _, w, _ in there)
-        most = min((c * size[mix, s] * weight / w for s, w, c in there), default=0.0)
-        goal = most if total is None else total
+        goal = min((c * size[mix, s] * weight / w for s, w, c in there), default=0.0) if total is None else total
         for m, s, w, c in rows:
             if m != mix:
                 continue
             if not size.get((m, s)):
-                out.append((m, s, w, c, 0.0, 0.0, 0.0, []))
+                plan[m, s] = [w, c, 0.0, 0.0, 0.0, seed, 0.0]
                 continue
             want = goal * w / weight
-            rate = solve_rate(sorted(hist[m, s]), want, c)
-            out.append((m, s, w, c, w / weight, want, rate, thresholds(rate, c)))
-    return spark.createDataFrame(out, "mix string, source string, weight double, max_repeats int, share double, want double, rate double, cdf array<double>")
-
-
-def draw(mix: str, doc_id: str, seed: int):
-    """A number in (0, 1) from the seeded hash of mix and document."""
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(mix), F.col(doc_id)), 11).cast("double")
+            rate, got = solve_rate(hist[m, s, seed], want, c)
+            plan[m, s] = [w, c, w / weight, want, rate, seed, got]
+    far = [k for k, p in plan.items() if p[3] and abs(p[6] - p[3]) > CLOSE * p[3] and p[3] < size[k] * p[1]]
+    if far:
+        more = histogram(counts, far, range(seed + 1, seed + 1 + SEEDS))
+        for (m, s, sd), h in sorted(more.items()):
+            p = plan[m, s]
+            rate, got = solve_rate(h, p[3], p[1])
+            if abs(got - p[3]) < abs(p[6] - p[3]):
+                p[4], p[5], p[6] = rate, int(sd), got
+    return spark.createDataFrame([(m, s, *p[:6], thresholds(p[4], p[1]) if p[2] else []) for (m, s), p in plan.items()], PLAN)
+
+
+def draw(seed: Column) -> Column:
+    """A number in (0, 1) from the hash of seed, mix and document."""
+    h = F.shiftrightunsigned(F.xxhash64(seed, F.col("mix"), F.col("doc_id")), 11).cast("double")
     return (h + 0.5) / F.lit(float(2**53))
 
 
@@ -143,9 +179,8 @@ def replicate(counts: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
 
     The plan has one row per target (at most ``MOST_TARGETS``) and is broadcast. A document is repeated at most its source's cap.
     """
-    joined = counts.where(F.col("n_tokens") > 0).join(F.broadcast(plan.where(F.size("cdf") > 0).select("mix", "source", "cdf")), "source")
-    u = draw("mix", "doc_id", seed)
-    copies = joined.withColumn("u", u).withColumn("n", F.size(F.filter("cdf", lambda c: c <= F.col("u")))).where(F.col("n") > 0)
+    joined = counts.where(F.col("n_tokens") > 0).join(F.broadcast(plan.where(F.size("cdf") > 0).select("mix", "source", "seed", "cdf")), "source")
+    copies = joined.withColumn("u", draw(F.col("seed"))).withColumn("n", F.size(F.filter("cdf", lambda c: c <= F.col("u")))).where(F.col("n") > 0)
     flat = copies.select("mix", "source", "doc_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy_no"), "n_tokens")
     flat = flat.withColumn("order_key", F.xxhash64(F.lit(seed + 1), "mix", "doc_id", "copy_no"))
     return flat.repartitionByRange("mix", "order_key").sortWithinPartitions("mix", "order_key", "doc_id")
@@ -160,8 +195,6 @@ def mixed(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source: s
     counts = token_counts(docs, doc_id, source, text, tokenizer).where(F.col("doc_id").isNotNull())
     counts = cut(counts.groupBy("doc_id").agg(F.max(F.struct("n_tokens", "source")).alias("x")).select("doc_id", "x.source", "x.n_tokens"))
     plan = plan_mix(counts, targets, seed, total)
-    if plan is None:
-        plan = docs.sparkSession.createDataFrame([], "mix string, source string, weight double, max_repeats int, share double, want double, rate double, cdf array<double>")
     return replicate(counts, plan, seed), plan
 
 
