@@ -63,7 +63,8 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 class Index:
     """Centroids, codebooks and shards of one group."""
 
-    def __init__(self, sample: np.ndarray, total: int, p: Params, seed: int = 7) -> None:
+    def __init__(self, sample: np.ndarray, total: int, p: Params, asking: np.ndarray | None = None, n_asking: int | None = None, seed: int = 7) -> None:
+        """``sample`` of the ``total`` vectors that are searched; ``asking`` is one of the ``n_asking`` that ask (the same if not given)."""
         rng = np.random.default_rng(seed)
         self.dim, self.p, self.total = sample.shape[1], p, total
         k = int(min(p.cells, max(1, round(2 * math.sqrt(total))), max(1, len(sample) // 8)))
@@ -90,6 +91,8 @@ class Index:
         np.put_along_axis(self.asks, order, before < max(p.least, p.share * total), axis=1)
         self.asks_shard = np.stack([self.asks[:, groups == s].any(axis=1) for s in range(n_shards)], axis=1)
         # the vectors that ask a shard are divided into chunks by their cell, those of a large cell by their key too
+        if asking is not None and len(asking):
+            weight = np.bincount(_nearest(asking, self.centroids), minlength=len(self.centroids)) * (n_asking / len(asking))
         self.chunks = np.maximum(1, np.ceil(self.asks_shard.T @ weight / p.queries)).astype(np.int64)
         self.parts = np.maximum(1, np.ceil(weight / (p.queries / 2))).astype(np.int64)
 
@@ -118,28 +121,31 @@ def usable(table: DataFrame, src: str, key: str, models: dict[str, int]) -> Data
     return v.where((F.size("v") == size) & good)
 
 
-def fit(vectors: DataFrame, p: Params) -> dict[tuple[str, str], Index]:
-    """An index for each group, on the ``p.sample`` vectors whose keys hash lowest."""
+def _sample(vectors: DataFrame, most: int) -> dict[tuple[str, str], tuple[np.ndarray, int]]:
+    """Of each group about ``most`` unit vectors, those whose keys hash lowest, and the group's size."""
     counts = {(r["src"], r["model"]): r["n"] for r in vectors.groupBy("src", "model").agg(F.count(F.lit(1)).alias("n")).collect()}
-    h = F.xxhash64("key")
     out = {}
     for (src, model), n in sorted(counts.items()):
         g = vectors.where((F.col("src") == src) & (F.col("model") == model))
-        if n > p.sample:  # a uniform share of the hash range, a little over the sample's size
-            most = int(-(2**63) + 2**64 * min(1.0, 1.05 * p.sample / n))
-            g = g.where(h < F.lit(most))
-        x = np.array([r["v"] for r in g.select("key", "v").orderBy("key").limit(2 * p.sample).collect()], dtype=np.float32)
+        if n > most:
+            g = g.where(F.xxhash64("key") < F.lit(int(-(2**63) + 2**64 * min(1.0, 1.05 * most / n))))
+        x = np.array([r["v"] for r in g.select("key", "v").orderBy("key").limit(2 * most).collect()], dtype=np.float32)
         if len(x):
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            out[src, model] = Index(x, n, p)
+            out[src, model] = x / np.linalg.norm(x, axis=1, keepdims=True), n
     return out
 
 
+def fit(base: DataFrame, asking: DataFrame, p: Params) -> dict[tuple[str, str], Index]:
+    """An index for each group, on a bounded sample of the vectors searched; the sample of those that ask only sizes the tasks."""
+    asks = _sample(asking, p.sample)
+    return {g: Index(x, n, p, *asks[g]) for g, (x, n) in _sample(base, p.sample).items()}
+
+
 _PLACED = "src string, model string, key string, v array<float>, cell int, codes binary, shard int, slice int, chunk int, asks boolean"
 
 
-def _place(indexes: dict[tuple[str, str], Index]):
-    """Each vector as a row of its own shard (``asks`` false), once per chunk of it, and as an asking row of every shard it probes."""
+def _place(indexes: dict[tuple[str, str], Index], asks: bool):
+    """Each vector as a row of its own shard, once per chunk of it, or (``asks``) as an asking row of every shard it probes."""
     schema = pa.schema([("src", pa.string()), ("model", pa.string()), ("key", pa.string()), ("v", pa.list_(pa.float32())), ("cell", pa.int32()), ("codes", pa.binary()), ("shard", pa.int32()), ("slice", pa.int32()), ("chunk", pa.int32()), ("asks", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,20 +160,22 @@ def _place(indexes: dict[tuple[str, str], Index]):
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 key = b.column(2).take(pa.array(at))
                 cell = _nearest(x, ix.centroids)
+                h = hashes[at]
+                if asks:
+                    q, s = np.nonzero(ix.asks_shard[cell])
+                    n = ix.slices[s]
+                    qq, ss = np.repeat(q, n), np.repeat(s, n)
+                    c = cell[qq]
+                    ch = (c * 7919 + ((h[qq] >> np.uint64(20)).astype(np.int64) % ix.parts[c])) % ix.chunks[ss]
+                    yield _rows(schema, g, key, raw, qq, cell, None, ss, np.concatenate([np.arange(k) for k in n]), ch, True)
+                    continue
                 codes = ix.codes(x, cell)
                 shard = ix.shard_of[cell]
-                h = hashes[at]
                 part = (h % ix.slices[shard].astype(np.uint64)).astype(np.int64)
                 n = ix.chunks[shard]
                 rep = np.repeat(np.arange(len(at)), n)
                 chunk = np.concatenate([np.arange(k) for k in n])
                 yield _rows(schema, g, key, raw, rep, cell, codes, shard[rep], part[rep], chunk, False)
-                q, s = np.nonzero(ix.asks_shard[cell])
-                n = ix.slices[s]
-                qq, ss = np.repeat(q, n), np.repeat(s, n)
-                c = cell[qq]
-                ch = (c * 7919 + ((h[qq] >> np.uint64(20)).astype(np.int64) % ix.parts[c])) % ix.chunks[ss]
-                yield _rows(schema, g, key, raw, qq, cell, None, ss, np.concatenate([np.arange(k) for k in n]), ch, True)
 
     return run
 
@@ -256,13 +264,17 @@ def nearest(vectors: DataFrame, k: int = 5, p: Params = Params()) -> DataFrame:
     """``src, model, key, near, cos, rank``: for every vector its ``k`` nearest others of the same group by cosine, ties to the smaller key.
 
     ``vectors`` has one row per ``(src, model, key)``; a group of fewer than ``k + 1`` vectors gives all others. Equal vectors are neighbours
-    like any others. An empty table gives no rows.
+    like any others; of any number of equal ones only the ``k + 1`` smallest keys can be among anybody's ``k`` nearest, so only those are
+    searched, and a vector that a third of all rows share makes no cell hot. An empty table gives no rows.
     """
     v = cut(vectors.select("src", "model", "key", "v"))
-    indexes = fit(v, p)
+    copies = Window.partitionBy("src", "model", "v").orderBy("key")
+    base = cut(v.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy"))
+    indexes = fit(base, v, p)
     if not indexes:
         return v.select("src", "model", "key", F.col("key").alias("near"), F.lit(0.0).alias("cos"), F.lit(0).alias("rank")).limit(0)
-    placed = v.select("src", "model", "key", "v", F.shiftrightunsigned(F.xxhash64("key"), 1).alias("h")).mapInArrow(_place(indexes), _PLACED)
+    hashed = lambda df: df.select("src", "model", "key", "v", F.shiftrightunsigned(F.xxhash64("key"), 1).alias("h"))
+    placed = hashed(base).mapInArrow(_place(indexes, False), _PLACED).unionByName(hashed(v).mapInArrow(_place(indexes, True), _PLACED))
     groups = sum(int((ix.slices * ix.chunks).sum()) for ix in indexes.values())
     # the work is in the search, not in the bytes: a stated number of partitions keeps small tables from falling into a few tasks
     placed = placed.repartition(max(8, min(4000, 2 * groups)), "src", "model", "shard", "slice", "chunk")
@@ -297,10 +309,10 @@ def brute_force(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int =
             for i in range(0, len(q), 512):
                 cos = np.round(np.einsum("qd,nd->qn", q[i : i + 512], x, optimize=True), 12)
                 cos[keys[i : i + 512, None] == names[None, :]] = -np.inf
+                least = np.partition(cos, cos.shape[1] - k, axis=1)[:, -k] if cos.shape[1] > k else np.full(len(cos), -np.inf)
                 for r in range(len(cos)):
-                    for j in np.lexsort((names, -cos[r]))[:k]:
-                        if cos[r, j] > -np.inf:
-                            out.append((g[0], g[1], keys[i + r], names[j], cos[r, j]))
+                    near = [(-cos[r, j], names[j]) for j in np.flatnonzero(cos[r] >= least[r]) if cos[r, j] > -np.inf]
+                    out += [(g[0], g[1], keys[i + r], name, -c) for c, name in sorted(near)[:k]]
         return pd.DataFrame({c: list(x) for c, x in zip(("src", "model", "key", "near", "cos"), zip(*out))}) if out else pd.DataFrame({c: pd.Series([], dtype="float64" if c == "cos" else object) for c in ("src", "model", "key", "near", "cos")})
 
     def blocks(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
