@@ -91,7 +91,7 @@ def shred(df: DataFrame, src: str, key: str, columns: dict[str, list[Level]]) ->
 
     Every row is visited once, in its own task, with no shuffle; memory holds one record at a time beside a batch of output. JSON that
     is null, empty, cut off or not JSON has no children; JSON encoded twice is decoded twice. Records repeated exactly come out as often
-    as they stand; ``dedupe`` in the callers removes them. Columns other than those named are never read.
+    as they stand; the queries take distinct rows. Columns other than those named are never read.
     """
     names = list(columns)
     levels = [columns[c] for c in names]
