@@ -42,6 +42,26 @@ def strength(edges: DataFrame, tops: DataFrame, tags: DataFrame) -> DataFrame:
     return f.select("a", "b", (F.col("link") + z("tags") + z("common") * 0.5 + same).alias("strength"))
 
 
+def common_targets(edges: DataFrame, piece: int = 2000) -> DataFrame:
+    """``a, b, n_shared``: all pairs ``a < b`` of notes with two common targets or more, hubs counted like any other.
+
+    Every note carries its targets, rarest first. A pair meets at each common target but is kept at the rarest one only, so it comes out
+    once, without a shuffle of pairs; a note's last target can't be the rarer of two and is never joined. Targets with more than ``piece``
+    notes are spread over tasks: one side in pieces, the other repeated for each.
+    """
+    e = cut(edges)
+    ids = cut(e.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).orderBy("n", "dst").select("dst", F.monotonically_increasing_id().alias("t")))
+    lists = e.join(ids, "dst").groupBy("src").agg(F.sort_array(F.collect_list("t")).alias("ts")).where(F.size("ts") > 1)
+    heads = cut(lists.select("src", "ts", F.explode(F.slice("ts", F.lit(1), F.size("ts") - 1)).alias("t")))
+    pieces = heads.groupBy("t").agg(F.ceil(F.count(F.lit(1)) / piece).cast("int").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "m")
+    heads = heads.join(pieces, "t")
+    a = heads.select("t", F.pmod(F.hash("src"), "m").alias("p"), F.col("src").alias("a"), F.col("ts").alias("ta"))
+    b = heads.select("t", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("p"), F.col("src").alias("b"), F.col("ts").alias("tb"))
+    both = F.array_intersect("ta", "tb")
+    met = a.join(b, ["t", "p"]).where((F.col("a") < F.col("b")) & (F.size(both) > 1) & (F.get(both, F.lit(0)) == F.col("t")))
+    return met.select("a", "b", F.size(both).cast("long").alias("n_shared"))
+
+
 def hops(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
     """Breadth-first: ``root, k, hop`` for nodes within ``most`` hops of each root in ``start(root)``. Each round joins the frontier only; lineage is cut every round."""
     seen = start.select("root", F.col("root").alias("k"), F.lit(0).alias("hop"))

@@ -115,11 +115,8 @@ def graph_modified_in_range(spark, d):
 
 @add("SELECT a.src AS a, b.src AS b, count(*) AS n_shared FROM edges a JOIN edges b ON a.dst = b.dst AND a.src < b.src JOIN deg ON deg.k = a.dst WHERE deg.n_in <= 20 GROUP BY 1, 2 HAVING count(*) >= 2")
 def join_common_neighbours(spark, d):
-    """Pairs of notes that share at least two targets, hubs of more than 20 backlinks left aside."""
-    n, _, e = base(spark, d)
-    few = e.join(G.degrees(e, n).where("n_in <= 20").select(F.col("k").alias("dst")), "dst", "left_semi")
-    a, b = (few.select(F.col("dst").alias("t"), F.col("src").alias(x)) for x in "ab")
-    return a.join(b, "t").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_shared")).where("n_shared >= 2")
+    """Pairs of notes that share at least two targets, hubs among them."""
+    return G.common_targets(base(spark, d)[2])
 
 
 @add("SELECT x.src AS a, x.dst AS b FROM edges x JOIN edges y ON x.src = y.dst AND x.dst = y.src WHERE x.src <= x.dst")
