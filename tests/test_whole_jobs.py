@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter
+from datetime import datetime
 from itertools import combinations
 
-from wherry.operators import graph
+from wherry.operators import association, graph
 
 
 def test_common_targets_count_hubs(spark):
@@ -19,3 +21,17 @@ def test_common_targets_count_hubs(spark):
         rows = [tuple(r) for r in graph.common_targets(e, piece).collect()]
         assert max(Counter(r[:2] for r in rows).values()) == 1
         assert {r[:2]: r[2] for r in rows} == want
+
+
+def test_long_sessions_keep_their_pairs(spark):
+    at = datetime(2024, 1, 31)
+    size = {"long": 60, "longer": 75, "short": 4, "two": 2, "one": 1}
+    reads = [(k, i, at) for k, n in size.items() for i in range(n)] + [("long", 3, at), ("long", None, at)]
+    want = Counter()
+    for n in size.values():
+        for p in combinations(range(n), 2):
+            want[p] += 1 / math.log(n) if n > 2 else 1.0
+    r = spark.createDataFrame(reads, "session string, note long, at timestamp_ntz")
+    for most, piece in ((50, 2000), (50, 7), (3, 10), (100, 2000)):
+        got = {(x["a"], x["b"]): x["weight"] for x in association.co_retrieval(r, "2024-01-31", most=most, piece=piece).collect()}
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 2e-6 for p in want)

@@ -26,12 +26,23 @@ def adamic_adar(mentions: DataFrame, most: int = 200) -> DataFrame:
     return pairs.unionByName(wide).groupBy("a", "b").agg(F.round(F.sum("w"), 6).alias("weight"), F.count(F.lit(1)).alias("n"))
 
 
-def co_retrieval(reads: DataFrame, as_of: str, days: float = 7.0, most: int = 50) -> DataFrame:
-    """``a, b, weight``: notes read in the same session, 1/ln(n) per session of n notes, halved every ``days``. ``reads(session, note, at)``; sessions of 2 to ``most`` notes, as a longer one says nothing of a pair."""
-    n = reads.where(F.col("note").isNotNull()).groupBy("session").agg(F.array_sort(F.collect_set("note")).alias("es"), F.max("at").alias("at")).where(F.size("es").between(2, most))
-    w = half_life(F.col("at"), as_of, days) / F.when(F.size("es") > 2, F.log(F.size("es").cast("double"))).otherwise(F.lit(1.0))
-    p = n.select(w.alias("w"), "es", F.explode(F.sequence(F.lit(1), F.size("es"))).alias("i")).select("w", F.element_at("es", F.col("i")).alias("a"), F.explode(F.slice("es", F.col("i") + 1, F.size("es"))).alias("b"))
-    return p.groupBy("a", "b").agg(F.round(F.sum("w"), 6).alias("weight"))
+def co_retrieval(reads: DataFrame, as_of: str, days: float = 7.0, most: int = 50, piece: int = 2000) -> DataFrame:
+    """``a, b, weight``: notes read in the same session, 1/ln(n) per session of n notes, halved every ``days``. ``reads(session, note, at)``.
+
+    The pairs of a session stay within its own array of at most ``most`` notes; longer sessions are joined pairwise on the session, one side
+    in pieces of about ``piece`` notes and the other repeated for each, so no pair is lost and no task holds a whole long session's pairs.
+    """
+    m = reads.where(F.col("note").isNotNull()).groupBy("session", "note").agg(F.max("at").alias("at"))
+    of = m.where(F.col("session").isNotNull()).groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("last")).where("n > 1")
+    w = half_life(F.col("last"), as_of, days) / F.when(F.col("n") > 2, F.log(F.col("n").cast("double"))).otherwise(F.lit(1.0))
+    m = m.select("session", "note").join(of.select("session", "n", w.alias("w"), F.ceil(F.col("n") / piece).cast("int").alias("m")), "session")
+    small = m.where(F.col("n") <= most).groupBy("session", "w").agg(F.array_sort(F.collect_list("note")).alias("es"))
+    p = small.select("w", "es", F.explode(F.sequence(F.lit(1), F.size("es"))).alias("i")).select("w", F.element_at("es", F.col("i")).alias("a"), F.explode(F.slice("es", F.col("i") + 1, F.size("es"))).alias("b"))
+    large = m.where(F.col("n") > most)
+    x = large.select("session", F.pmod(F.hash("note"), "m").alias("p"), "w", F.col("note").alias("a"))
+    y = large.select("session", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("p"), F.col("note").alias("b"))
+    wide = x.join(y, ["session", "p"]).where("a < b").select("w", "a", "b")
+    return p.unionByName(wide).groupBy("a", "b").agg(F.round(F.sum("w"), 6).alias("weight"))
 
 
 def variants(word: Column) -> Column:
