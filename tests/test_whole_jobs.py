@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from collections import Counter
 from datetime import datetime
 from itertools import combinations
@@ -35,3 +36,48 @@ def test_long_sessions_keep_their_pairs(spark):
     for most, piece in ((50, 2000), (50, 7), (3, 10), (100, 2000)):
         got = {(x["a"], x["b"]): x["weight"] for x in association.co_retrieval(r, "2024-01-31", most=most, piece=piece).collect()}
         assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 2e-6 for p in want)
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        row, last = [i + 1], row
+        for j, y in enumerate(b):
+            row.append(min(last[j] + (x != y), last[j + 1] + 1, row[j] + 1))
+    return row[-1]
+
+
+def merge_rule(x, y):
+    a, b = x.lower(), y.lower()
+    short, longer = sorted((a, b), key=len)
+    fold = [re.sub("[^a-z0-9]", "", n) for n in (a, b)]
+    plain = [re.sub("ts$", "", re.sub("js$", "", re.sub("[.\\-_]", "", n))) for n in (a, b)]
+    if a == b:
+        return 0.95, "exact"
+    if fold[0] == fold[1] != "" or (plain[0] == plain[1] and len(plain[0]) >= 3):
+        return 0.85, "same"
+    if len(short) >= 3 and short in longer and len(short) / len(longer) > 0.5:
+        return round(0.6 + 0.2 * len(short) / len(longer), 6), "substring"
+    if len(short) >= 4 and edits(a, b) / len(longer) < 0.35:
+        return round(0.5 + 0.4 * (1 - edits(a, b) / len(longer)), 6), "near"
+    return None
+
+
+def test_merge_candidates_by_every_rule(spark):
+    rng = random.Random(4)
+    names = ["React", "react.js", "REACT", "Re act", "abc", "abcd", "abcde", "abcdefg", "", "..", "Vestibule 3", "Vestibule"]
+    for _ in range(30):
+        w = "".join(rng.choice("abcdef ") for _ in range(rng.randint(3, 24)))
+        names.append(w)
+        for _ in range(4):
+            v = list(w)
+            for _ in range(rng.randint(1, 8)):
+                k = rng.randrange(len(v) + 1)
+                v[k : k + rng.randint(0, 1)] = rng.choice(["", "x", "ab"])
+            names.append("".join(v))
+    want = {(i, j): r for (i, x), (j, y) in combinations(enumerate(names), 2) if (r := merge_rule(x, y))}
+    assert {r for _, r in want.values()} == {"exact", "same", "substring", "near"}
+    e = spark.createDataFrame([*enumerate(names), (len(names), None)], "id long, name string")
+    got = {(r["a"], r["b"]): (r["score"], r["reason"]) for r in association.merge_candidates(e).collect()}
+    assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+    assert all(abs(got[k][0] - want[k][0]) < 2e-6 for k in want)

@@ -95,16 +95,55 @@ def token_coverage(texts: DataFrame, key: str, text: Column, entities: DataFrame
     return c.where(F.when(F.col("n") <= 2, F.col("hit") == F.col("n")).otherwise(F.col("hit") >= 0.75 * F.col("n"))).select(key, "id")
 
 
+def near_pairs(terms: DataFrame, names: DataFrame) -> DataFrame:
+    """``term, name``: candidates that hold every pair within ``edits`` of ``terms(term, edits, lengths)``; of ``names(name, kinds)`` those of the ``lengths`` count.
+
+    A name is cut into ``edits + 1`` segments (for each number of edits in ``kinds``); of a name within so many edits one segment stands whole in
+    the term, shifted by no more than the edits and the lengths allow. Joined on length, edits, segment number and segment.
+    """
+    n = names.select("name", F.length("name").alias("len"), F.explode("kinds").alias("edits"))
+    t = terms.select("term", "edits", F.length("term").alias("own"), F.explode("lengths").alias("len"))
+    at = lambda x: x.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("edits")))).withColumn("base", F.expr("len div (edits + 1)")).withColumn("extra", F.greatest(F.lit(0), F.col("i") - (F.col("edits") + 1 - F.col("len") % (F.col("edits") + 1)))).withColumn("start", (F.col("i") * F.col("base") + F.col("extra")).cast("int")).withColumn("size", (F.col("base") + F.when(F.col("i") >= F.col("edits") + 1 - F.col("len") % (F.col("edits") + 1), 1).otherwise(0)).cast("int"))
+    n = at(n).select("len", "edits", "i", F.expr("substring(name, start + 1, size)").alias("seg"), "name")
+    gap = F.col("own") - F.col("len")
+    first = F.greatest(F.lit(0), F.col("start") - F.floor((F.col("edits") - gap) / 2).cast("int"))
+    last = F.least(F.col("own") - F.col("size"), F.col("start") + F.floor((F.col("edits") + gap) / 2).cast("int"))
+    t = at(t).withColumn("first", first).withColumn("last", last).where("first <= last")
+    t = t.select("len", "edits", "i", "size", "term", F.explode(F.sequence("first", "last")).alias("q")).select("len", "edits", "i", F.expr("substring(term, q + 1, size)").alias("seg"), "term").distinct()
+    return t.join(n, ["len", "edits", "i", "seg"]).select("term", "name").distinct()
+
+
+def substring_pairs(names: DataFrame) -> DataFrame:
+    """``term, name``: candidates that hold every name of three letters or more and each longer one, less than twice as long, that contains it. Joined on the rarest three letters of the shorter."""
+    g = names.where(F.length("name") >= 3).select("name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - 2), lambda i: F.substring(F.col("name"), i, F.lit(3))))).alias("g"))
+    rare = g.join(g.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "g").groupBy("name").agg(F.min(F.struct("n", "g")).alias("x")).select("name", F.col("x.g").alias("g"))
+    p = g.toDF("term", "g").join(rare, "g").where((F.length("term") > F.length("name")) & (F.length("term") < 2 * F.length("name")))
+    return p.where(F.contains("term", "name")).select("term", "name")
+
+
 def merge_candidates(entities: DataFrame) -> DataFrame:
-    """``a, b, score, reason``: entities that may be one, by equal folded names (0.85) or names within one edit (0.5 + 0.4 of their similarity). Joined on shared keys."""
+    """``a, b, score, reason``: entities that may be one, by the first of: equal names (``exact``, 0.95), equal folded names (``same``, 0.85), one name in the other and more than half as long (``substring``, 0.6 + 0.2 of the ratio of lengths),
+    an edit distance below 35 % of the longer of two names of four letters or more (``near``, 0.5 + 0.4 of their similarity). Distinct names are matched, on shared keys."""
     from wherry.functions.exprs import fuzzy_key
 
-    e = entities.select("id", F.lower("name").alias("name"), fuzzy_key(F.col("name")).alias("fk"))
-    x, y = e.select(F.col("id").alias("a"), F.col("name").alias("na"), "fk"), e.select(F.col("id").alias("b"), F.col("name").alias("nb"), "fk")
-    same = x.join(y, "fk").where("a < b and fk <> ''").select("a", "b", F.lit(0.85).alias("score"), F.lit("same").alias("reason"))
-    vx = e.where(F.length("name") >= 6).select(F.col("id").alias("a"), F.col("name").alias("na"), F.explode(variants(F.col("name"))).alias("v"))
-    vy = e.where(F.length("name") >= 6).select(F.col("id").alias("b"), F.col("name").alias("nb"), F.explode(variants(F.col("name"))).alias("v"))
-    near = vx.join(vy, "v").where("a < b").select("a", "b", "na", "nb").distinct().where(F.levenshtein("na", "nb") <= 1)
-    near = near.select("a", "b", F.round(0.5 + 0.4 * fuzzy_similarity(F.col("na"), F.col("nb")), 6).alias("score"), F.lit("near").alias("reason"))
-    g = same.unionByName(near).groupBy("a", "b").agg(F.max(F.struct("score", "reason")).alias("x"))
-    return g.select("a", "b", "x.score", "x.reason")
+    e = entities.select("id", F.lower("name").alias("name")).where("name is not null").distinct()
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("name", r"[.\-_]", ""), "js$", ""), "ts$", "")
+    names = e.select("name").distinct().withColumns({"fk": fuzzy_key(F.col("name")), "plain": plain})
+    keys = names.select("name", F.explode(F.array(F.concat(F.lit("f"), F.when(F.col("fk") != "", F.col("fk"))), F.concat(F.lit("p"), F.when(F.length("plain") >= 3, F.col("plain"))))).alias("key")).where("key is not null")
+    folded = keys.toDF("term", "key").join(keys, "key").where("term <> name").select("term", "name", F.lit(True).alias("fold"))
+    long = names.select("name", F.length("name").alias("len")).where("len >= 4")
+    most = lambda n: F.floor((n * 35 - 1) / 100).cast("int")  # noqa: E731  the most edits below 35 %
+    terms = long.select(F.col("name").alias("term"), most(F.col("len")).alias("edits"), F.sequence(F.greatest(F.lit(4), F.col("len") - most(F.col("len"))), "len").alias("lengths"))
+    kinds = F.array_distinct(F.transform(F.filter(F.sequence("len", F.col("len") * 2), lambda n: n - F.col("len") <= most(n)), most))
+    near = near_pairs(terms, long.select("name", kinds.alias("kinds"))).where("term <> name")
+    ordered = [F.least("term", "name").alias("na"), F.greatest("term", "name").alias("nb"), "fold"]
+    c = folded.select(*ordered).unionByName(substring_pairs(names.select("name")).unionByName(near).withColumn("fold", F.lit(False)).select(*ordered)).groupBy("na", "nb").agg(F.max("fold").alias("fold"))
+    short, longer, edits = F.least(F.length("na"), F.length("nb")), F.greatest(F.length("na"), F.length("nb")), F.levenshtein("na", "nb")
+    inside = (short >= 3) & (short * 2 > longer) & (F.contains("na", "nb") | F.contains("nb", "na"))
+    close = (short >= 4) & (edits * 100 < longer * 35)
+    rule = F.when(F.col("fold"), F.struct(F.lit(0.85).alias("score"), F.lit("same").alias("reason"))).when(inside, F.struct((0.6 + 0.2 * (short / longer)).alias("score"), F.lit("substring").alias("reason"))).when(close, F.struct((0.5 + 0.4 * (1 - edits / longer)).alias("score"), F.lit("near").alias("reason")))
+    c = c.select("na", "nb", rule.alias("x")).where("x is not null").select("na", "nb", F.round("x.score", 6).alias("score"), "x.reason")
+    c = c.unionByName(names.select(F.col("name").alias("na"), F.col("name").alias("nb"), F.lit(0.95).alias("score"), F.lit("exact").alias("reason")))
+    p = c.join(e.select(F.col("id").alias("ia"), F.col("name").alias("na")), "na").join(e.select(F.col("id").alias("ib"), F.col("name").alias("nb")), "nb").where("ia <> ib")
+    p = p.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "score", "reason")
+    return p.groupBy("a", "b").agg(F.max(F.struct("score", "reason")).alias("x")).select("a", "b", "x.score", "x.reason")
