@@ -10,6 +10,7 @@ from datetime import datetime
 from itertools import combinations
 
 from wherry.operators import association, graph
+from wherry.plans import graph as plans
 
 
 def test_common_targets_count_hubs(spark):
@@ -81,3 +82,17 @@ def test_merge_candidates_by_every_rule(spark):
     got = {(r["a"], r["b"]): (r["score"], r["reason"]) for r in association.merge_candidates(e).collect()}
     assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
     assert all(abs(got[k][0] - want[k][0]) < 2e-6 for k in want)
+
+
+def test_strength_and_costs_count_shared_tags(spark):
+    front = {"x/a": 'draft log [session, rollout] "[[Some Note]]"', "x/b": "[rollout, session, session] done", "c": 'note "[[rollout, x]]"', "d": None}
+    n = spark.createDataFrame(list(front.items()), "k string, frontmatter string")
+    e = spark.createDataFrame([("x/a", "x/b"), ("x/b", "x/a"), ("x/a", "c"), ("x/b", "c"), ("c", "d"), ("d", "d")], "src string, dst string")
+    tags = {(r["k"], r["tag"]) for r in plans.note_tags(n).collect()}
+    assert tags == {("x/a", "session"), ("x/a", "rollout"), ("x/b", "session"), ("x/b", "rollout")}
+    strength = {(r["a"], r["b"]): r["strength"] for r in plans.pair_strength(e, n).collect()}
+    assert strength == {("x/a", "x/b"): 3 + 2 + 0.5 + 1, ("c", "x/a"): 1, ("c", "x/b"): 1, ("c", "d"): 1}
+    links = {"x/a": 3, "x/b": 3, "c": 3, "d": 3}
+    want = {p: 1 / (1 + v) * (1 + math.log2(links[p[1]])) for ab, v in strength.items() for p in (ab, ab[::-1])}
+    got = {(r["src"], r["dst"]): r["w"] for r in plans.path_costs(e, n).collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-8 for p in want)

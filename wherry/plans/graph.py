@@ -28,6 +28,18 @@ def base(spark: SparkSession, d: str, *extra: str) -> tuple[DataFrame, DataFrame
     return n, r, G.note_edges(r, n)
 
 
+def note_tags(notes: DataFrame) -> DataFrame:
+    """``k, tag``: the tags of notes, once each. Their frontmatter has them as a list in brackets; the double brackets of a link are none."""
+    lists = F.regexp_extract_all("frontmatter", F.lit(r"(?<!\[)\[([^\[\]]*)\](?!\])"), 1)
+    items = F.transform(F.flatten(F.transform(lists, lambda x: F.split(x, ","))), lambda t: F.regexp_replace(F.trim(t), "^[\"'#]+|[\"']+$", ""))
+    return notes.select("k", F.explode(items).alias("tag")).where("tag <> ''").distinct()
+
+
+def pair_strength(e: DataFrame, n: DataFrame) -> DataFrame:
+    """Strength of every linked pair, with shared tags; ``n`` has the notes' ``frontmatter``."""
+    return G.strength(e, n.select("k", folder_of(F.col("k")).alias("folder")), note_tags(n))
+
+
 @add("SELECT link_id, src, dst, target_k AS leads_to, target_k IS NOT NULL AS is_there FROM res")
 def join_forward_links(spark, d):
     """Every link with the note it leads to."""
@@ -131,8 +143,8 @@ FROM (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(DISTINCT src)
 LEFT JOIN (SELECT p.a, p.b, count(*) AS n FROM (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst) p JOIN edges x ON x.src = p.a AND x.dst <> x.src JOIN edges y ON y.src = p.b AND y.dst = x.dst AND y.dst <> y.src GROUP BY 1, 2) c ON c.a = p.a AND c.b = p.b""")
 def graph_connection_strength(spark, d):
     """Strength of every linked pair."""
-    n, _, e = base(spark, d)
-    return G.strength(e, n.select("k", folder_of(F.col("k")).alias("folder")), spark.createDataFrame([], "k string, tag string"))
+    n, _, e = base(spark, d, "frontmatter")
+    return pair_strength(e, n)
 
 
 @add("""SELECT k, other, weight, rank FROM (SELECT k, other, max(weight) AS weight, row_number() OVER (PARTITION BY k ORDER BY max(weight) DESC, other) AS rank FROM
@@ -177,6 +189,13 @@ def graph_ego_network(spark, d):
     return e.join(ego.toDF("src"), "src", "left_semi").join(ego.toDF("dst"), "dst", "left_semi").select("src", "dst")
 
 
+def path_costs(e: DataFrame, n: DataFrame) -> DataFrame:
+    """``src, dst, w``: each edge both ways at 1 / (1 + strength) times 1 + log2 of the links of the note it leads to."""
+    deg = G.degrees(e, n).select(F.col("k").alias("dst"), (F.col("n_in") + F.col("n_out")).alias("deg"))
+    u = G.undirected(e).withColumn("a", F.least("src", "dst")).withColumn("b", F.greatest("src", "dst")).join(pair_strength(e, n), ["a", "b"]).join(deg, "dst")
+    return u.select("src", "dst", F.round((1.0 / (1 + F.col("strength"))) * (1 + F.log2("deg")), 9).alias("w"))
+
+
 _W = "w AS (SELECT u.src, u.dst, round((1.0 / (1 + coalesce(s.n, 0))) * (1 + log2(deg.n_in + deg.n_out)), 9) AS w FROM und u JOIN deg ON deg.k = u.dst LEFT JOIN (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS n FROM edges WHERE src <> dst GROUP BY 1, 2) s ON s.a = least(u.src, u.dst) AND s.b = greatest(u.src, u.dst))"
 
 
@@ -185,17 +204,12 @@ p1 AS (SELECT k, min(cost) AS cost FROM (SELECT * FROM p0 UNION ALL SELECT dst,
 p2 AS (SELECT k, min(cost) AS cost FROM (SELECT * FROM p1 UNION ALL SELECT dst, round(cost + w, 9) FROM p1 JOIN w ON src = k) GROUP BY 1),
 p3 AS (SELECT k, min(cost) AS cost FROM (SELECT * FROM p2 UNION ALL SELECT dst, round(cost + w, 9) FROM p2 JOIN w ON src = k) GROUP BY 1) SELECT k, round(cost, 6) AS cost FROM p3""")
 def graph_weighted_paths(spark, d):
-    """Least cost from the note with the most links over at most three edges; an edge costs less if links run both ways and more into a hub."""
+    """Least cost from the note with the most links over at most three edges; an edge costs less the stronger its pair is and more into a hub."""
     from wherry.session import cut
 
-    n, _, e = base(spark, d)
+    n, _, e = base(spark, d, "frontmatter")
     e = cut(e)
-    u = G.undirected(e)
-    s = e.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    deg = G.degrees(e, n).select(F.col("k").alias("dst"), (F.col("n_in") + F.col("n_out")).alias("deg"))
-    u = u.withColumn("a", F.least("src", "dst")).withColumn("b", F.greatest("src", "dst")).join(s, ["a", "b"], "left").join(deg, "dst")
-    w = cut(u.select("src", "dst", F.round((1.0 / (1 + F.coalesce("n", F.lit(0)))) * (1 + F.log2("deg")), 9).alias("w")))
-    return G.cheapest(w, _root(e), 3).select("k", F.round("cost", 6).alias("cost"))
+    return G.cheapest(cut(path_costs(e, n)), _root(e), 3).select("k", F.round("cost", 6).alias("cost"))
 
 
 def graph_components(spark, d):
