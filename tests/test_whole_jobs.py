@@ -96,3 +96,27 @@ def test_strength_and_costs_count_shared_tags(spark):
     want = {p: 1 / (1 + v) * (1 + math.log2(links[p[1]])) for ab, v in strength.items() for p in (ab, ab[::-1])}
     got = {(r["src"], r["dst"]): r["w"] for r in plans.path_costs(e, n).collect()}
     assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-8 for p in want)
+
+
+def test_centrality_of_a_long_chain(spark):
+    n = 68
+    nodes = spark.createDataFrame([(f"d{i:02d}",) for i in range(n)], "k string")
+    e = spark.createDataFrame([(f"d{i:02d}", f"d{i + 1:02d}") for i in range(n - 1)], "src string, dst string")
+    got = {r["k"]: (r["betweenness"], r["closeness"]) for r in graph.centrality(e, nodes).collect()}
+    for i in range(n):
+        far = sum(abs(i - j) for j in range(n))
+        want = 2 * i * (n - 1 - i) / ((n - 1) * (n - 2)), (n - 1) / far
+        assert all(abs(g - w) < 2e-6 for g, w in zip(got[f"d{i:02d}"], want, strict=True))
+
+
+def test_hops_and_paths_reach_ten_links(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    names = [f"n{i:02d}" for i in range(13)]
+    spark.createDataFrame([(k, k, None, "", at, at) for k in [*names, "x"]], "path string, title string, frontmatter string, content string, modified timestamp_ntz, created timestamp_ntz").write.parquet(f"{tmp_path}/notes_fts.parquet")
+    chain = [*zip(names, names[1:], strict=False), ("n00", "x")]
+    spark.createDataFrame([(i, a, b, 1.0, at) for i, (a, b) in enumerate(chain)], "link_id long, note_path string, target string, weight double, weight_updated_at timestamp_ntz").write.parquet(f"{tmp_path}/note_links.parquet")
+    spark.createDataFrame([], "id long, name string, path string, aliases_json string, category string").write.parquet(f"{tmp_path}/entities.parquet")
+    hops = {r["k"]: r["hop"] for r in plans.graph_shortest_hops(spark, str(tmp_path)).collect()}
+    assert hops == {"x": 1} | {k: i for i, k in enumerate(names[:11])}
+    costs = {r["k"]: r["cost"] for r in plans.graph_weighted_paths(spark, str(tmp_path)).collect()}
+    assert costs == {"n00": 0, "x": 0.5} | {k: float(i) for i, k in enumerate(names[:11]) if i}

@@ -121,8 +121,8 @@ def eigenvector(edges: DataFrame, nodes: DataFrame, rounds: int = 50, every: int
     return v.select("k", F.round(F.col("x") / F.lit(top) * 100, 4).alias("score"))
 
 
-def centrality(edges: DataFrame, nodes: DataFrame, most_levels: int = 64) -> DataFrame:
-    """``k, betweenness, closeness``: Brandes' algorithm over all sources at once, level by level, as joins and aggregates on ``(root, node)``.
+def centrality(edges: DataFrame, nodes: DataFrame, gather: int = 16) -> DataFrame:
+    """``k, betweenness, closeness``: Brandes' algorithm over all sources at once, level by level until no level is left, as joins and aggregates on ``(root, node)``. What was seen is gathered every ``gather`` levels.
 
     Undirected and without self links; betweenness is divided by (N-1)(N-2), closeness is reached over summed distances.
     """
@@ -130,12 +130,16 @@ def centrality(edges: DataFrame, nodes: DataFrame, most_levels: int = 64) -> Dat
     n = nodes.count()
     level = nodes.select(F.col("k").alias("root"), "k", F.lit(1.0).alias("paths"))
     seen = level.withColumn("hop", F.lit(0))
-    for h in range(1, most_levels):
+    h = 0
+    while True:
+        h += 1
         nxt = level.join(both, level["k"] == both["src"]).groupBy("root", F.col("dst").alias("k")).agg(F.sum("paths").alias("paths"))
         level = cut(nxt.join(seen.select("root", "k"), ["root", "k"], "left_anti"))
         if level.isEmpty():
             break
         seen = seen.unionByName(level.withColumn("hop", F.lit(h)))
+        if h % gather == 0:
+            seen = cut(seen)
     seen = cut(seen)
     deepest = seen.agg(F.max("hop")).first()[0] or 0
     done = seen.where(F.col("hop") == deepest).select("root", "k", "paths", "hop", F.lit(0.0).alias("dep"))
@@ -145,6 +149,8 @@ def centrality(edges: DataFrame, nodes: DataFrame, most_levels: int = 64) -> Dat
         add = back.groupBy("root", "k").agg(F.sum("c").alias("c"))
         done = cut(seen.where(F.col("hop") == h - 1).join(add, ["root", "k"], "left").select("root", "k", "paths", "hop", (F.col("paths") * F.coalesce("c", F.lit(0.0))).alias("dep")))
         total = total.unionByName(done)
+        if h % gather == 0:
+            total = cut(total)
     scale = F.lit(float(max(1, (n - 1) * (n - 2))))
     between = total.where(F.col("root") != F.col("k")).groupBy("k").agg((F.sum("dep") / scale).alias("b"))
     close = seen.where("hop > 0").groupBy(F.col("root").alias("k")).agg((F.count(F.lit(1)) / F.sum("hop")).alias("c"))

@@ -11,6 +11,8 @@ from wherry.operators import vault as V
 from wherry.plans.book import Book
 
 AS_OF = "2026-06-01"
+#: The most links of a path, as in the reference.
+DEPTH = 10
 book = Book(
     V.VAULT_SQL
     + """, edges AS (SELECT DISTINCT src, target_k AS dst FROM res WHERE target_k IS NOT NULL AND src IN (SELECT k FROM notes)),
@@ -169,12 +171,12 @@ _ROOT = "root AS (SELECT src AS root FROM edges GROUP BY 1 ORDER BY count(*) DES
 @add(f"""WITH {_ROOT}, h0 AS (SELECT root AS k FROM root), h1 AS (SELECT DISTINCT dst AS k FROM edges JOIN h0 ON src = k), h2 AS (SELECT DISTINCT dst AS k FROM edges JOIN h1 ON src = k), h3 AS (SELECT DISTINCT dst AS k FROM edges JOIN h2 ON src = k), h4 AS (SELECT DISTINCT dst AS k FROM edges JOIN h3 ON src = k)
 SELECT k, CAST(min(hop) AS INTEGER) AS hop FROM (SELECT k, 0 AS hop FROM h0 UNION ALL SELECT k, 1 FROM h1 UNION ALL SELECT k, 2 FROM h2 UNION ALL SELECT k, 3 FROM h3 UNION ALL SELECT k, 4 FROM h4) GROUP BY 1""")
 def graph_shortest_hops(spark, d):
-    """Notes within four links of the note with the most links, with their distance."""
+    """Notes within ten links of the note with the most links, with their distance."""
     _, _, e = base(spark, d)
     from wherry.session import cut
 
     e = cut(e)
-    return G.hops(e, _root(e), 4).select("k", "hop")
+    return G.hops(e, _root(e), DEPTH).select("k", "hop")
 
 
 @add(f"""WITH {_ROOT}, h1 AS (SELECT DISTINCT dst AS k FROM und JOIN root ON src = root), h2 AS (SELECT DISTINCT dst AS k FROM und JOIN h1 ON src = k), ego AS (SELECT root AS k FROM root UNION SELECT k FROM h1 UNION SELECT k FROM h2)
@@ -204,12 +206,12 @@ p1 AS (SELECT k, min(cost) AS cost FROM (SELECT * FROM p0 UNION ALL SELECT dst,
 p2 AS (SELECT k, min(cost) AS cost FROM (SELECT * FROM p1 UNION ALL SELECT dst, round(cost + w, 9) FROM p1 JOIN w ON src = k) GROUP BY 1),
 p3 AS (SELECT k, min(cost) AS cost FROM (SELECT * FROM p2 UNION ALL SELECT dst, round(cost + w, 9) FROM p2 JOIN w ON src = k) GROUP BY 1) SELECT k, round(cost, 6) AS cost FROM p3""")
 def graph_weighted_paths(spark, d):
-    """Least cost from the note with the most links over at most three edges; an edge costs less the stronger its pair is and more into a hub."""
+    """Least cost from the note with the most links over at most ten edges; an edge costs less the stronger its pair is and more into a hub."""
     from wherry.session import cut
 
     n, _, e = base(spark, d, "frontmatter")
     e = cut(e)
-    return G.cheapest(cut(path_costs(e, n)), _root(e), 3).select("k", F.round("cost", 6).alias("cost"))
+    return G.cheapest(cut(path_costs(e, n)), _root(e), DEPTH).select("k", F.round("cost", 6).alias("cost"))
 
 
 def graph_components(spark, d):
