@@ -9,8 +9,11 @@ from collections import Counter
 from datetime import datetime
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from wherry.operators import association, graph
 from wherry.plans import graph as plans
+from wherry.plans import learning
 
 
 def test_common_targets_count_hubs(spark):
@@ -120,3 +123,11 @@ def test_hops_and_paths_reach_ten_links(spark, tmp_path):
     assert hops == {"x": 1} | {k: i for i, k in enumerate(names[:11])}
     costs = {r["k"]: r["cost"] for r in plans.graph_weighted_paths(spark, str(tmp_path)).collect()}
     assert costs == {"n00": 0, "x": 0.5} | {k: float(i) for i, k in enumerate(names[:11]) if i}
+
+
+def test_documents_that_name_an_alias(spark, tmp_path):
+    ents = [(1, "Harbour Gate Project", '["HGP", "gate plan"]'), (2, "Lonely Tower", None), (3, "Tower", '["Lonely Tower Old"]')]
+    e = spark.createDataFrame(ents, "id long, name string, aliases_json string").withColumn("aliases", F.coalesce(F.from_json("aliases_json", "array<string>"), F.array().cast("array<string>")))
+    docs = spark.createDataFrame([(1, "The hgp is late."), (2, "harbour gate plan"), (3, "lonely tower"), (4, None)], "doc_id long, text string")
+    got = {(r["doc_id"], r["id"]): (r["points"], round(r["ratio"], 3)) for r in learning.name_hits(docs, e, 0.6).collect()}
+    assert got == {(1, 1): (18, 1.0), (2, 1): (28, 1.0), (3, 2): (28, 1.0), (3, 3): (20, 0.667)}

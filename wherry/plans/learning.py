@@ -157,17 +157,23 @@ def suggest_layers(spark, d):
     return x.select("id", F.round("hub", 6).alias("hub"), F.round("edge", 6).alias("edge"), "kind", F.round(F.col("hub") + F.col("edge") + F.col("kind"), 6).alias("score"))
 
 
+def name_hits(docs, entities, share):
+    """``doc_id, id, points, ratio``: the best of each entity's name and aliases in each document: 10 for each of its words there, 8 more for all of them. At least ``share`` of the words must be there; names above 25 letters are left out."""
+    word = lambda c: F.array_distinct(F.regexp_extract_all(F.coalesce(F.lower(c), F.lit("")), F.lit(r"[\p{L}\p{N}]+"), 0))
+    e = entities.where(F.length("name") <= 25).select("id", F.posexplode(F.concat(F.array("name"), "aliases")).alias("p", "a")).select("id", "p", word(F.col("a")).alias("w")).where("size(w) > 0")
+    e = e.select("id", "p", F.size("w").alias("n"), F.explode("w").alias("token"))
+    t = docs.select("doc_id", F.explode(word(F.col("text"))).alias("token"))
+    h = t.join(e, "token").groupBy("doc_id", "id", "p", "n").agg(F.count(F.lit(1)).alias("hit")).withColumn("ratio", F.col("hit") / F.col("n")).where(F.col("ratio") >= share)
+    best = h.groupBy("doc_id", "id").agg(F.max(F.struct((F.col("hit") * 10 + F.when(F.col("hit") == F.col("n"), 8).otherwise(0)).alias("points"), "ratio")).alias("x"))
+    return best.select("doc_id", "id", "x.points", "x.ratio")
+
+
 @add("""WITH dw AS (SELECT doc_id, list_distinct(regexp_extract_all(coalesce(lower(text), ''), '[\\p{L}\\p{N}]+')) AS w FROM documents), dt AS (SELECT doc_id, unnest(w) AS token FROM dw), ew AS (SELECT id, list_distinct(regexp_extract_all(lower(name), '[\\p{L}\\p{N}]+')) AS w FROM ents WHERE len(name) <= 25), et AS (SELECT id, len(w) AS n, unnest(w) AS token FROM ew),
 h AS (SELECT doc_id, id, n, count(*) AS hit FROM dt JOIN et USING (token) GROUP BY 1, 2, 3), s AS (SELECT doc_id, id, hit * 10 + CASE WHEN hit = n THEN 8 ELSE 0 END AS score, hit * 1.0 / n AS ratio FROM h WHERE hit * 1.0 / n >= 0.6)
 SELECT doc_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ratio DESC, id) AS rank FROM s WHERE score >= 10) WHERE rank <= 8""")
 def suggest_links(spark, d):
-    """Up to eight entities to link from each document: names matched by words, at least 60 % of them, full names with a bonus."""
-    word = lambda c: F.array_distinct(F.regexp_extract_all(F.coalesce(F.lower(c), F.lit("")), F.lit(r"[\p{L}\p{N}]+"), 0))
-    e = V.entities(spark, d).where(F.length("name") <= 25).select("id", word(F.col("name")).alias("w")).where("size(w) > 0")
-    e = e.select("id", F.size("w").alias("n"), F.explode("w").alias("token"))
-    t = table(spark, d, "documents").select("doc_id", F.explode(word(F.col("text"))).alias("token"))
-    h = t.join(e, "token").groupBy("doc_id", "id", "n").agg(F.count(F.lit(1)).alias("hit")).withColumn("ratio", F.col("hit") / F.col("n")).where("ratio >= 0.6")
-    s = h.withColumn("score", F.col("hit") * 10 + F.when(F.col("hit") == F.col("n"), 8).otherwise(0)).where("score >= 10")
+    """Up to eight entities to link from each document: names and aliases matched by words, at least 60 % of them, full ones with a bonus."""
+    s = name_hits(table(spark, d, "documents"), V.entities(spark, d), 0.6).withColumnRenamed("points", "score").where("score >= 10")
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc("ratio"), "id"))).where("rank <= 8").select("doc_id", "id", "score", "rank")
 
 

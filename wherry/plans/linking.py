@@ -44,16 +44,14 @@ STRICTNESS = {"conservative": (18, 0.6), "balanced": (10, 0.6), "aggressive": (5
 def suggestion_scores(spark, d, strictness="balanced", disabled=()):
     """``doc_id, id, score`` and one column per layer; a layer named in ``disabled`` counts 0.
 
-    Layers: words of the name in the text (10 each, 8 more for a full name), scaled by the entity's rarity; hub, edge and category; feedback.
+    Layers: words of the name or an alias in the text, whichever has more (10 each, 8 more for a full one), scaled by the entity's rarity; hub, edge and category; feedback.
     Candidates come from shared words only, so documents and entities are never all paired. Documents and entities without any shared word give nothing.
     """
     least, share = STRICTNESS[strictness]
     on = lambda name, c: F.lit(0.0) if name in disabled else c.cast("double")
-    word = lambda c: F.array_distinct(F.regexp_extract_all(F.coalesce(F.lower(c), F.lit("")), F.lit(r"[\p{L}\p{N}]+"), 0))
-    e = V.entities(spark, d).where(F.length("name") <= 25).select("id", link_key("name").alias("entity"), word(F.col("name")).alias("w")).where("size(w) > 0")
-    et = e.select("id", F.size("w").alias("n"), F.explode("w").alias("token"))
-    t = table(spark, d, "documents").select("doc_id", F.explode(word(F.col("text"))).alias("token"))
-    hit = t.join(et, "token").groupBy("doc_id", "id", "n").agg(F.count(F.lit(1)).alias("hit")).where(F.col("hit") / F.col("n") >= share)
+    e = V.entities(spark, d)
+    hit = learning.name_hits(table(spark, d, "documents"), e, share)
+    e = e.where(F.length("name") <= 25).select("id", link_key("name").alias("entity"))
     m = mentions(spark, d)
     total = m.agg(F.countDistinct("note").alias("total"))
     rarity = m.groupBy(F.col("entity").alias("id")).agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total)).select("id", idf_clamped(F.col("df"), F.col("total"), 0.7, 1.8).alias("rarity"))
@@ -62,7 +60,7 @@ def suggestion_scores(spark, d, strictness="balanced", disabled=()):
     fb = e.select("id", "entity").join(post, "entity").select("id", F.when(F.col("p") < 0.45, half_up(-15 * (1 - F.col("p") / 0.45))).when(F.col("p") < 0.55, -5.0).when(F.col("p") >= 0.85, 4.0).otherwise(0.0).alias("feedback"))
     x = hit.join(rarity, "id", "left").join(layers, "id", "left").join(fb, "id", "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    lexical = (F.col("hit") * 10 + F.when(F.col("hit") == F.col("n"), 8).otherwise(0)) * F.coalesce("rarity", F.lit(1.3))
+    lexical = F.col("points") * F.coalesce("rarity", F.lit(1.3))
     x = x.select("doc_id", "id", F.round(on("lexical", lexical), 6).alias("lexical"), on("hub", z("hub")).alias("hub"), on("edge", z("edge")).alias("edge"), on("kind", z("kind")).alias("kind"), on("feedback", z("feedback")).alias("feedback"))
     s = F.round(F.col("lexical") + F.col("hub") + F.col("edge") + F.col("kind") + F.col("feedback"), 6)
     return x.withColumn("score", s).where(F.col("score") >= least)
