@@ -131,3 +131,17 @@ def test_documents_that_name_an_alias(spark, tmp_path):
     docs = spark.createDataFrame([(1, "The hgp is late."), (2, "harbour gate plan"), (3, "lonely tower"), (4, None)], "doc_id long, text string")
     got = {(r["doc_id"], r["id"]): (r["points"], round(r["ratio"], 3)) for r in learning.name_hits(docs, e, 0.6).collect()}
     assert got == {(1, 1): (18, 1.0), (2, 1): (28, 1.0), (3, 2): (28, 1.0), (3, 3): (20, 0.667)}
+
+
+def test_dead_links_with_two_edits(spark):
+    rng = random.Random(6)
+    names = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(3, 14))) for _ in range(150)} | {"gate", "harbour office"})
+    terms = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(3, 14))) for _ in range(150)} | {"gats", "harbor ofice", "hat"})
+    want = {}
+    for t in terms:
+        near = [(edits(t, n), n) for n in names]
+        near = [(-round(1 - k / max(len(t), len(n)), 6), n) for k, n in near if k <= (2 if len(t) > 10 else 1) and len(t) >= 4]
+        if near:
+            want[t] = min(near)[::-1]
+    got = {r["term"]: (r["match"], -r["sim"]) for r in association.fuzzy_best(spark.createDataFrame([(t,) for t in terms], "term string"), spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    assert got == want and got["gats"][0] == "gate" and got["harbor ofice"][0] == "harbour office"

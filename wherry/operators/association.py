@@ -45,16 +45,12 @@ def co_retrieval(reads: DataFrame, as_of: str, days: float = 7.0, most: int = 50
     return p.unionByName(wide).groupBy("a", "b").agg(F.round(F.sum("w"), 6).alias("weight"))
 
 
-def variants(word: Column) -> Column:
-    """The word and all its forms with one letter left out: two words within one edit share at least one."""
-    return F.array_distinct(F.concat(F.array(word), F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))))
-
-
-def fuzzy_best(left: DataFrame, right: DataFrame, least: float = 0.8) -> DataFrame:
-    """``term, match, sim``: for each ``left.term`` of four letters or more the most similar ``right.name`` within one edit and ``least``, ties to the smaller name. Joined on shared variants, never all against all."""
-    l = left.where(F.length("term") >= 4).select("term", F.explode(variants(F.col("term"))).alias("v"))
-    r = right.where(F.length("name") >= 3).select("name", F.explode(variants(F.col("name"))).alias("v"))
-    c = l.join(r, "v").select("term", "name").distinct().where(F.levenshtein("term", "name") <= 1).withColumn("sim", F.round(fuzzy_similarity(F.col("term"), F.col("name")), 6)).where(F.col("sim") >= least)
+def fuzzy_best(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``term, match, sim``: for each ``left.term`` of four letters or more the most similar ``right.name`` within one edit, within two for terms above ten letters, ties to the smaller name. Joined on shared segments, never all against all."""
+    edits = F.when(F.length("term") > 10, 2).otherwise(1)
+    l = left.where(F.length("term") >= 4).select("term", edits.alias("edits"), F.sequence(F.length("term") - edits, F.length("term") + edits).alias("lengths"))
+    r = right.where(F.length("name") >= 3).select("name", F.array(F.lit(1), F.lit(2)).alias("kinds"))
+    c = near_pairs(l, r).where(F.levenshtein("term", "name") <= edits).withColumn("sim", F.round(fuzzy_similarity(F.col("term"), F.col("name")), 6))
     best = c.groupBy("term").agg(F.max("sim").alias("sim"))
     return c.join(best, ["term", "sim"]).groupBy("term", "sim").agg(F.min("name").alias("match")).select("term", "match", "sim")
 
