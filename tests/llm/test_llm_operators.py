@@ -274,7 +274,7 @@ def test_recall_of_a_divided_index(spark):
     centres = rng.normal(size=(12, 32))
     x = np.concatenate([centres[i % 12] + rng.normal(size=32) * 0.3 for i in range(3000)]).reshape(3000, 32)
     v = spark.createDataFrame([("s", "m", f"k{i:05d}", [float(a) for a in x[i]]) for i in range(3000)], "src string, model string, key string, v array<float>")
-    p = knn.Params(sample=1500, cells=64, share=0.3, least=400, shard=500, queries=400)
+    p = knn.Params(sample=1500, cells=1.2, probes=20, shard_cells=10, shard=500, work=100_000)
     q = v.where("key like '%00'")
     exact = {(r["key"], r["near"]) for r in knn.brute_force(v, q).collect()}
     got = {(r["key"], r["near"]) for r in knn.nearest(v, 5, p).where("key like '%00'").collect()}
@@ -286,7 +286,7 @@ def test_a_vector_that_most_rows_share(spark):
     x = rng.normal(size=(400, 16))
     x[:250] = x[0]
     v = spark.createDataFrame([("s", "m", f"k{i:05d}", [float(a) for a in x[i]]) for i in range(400)], "src string, model string, key string, v array<float>")
-    p = knn.Params(sample=300, cells=16, share=1.0, least=400, shard=60, queries=50)
+    p = knn.Params(sample=300, cells=1.3, probes=16, shard_cells=4, shard=60, work=5_000)
     got = {(r["key"], r["near"]) for r in knn.nearest(v, 5, p).collect()}
     assert got == {(r["key"], r["near"]) for r in knn.brute_force(v, v).collect()}
     assert {b for a, b in got if a == "k00200"} == {f"k{i:05d}" for i in range(5)} and {b for a, b in got if a == "k00002"} == {f"k{i:05d}" for i in (0, 1, 3, 4, 5)}

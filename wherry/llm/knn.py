@@ -1,10 +1,12 @@
 """The k most similar vectors of every vector: inverted file, product-quantised residuals, asymmetric distances, exact reranking.
 
-An index is fitted on a bounded sample of each group (table and model): coarse centroids by spherical k-means, and codebooks for the
-residuals, one per slice of the dimensions. Every vector is then put into the cell of its nearest centroid with its codes. Cells that lie
-together form shards of bounded size; a shard that is too large (a hot cell) is divided into slices. Every vector asks the shards that
-hold its nearest cells, is compared there with the codes by tables of asymmetric distances, and the best of each shard are ranked
-exactly in double precision. The results of the shards are merged by key. No side is broadcast but the index, whose size is fixed by the parameters.
+An index is fitted on a bounded sample of each group (table and model): coarse centroids by spherical k-means, as many as four times the
+root of the group's size, and codebooks for the residuals, one per slice of the dimensions. Every vector is put into the cell of its
+nearest centroid with its codes. Every vector asks a fixed number of cells, those of its own nearest centroids, so the share of the group
+that it is compared with falls as the group grows. Neighbouring cells form shards of a fixed number of cells; a vector goes once to each
+shard that holds one of its cells, which is at most a fixed number of copies whatever the size. In a shard, tables of asymmetric distances
+over the codes choose candidates, which are ranked exactly there, and only ids and cosines of the best leave it. A shard's vectors are
+held by a task while those that ask stream past in Arrow batches. No side is broadcast but the index, whose size is fixed by the parameters.
 """
 
 from __future__ import annotations
@@ -19,23 +21,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wherry.session import cut
+from wherry.session import cut, hot_join
 
 
 @dataclass(frozen=True)
 class Params:
-    """``sample``: vectors of a group that the index is fitted on. ``cells``: most centroids of a group. ``share``: share of a group's vectors that
-    a vector is compared with by codes, at least ``least`` vectors. ``sub``: dimensions of a slice. ``keep``: vectors of a shard ranked exactly.
-    ``shard`` and ``queries``: vectors and asking vectors that one task holds at once."""
-
-    sample: int = 20_000
-    cells: int = 2048
-    share: float = 0.2
-    least: int = 6_000
+    """``sample``: most vectors of a group that the index is fitted on, of which each centroid needs eight. ``cells``: centroids for each unit
+    of the root of the group's size. ``probes``: cells a vector is compared with. ``sub``: dimensions of a slice. ``keep``: vectors of a shard
+    ranked exactly. ``shard_cells`` and ``shard``: cells and vectors of a shard that one task holds. ``work``: comparisons by codes in a task,
+    as far as that sends a vector to no more tasks than it is asked by."""
+
+    sample: int = 262_144
+    cells: float = 4.0
+    probes: int = 96
     sub: int = 2
-    keep: int = 96
-    shard: int = 6_000
-    queries: int = 8_000
+    keep: int = 64
+    shard_cells: int = 96
+    shard: int = 100_000
+    work: int = 15_000_000
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, spherical: bool) -> np.ndarray:
@@ -60,41 +63,52 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmax(x[i : i + 4096] @ c.T - half, axis=1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, int)
 
 
+def _top(sim: np.ndarray, n: int) -> np.ndarray:
+    """The columns of the ``n`` greatest numbers of each row, in no order."""
+    return np.argpartition(sim, sim.shape[1] - n, axis=1)[:, -n:] if n < sim.shape[1] else np.tile(np.arange(sim.shape[1]), (len(sim), 1))
+
+
 class Index:
     """Centroids, codebooks and shards of one group."""
 
     def __init__(self, sample: np.ndarray, total: int, p: Params, asking: np.ndarray | None = None, n_asking: int | None = None, seed: int = 7) -> None:
         """``sample`` of the ``total`` vectors that are searched; ``asking`` is one of the ``n_asking`` that ask (the same if not given)."""
         rng = np.random.default_rng(seed)
-        self.dim, self.p, self.total = sample.shape[1], p, total
-        k = int(min(p.cells, max(1, round(2 * math.sqrt(total))), max(1, len(sample) // 8)))
+        self.dim, self.p = sample.shape[1], p
+        k = int(max(1, min(round(p.cells * math.sqrt(total)), len(sample) // 8)))
         self.centroids = _kmeans(sample, k, 8, rng, True)
+        k = len(self.centroids)
         cell = _nearest(sample, self.centroids)
-        weight = np.bincount(cell, minlength=len(self.centroids)) * (total / max(1, len(sample)))
-        self.weight = weight
+        weight = np.bincount(cell, minlength=k) * (total / max(1, len(sample)))
         # the direction of a residual is quantised and its length kept, so that dense cells are as finely resolved as loose ones
-        res, _ = self.residuals(sample, cell)
+        res, _ = self.residuals(sample[:20_000], cell[:20_000])
         self.subs = [slice(i, min(i + p.sub, self.dim)) for i in range(0, self.dim, p.sub)]
         self.books = [_kmeans(res[:, s], 256, 6, rng, False) for s in self.subs]
-        # cells into shards: neighbouring centroids together, by weight
-        want = max(1, math.ceil(total / p.shard))
-        groups = _nearest(self.centroids, _kmeans(self.centroids, want, 12, rng, True))
-        self.shard_of = groups.astype(np.int32)
-        n_shards = int(groups.max()) + 1
-        held = np.bincount(groups, weights=weight, minlength=n_shards)
+        # neighbouring centroids together in shards
+        want = max(1, math.ceil(k / max(1.0, min(p.shard_cells, p.shard * k / max(1, total)))))
+        self.shard_of = _nearest(self.centroids, _kmeans(self.centroids, want, 12, rng, True)).astype(np.int32)
+        self.n_shards = int(self.shard_of.max()) + 1
+        held = np.bincount(self.shard_of, weights=weight, minlength=self.n_shards)
         self.slices = np.maximum(1, np.ceil(held / (1.5 * p.shard))).astype(np.int64)
-        # all vectors of a cell ask the cells nearest to its centroid until they hold the wanted share
-        sim = self.centroids @ self.centroids.T
-        order = np.argsort(-sim, axis=1)
-        before = np.cumsum(weight[order], axis=1) - weight[order]
-        self.asks = np.zeros(sim.shape, dtype=bool)
-        np.put_along_axis(self.asks, order, before < max(p.least, p.share * total), axis=1)
-        self.asks_shard = np.stack([self.asks[:, groups == s].any(axis=1) for s in range(n_shards)], axis=1)
-        # the vectors that ask a shard are divided into chunks by their cell, those of a large cell by their key too
-        if asking is not None and len(asking):
-            weight = np.bincount(_nearest(asking, self.centroids), minlength=len(self.centroids)) * (n_asking / len(asking))
-        self.chunks = np.maximum(1, np.ceil(self.asks_shard.T @ weight / p.queries)).astype(np.int64)
-        self.parts = np.maximum(1, np.ceil(weight / (p.queries / 2))).astype(np.int64)
+        # those that ask a shard are divided among tasks by the work they make
+        if asking is None or not len(asking):
+            asking, n_asking = sample, total
+        asking = asking[:20_000]
+        scale = n_asking / len(asking)
+        pairs, asks = np.zeros(self.n_shards), np.zeros(self.n_shards)
+        for i in range(0, len(asking), 4096):
+            cells = self.probed(asking[i : i + 4096])
+            of = self.shard_of[cells]
+            np.add.at(pairs, of.ravel(), weight[cells].ravel())
+            row = np.repeat(np.arange(len(cells)), cells.shape[1])
+            asks += np.bincount(np.unique(row * self.n_shards + of.ravel()) % self.n_shards, minlength=self.n_shards)
+        by_work = np.ceil(pairs * scale / self.slices / p.work)
+        by_copies = np.ceil(asks * scale * self.slices / np.maximum(1, held))
+        self.chunks = np.maximum(1, np.minimum(by_work, by_copies)).astype(np.int64)
+
+    def probed(self, x: np.ndarray) -> np.ndarray:
+        """The cells that each vector asks."""
+        return np.concatenate([_top(x[i : i + 2048] @ self.centroids.T, self.p.probes) for i in range(0, len(x), 2048)])
 
     def residuals(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unit residuals and their lengths."""
@@ -121,143 +135,214 @@ def usable(table: DataFrame, src: str, key: str, models: dict[str, int]) -> Data
     return v.where((F.size("v") == size) & good)
 
 
-def _sample(vectors: DataFrame, most: int) -> dict[tuple[str, str], tuple[np.ndarray, int]]:
-    """Of each group about ``most`` unit vectors, those whose keys hash lowest, and the group's size."""
-    counts = {(r["src"], r["model"]): r["n"] for r in vectors.groupBy("src", "model").agg(F.count(F.lit(1)).alias("n")).collect()}
-    out = {}
-    for (src, model), n in sorted(counts.items()):
-        g = vectors.where((F.col("src") == src) & (F.col("model") == model))
-        if n > most:
-            g = g.where(F.xxhash64("key") < F.lit(int(-(2**63) + 2**64 * min(1.0, 1.05 * most / n))))
-        x = np.array([r["v"] for r in g.select("key", "v").orderBy("key").limit(2 * most).collect()], dtype=np.float32)
-        if len(x):
-            out[src, model] = x / np.linalg.norm(x, axis=1, keepdims=True), n
-    return out
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit(base: DataFrame, asking: DataFrame, p: Params) -> dict[tuple[str, str], Index]:
-    """An index for each group, on a bounded sample of the vectors searched; the sample of those that ask only sizes the tasks."""
-    asks = _sample(asking, p.sample)
-    return {g: Index(x, n, p, *asks[g]) for g, (x, n) in _sample(base, p.sample).items()}
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Lists of equal length as rows; the numbers are not copied one by one."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-_PLACED = "src string, model string, key string, v array<float>, cell int, codes binary, shard int, slice int, chunk int, asks boolean"
+def _sample(vectors: DataFrame, sizes: dict[int, int], p: Params) -> dict[int, np.ndarray]:
+    """Of each group the unit vectors whose ids hash lowest: about sixteen for each centroid, at least 20,000, at most ``sample``."""
+    out = {}
+    for g, n in sorted(sizes.items()):
+        most = min(p.sample, max(20_000, round(16 * p.cells * math.sqrt(n))))
+        v = vectors.where(F.col("g") == g)
+        if n > most:
+            v = v.where(F.xxhash64("id") < F.lit(int(-(2**63) + 2**64 * min(1.0, 1.05 * most / n))))
+        got = v.select("id", "v").toArrow().combine_chunks().sort_by("id")
+        if got.num_rows:
+            x = got.column("v").combine_chunks()
+            out[g] = _unit(_matrix(x, len(x[0])).astype(np.float32))
+    return out
 
 
-def _place(indexes: dict[tuple[str, str], Index], asks: bool):
-    """Each vector as a row of its own shard, once per chunk of it, or (``asks``) as an asking row of every shard it probes."""
-    schema = pa.schema([("src", pa.string()), ("model", pa.string()), ("key", pa.string()), ("v", pa.list_(pa.float32())), ("cell", pa.int32()), ("codes", pa.binary()), ("shard", pa.int32()), ("slice", pa.int32()), ("chunk", pa.int32()), ("asks", pa.bool_())])
+def fit(base: DataFrame, asking: DataFrame, p: Params) -> dict[int, Index]:
+    """An index for each group ``g``, on a bounded sample of the vectors searched; the sample of those that ask only sizes the tasks."""
+    count = lambda df: {r["g"]: r["n"] for r in df.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_base, n_asking = count(base), count(asking)
+    x = _sample(base, n_base, p)
+    y = x if n_base == n_asking else _sample(asking, n_asking, p)
+    return {g: Index(x[g], n_base[g], p, y[g], n_asking[g]) for g in x}
+
+
+_PLACED = pa.schema([("g", pa.int32()), ("shard", pa.int32()), ("slice", pa.int32()), ("chunk", pa.int32()), ("asks", pa.bool_()), ("cell", pa.int32()), ("id", pa.int64()), ("v", pa.list_(pa.float32())), ("codes", pa.binary()), ("cells", pa.list_(pa.int32()))])
+_PLACED_SQL = "g int, shard int, slice int, chunk int, asks boolean, cell int, id long, v array<float>, codes binary, cells array<int>"
+
+
+def _mix(ids: np.ndarray) -> np.ndarray:
+    """Numbers in no order from ids in order."""
+    h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ (h >> np.uint64(29))) >> np.uint64(8)
+
+
+def _lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[starts, len(values)].astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
+def _place(indexes: dict[int, Index], asks: bool):
+    """Each vector as a row of its own shard, once per chunk of it, or (``asks``) as an asking row of every shard that holds a cell it asks."""
+
+    def rows(g: int, ix: Index, ids: pa.Array, raw: pa.Array) -> pa.RecordBatch:
+        x = _unit(_matrix(raw, ix.dim).astype(np.float32))
+        cell = _nearest(x, ix.centroids)
+        h = _mix(ids.to_numpy())
+        if asks:
+            cells = ix.probed(x)
+            flat = (np.repeat(np.arange(len(x), dtype=np.int64), cells.shape[1]) * ix.n_shards + ix.shard_of[cells.ravel()]) * len(ix.centroids) + cells.ravel()
+            flat.sort()
+            pair, asked = flat // len(ix.centroids), flat % len(ix.centroids)
+            first = np.flatnonzero(np.r_[True, np.diff(pair) != 0])
+            row, shard = pair[first] // ix.n_shards, (pair[first] % ix.n_shards).astype(np.int64)
+            lists = _lists(asked, first)
+            n = ix.slices[shard]
+            at = np.repeat(np.arange(len(first)), n)
+            part = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+            row, shard = row[at], shard[at]
+            chunk = (h[row] % ix.chunks[shard].astype(np.uint64)).astype(np.int32)
+            codes, lists = pa.nulls(len(at), pa.binary()), lists.take(pa.array(at))
+        else:
+            shard = ix.shard_of[cell]
+            n = ix.chunks[shard]
+            row = np.repeat(np.arange(len(x)), n)
+            chunk = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            part = (h % ix.slices[shard].astype(np.uint64)).astype(np.int64)[row]
+            shard = shard[row]
+            c = ix.codes(x, cell)
+            codes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(c.shape[1]), len(c), [None, pa.py_buffer(np.ascontiguousarray(c))]).cast(pa.binary()).take(pa.array(row))
+            lists = pa.nulls(len(row), pa.list_(pa.int32()))
+        at = pa.array(row)
+        k = len(row)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(k, g, np.int32)), pa.array(shard.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(chunk), pa.array(np.full(k, asks)), pa.array(cell[row].astype(np.int32)), ids.take(at), raw.take(at), codes, lists], schema=_PLACED
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            groups = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-            hashes = np.array(b.column(4).to_pylist(), dtype=np.uint64)
-            for g in set(groups):
-                at = np.array([i for i, x in enumerate(groups) if x == g])
-                ix = indexes[g]
-                raw = b.column(3).take(pa.array(at))
-                x = np.array(raw.to_pylist(), dtype=np.float32)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                key = b.column(2).take(pa.array(at))
-                cell = _nearest(x, ix.centroids)
-                h = hashes[at]
-                if asks:
-                    q, s = np.nonzero(ix.asks_shard[cell])
-                    n = ix.slices[s]
-                    qq, ss = np.repeat(q, n), np.repeat(s, n)
-                    c = cell[qq]
-                    ch = (c * 7919 + ((h[qq] >> np.uint64(20)).astype(np.int64) % ix.parts[c])) % ix.chunks[ss]
-                    yield _rows(schema, g, key, raw, qq, cell, None, ss, np.concatenate([np.arange(k) for k in n]), ch, True)
-                    continue
-                codes = ix.codes(x, cell)
-                shard = ix.shard_of[cell]
-                part = (h % ix.slices[shard].astype(np.uint64)).astype(np.int64)
-                n = ix.chunks[shard]
-                rep = np.repeat(np.arange(len(at)), n)
-                chunk = np.concatenate([np.arange(k) for k in n])
-                yield _rows(schema, g, key, raw, rep, cell, codes, shard[rep], part[rep], chunk, False)
+            groups = b.column(0).to_numpy()
+            for g in np.unique(groups).tolist():
+                mine = b.filter(pa.array(groups == g))
+                for i in range(0, mine.num_rows, 2000):
+                    part = mine.slice(i, 2000)
+                    # a slice's buffers hold the whole batch, so the rows are taken out first
+                    part = part.take(pa.array(np.arange(part.num_rows)))
+                    yield rows(g, indexes[g], part.column(1), part.column(2))
 
     return run
 
 
-def _rows(schema, g, key, raw, rep, cell, codes, shard, part, chunk, asks) -> pa.RecordBatch:
-    n, idx = len(rep), pa.array(rep)
-    c = pa.array([codes[i].tobytes() for i in rep] if codes is not None else [None] * n, pa.binary())
-    return pa.RecordBatch.from_arrays(
-        [pa.array([g[0]] * n), pa.array([g[1]] * n, pa.string()), key.take(idx), raw.take(idx), pa.array(cell[rep].astype(np.int32)), c, pa.array(np.asarray(shard, dtype=np.int32)), pa.array(np.asarray(part, dtype=np.int32)), pa.array(np.asarray(chunk, dtype=np.int32)), pa.array([asks] * n)],
-        schema=schema,
-    )
+class _Held:
+    """The vectors of one shard slice, by cell and then by id."""
+
+    def __init__(self, ix: Index, parts: list[pa.RecordBatch]) -> None:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        cell, ids = t.column("cell").to_numpy(), t.column("id").to_numpy()
+        order = np.lexsort((ids, cell))
+        self.ix, self.ids = ix, ids[order]
+        self.raw = _matrix(t.column("v").combine_chunks(), ix.dim)[order]
+        self.unit = _unit(self.raw)
+        self.codes = np.frombuffer(b"".join(t.column("codes").to_pylist()), dtype=np.uint8).reshape(len(order), -1)[order]
+        self.starts = np.searchsorted(cell[order], np.arange(len(ix.centroids) + 1))
+
+    def best(self, k: int, names: np.ndarray, raw: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``id, near, cos`` of the ``k`` best of the given cells for each of a few vectors: asymmetric distances over the codes, then exact cosines of the ``keep`` best."""
+        ix = self.ix
+        cells = cells[np.diff(self.starts)[cells] > 0]
+        none = np.zeros(0, np.int64)
+        if not len(cells):
+            return none, none, np.zeros(0)
+        rows = np.concatenate([np.arange(self.starts[c], self.starts[c + 1]) for c in cells])
+        of = np.repeat(np.arange(len(cells)), np.diff(self.starts)[cells])
+        q = _unit(raw)
+        base = ix.centroids[cells] @ q.T
+        tables = [np.ascontiguousarray(b @ q[:, s].T) for s, b in zip(ix.subs, ix.books)]
+        adc = np.empty((len(q), len(rows)), dtype=np.float32)
+        for j in range(0, len(rows), 1024):  # rows of a table are copied whole, a block of them stays in the cache
+            rc = self.codes[rows[j : j + 1024]]
+            part = tables[0][rc[:, 0]]
+            for m in range(1, len(tables)):
+                part += tables[m][rc[:, m]]
+            part *= np.ascontiguousarray(rc[:, len(tables) :]).view(np.float32)
+            part += base[of[j : j + 1024]]
+            adc[:, j : j + 1024] = part.T
+        cand = rows[_top(adc, ix.p.keep)]
+        rough = np.einsum("qd,qkd->qk", q, self.unit[cand])
+        rough[self.ids[cand] == names[:, None]] = -np.inf
+        # what may be among the k best after all that single precision loses is ranked in double precision
+        least = np.partition(rough, rough.shape[1] - k, axis=1)[:, -k] if rough.shape[1] > k else np.full(len(rough), -np.inf)
+        i, j = np.nonzero((rough >= least[:, None] - 1e-5) & (rough > -np.inf))
+        a, b = raw[i].astype(np.float64), self.raw[cand[i, j]].astype(np.float64)
+        cos = np.round(np.einsum("nd,nd->n", a, b) / np.sqrt(np.einsum("nd,nd->n", a, a) * np.einsum("nd,nd->n", b, b)), 12)
+        near = self.ids[cand[i, j]]
+        order = np.lexsort((near, -cos, i))
+        i, near, cos = i[order], near[order], cos[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        got = rank < k
+        return names[i[got]], near[got], cos[got]
+
+
+_FOUND = pa.schema([("id", pa.int64()), ("near", pa.int64()), ("cos", pa.float64())])
+
+
+def _search(k: int, indexes: dict[int, Index], block: int = 64):
+    """Rows come sorted by shard slice and chunk, the vectors it holds before those that ask; the latter stream past."""
+
+    def asked(held: _Held, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        names = b.column(6).to_numpy()
+        raw = _matrix(b.column(7), held.ix.dim)
+        offsets = b.column(9).offsets.to_numpy()
+        cells = b.column(9).values.to_numpy()
+        home = b.column(5).to_numpy()
+        order = np.lexsort((cells[offsets[:-1]], home))
+        for i in range(0, len(order), block):
+            at = order[i : i + block]
+            want = np.unique(np.concatenate([cells[offsets[r] : offsets[r + 1]] for r in at]))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held.best(k, names[at], raw[at], want)], schema=_FOUND)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, held = None, [], None
+        for b in batches:
+            keys = np.stack([b.column(c).to_numpy() for c in range(4)], axis=1)
+            asks = b.column(4).to_numpy(zero_copy_only=False)
+            change = np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+            for s, e in zip(np.r_[0, change], np.r_[change, len(keys)]):
+                key = tuple(keys[s].tolist())
+                part = b.slice(s, e - s).take(pa.array(np.arange(e - s)))
+                if key != now:
+                    now, parts, held = key, [], None
+                if not asks[s]:
+                    parts.append(part)
+                elif parts or held:
+                    if held is None:
+                        held, parts = _Held(indexes[key[0]], parts), []
+                    yield from asked(held, part)
 
-def _search(k: int, indexes: dict[tuple[str, str], Index]):
-    """One shard slice against one chunk of the vectors that ask it."""
+    return run
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({c: pd.Series([], dtype="float64" if c == "cos" else object) for c in ("src", "model", "key", "near", "cos")})
-        base, ask = pdf[~pdf["asks"]], pdf[pdf["asks"]]
-        if base.empty or ask.empty:
-            return none
-        src, model = base["src"].iloc[0], base["model"].iloc[0]
-        ix = indexes[src, model]
-        base = base.sort_values(["cell", "key"])
-        ask = ask.sort_values(["cell", "key"])
-        bx = np.array(base["v"].tolist(), dtype=np.float64)
-        bx /= np.linalg.norm(bx, axis=1, keepdims=True)
-        bkey = base["key"].to_numpy(dtype=object)
-        bcell = base["cell"].to_numpy()
-        codes = np.frombuffer(b"".join(base["codes"]), dtype=np.uint8).reshape(len(base), -1)
-        qx = np.array(ask["v"].tolist(), dtype=np.float64)
-        qx /= np.linalg.norm(qx, axis=1, keepdims=True)
-        qkey = ask["key"].to_numpy(dtype=object)
-        starts = np.searchsorted(bcell, np.arange(len(ix.centroids) + 1))
-        qcell = ask["cell"].to_numpy()
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for cell in np.unique(qcell):
-            cells = np.flatnonzero(ix.asks[cell] & (np.diff(starts) > 0))
-            if not len(cells):
-                continue
-            rows = np.concatenate([np.arange(starts[c], starts[c + 1]) for c in cells])
-            of = np.repeat(np.arange(len(cells)), np.diff(starts)[cells])
-            mine = np.flatnonzero(qcell == cell)
-            for i in range(0, len(mine), 128):
-                q = qx[mine[i : i + 128]]
-                names = qkey[mine[i : i + 128]]
-                near, cos = _best(k, ix, q, names, rows, cells, of, codes, bx, bkey)
-                got = np.isfinite(cos)
-                out.append((np.repeat(names, got.sum(1)), near[got], cos[got]))
-        if not out:
-            return none
-        key, near, cos = (np.concatenate(x) for x in zip(*out))
-        return pd.DataFrame({"src": src, "model": model, "key": list(key), "near": list(near), "cos": cos})
 
-    return run
+def ordered(vectors: DataFrame) -> DataFrame:
+    """``id, g, src, model, key, v``: ids in the order of source, model and key, so that ties are broken by id; written to the shared folder."""
+    by = ["src", "model", "key"]
+    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    v = cut(vectors.select(*by, "v"))
+    groups = [tuple(r) for r in v.select("src", "model").distinct().orderBy("src", "model").collect()]  # one row per table and model
+    g = F.coalesce(*[F.when(F.col("src").eqNullSafe(s) & F.col("model").eqNullSafe(m), F.lit(i)) for i, (s, m) in enumerate(groups)], F.lit(-1))
+    return cut(v.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("id", F.monotonically_increasing_id()).withColumn("g", g))
 
 
-def _best(k: int, ix: Index, q: np.ndarray, names: np.ndarray, rows: np.ndarray, cells: np.ndarray, of: np.ndarray, codes: np.ndarray, bx: np.ndarray, bkey: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` best of ``rows`` for each of a few queries: tables of asymmetric distances over the codes, then exact cosines of the ``keep`` best."""
-    q32 = q.astype(np.float32)
-    base = ix.centroids[cells] @ q32.T
-    tables = [np.ascontiguousarray(b @ q32[:, s].T) for s, b in zip(ix.subs, ix.books)]
-    adc = np.empty((len(q), len(rows)), dtype=np.float32)
-    for j in range(0, len(rows), 2048):  # rows of a table are copied whole, a block of them stays in the cache
-        rc = codes[rows[j : j + 2048]]
-        part = tables[0][rc[:, 0]]
-        for m in range(1, len(tables)):
-            part += tables[m][rc[:, m]]
-        part *= np.ascontiguousarray(rc[:, len(tables) :]).view(np.float32)
-        part += base[of[j : j + 2048]]
-        adc[:, j : j + 2048] = part.T
-    keep = ix.p.keep
-    top = np.argpartition(adc, len(rows) - keep, axis=1)[:, -keep:] if keep < len(rows) else np.tile(np.arange(len(rows)), (len(q), 1))
-    cand = rows[top]
-    near = bkey[cand]
-    exact = np.round(np.einsum("qd,qkd->qk", q, bx[cand]), 12)
-    exact[near == names[:, None]] = -np.inf
-    # by cosine, ties to the smaller key: order by key first, then stably by cosine
-    by_key = np.argsort(near, axis=1, kind="stable")
-    exact, near = np.take_along_axis(exact, by_key, 1), np.take_along_axis(near, by_key, 1)
-    first = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-    return np.take_along_axis(near, first, 1), np.take_along_axis(exact, first, 1)
+def searched(v: DataFrame, k: int) -> DataFrame:
+    """The vectors that can be among anybody's ``k`` nearest: of equal ones the ``k + 1`` smallest ids. Only groups of more are sorted."""
+    h = F.xxhash64("g", "v")
+    many = cut(v.groupBy(h.alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k + 1).select("h"))
+    if many.isEmpty():
+        return v
+    marked = v.withColumn("h", h)
+    w = Window.partitionBy("g", "v").orderBy("id")
+    # one row per such vector and every row of it: equal ones are spread by their content, and the window keeps k + 1 per map task before its shuffle
+    first = marked.join(many, "h", "left_semi").withColumn("copy", F.row_number().over(w)).where(F.col("copy") <= k + 1).drop("copy")
+    return cut(marked.join(many, "h", "left_anti").unionByName(first).drop("h"))
 
 
 def nearest(vectors: DataFrame, k: int = 5, p: Params = Params()) -> DataFrame:
@@ -267,29 +352,47 @@ def nearest(vectors: DataFrame, k: int = 5, p: Params = Params()) -> DataFrame:
     like any others; of any number of equal ones only the ``k + 1`` smallest keys can be among anybody's ``k`` nearest, so only those are
     searched, and a vector that a third of all rows share makes no cell hot. An empty table gives no rows.
     """
-    v = cut(vectors.select("src", "model", "key", "v"))
-    copies = Window.partitionBy("src", "model", "v").orderBy("key")
-    base = cut(v.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy"))
+    v = ordered(vectors)
+    base = searched(v, k)
     indexes = fit(base, v, p)
     if not indexes:
         return v.select("src", "model", "key", F.col("key").alias("near"), F.lit(0.0).alias("cos"), F.lit(0).alias("rank")).limit(0)
-    hashed = lambda df: df.select("src", "model", "key", "v", F.shiftrightunsigned(F.xxhash64("key"), 1).alias("h"))
-    placed = hashed(base).mapInArrow(_place(indexes, False), _PLACED).unionByName(hashed(v).mapInArrow(_place(indexes, True), _PLACED))
+    placed = base.select("g", "id", "v").mapInArrow(_place(indexes, False), _PLACED_SQL).unionByName(v.select("g", "id", "v").mapInArrow(_place(indexes, True), _PLACED_SQL))
     groups = sum(int((ix.slices * ix.chunks).sum()) for ix in indexes.values())
     # the work is in the search, not in the bytes: a stated number of partitions keeps small tables from falling into a few tasks
-    placed = placed.repartition(max(8, min(4000, 2 * groups)), "src", "model", "shard", "slice", "chunk")
-    found = placed.groupBy("src", "model", "shard", "slice", "chunk").applyInPandas(_search(k, indexes), "src string, model string, key string, near string, cos double")
-    w = Window.partitionBy("src", "model", "key").orderBy(F.desc("cos"), "near")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    by = ["g", "shard", "slice", "chunk"]
+    placed = placed.repartition(max(8, 2 * groups), *by).sortWithinPartitions(*by, "asks", "cell")
+    found = placed.mapInArrow(_search(k, indexes), "id long, near long, cos double")
+    w = Window.partitionBy("id").orderBy(F.desc("cos"), "near")
+    ranked = cut(found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+    # a vector that many copies name is a hot key
+    named = hot_join(ranked, v.select(F.col("id").alias("near"), F.col("key").alias("near_key")), "near", "inner")
+    return named.join(v.select("id", "src", "model", "key"), "id").select("src", "model", "key", F.col("near_key").alias("near"), "cos", "rank")
+
+
+#: Queries of the brute force that are read to the driver at once; more take further passes over the vectors.
+BRUTE_BLOCK = 50_000
 
 
 def brute_force(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 4000) -> DataFrame:
     """The exact answer for a stated set of queries: every block of vectors against all of them, a running top ``k`` per block. For measuring recall.
 
-    The queries are read to the driver; they must be a bounded set.
+    The queries are read in blocks of about ``BRUTE_BLOCK``, each with its own pass; none is left out.
     """
+    q = cut(queries.select("src", "model", "key", "v"))
+    blocks = max(1, -(-q.count() // BRUTE_BLOCK))
+    parts = [_brute_pass(vectors, q.where(F.pmod(F.xxhash64("src", "model", "key"), F.lit(blocks)) == i), k, block) for i in range(blocks)]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    w = Window.partitionBy("src", "model", "key").orderBy(F.desc("cos"), "near")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _brute_pass(vectors: DataFrame, queries: DataFrame, k: int, block: int) -> DataFrame:
+    """The ``k`` best of each block of vectors for each of the queries, which are read to the driver."""
     qs: dict[tuple, tuple[list, np.ndarray]] = {}
-    for r in queries.select("src", "model", "key", "v").orderBy("src", "model", "key").limit(200_000).collect():
+    for r in queries.orderBy("src", "model", "key").collect():
         qs.setdefault((r["src"], r["model"]), ([], []))[0].append(r["key"])
         qs[r["src"], r["model"]][1].append(r["v"])
     ready = {}
@@ -320,6 +423,4 @@ def brute_force(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int =
             for i in range(0, len(pdf), block):
                 yield run(pdf.iloc[i : i + block])
 
-    found = vectors.select("src", "model", "key", "v").mapInPandas(blocks, "src string, model string, key string, near string, cos double")
-    w = Window.partitionBy("src", "model", "key").orderBy(F.desc("cos"), "near")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return vectors.select("src", "model", "key", "v").mapInPandas(blocks, "src string, model string, key string, near string, cos double")
