@@ -155,7 +155,7 @@ def mix_data(spark):
 
 def test_shares_and_caps(spark):
     docs, targets = mix_data(spark)
-    copies, plan = mixing.mixed(docs, targets)
+    copies, plan = mixing.mixed(docs, targets, exact_shares=True)
     copies = copies.persist()
     s = {r["source"]: r for r in mixing.actual_shares(copies, plan).collect()}
     for name, cap in (("big", 1), ("mid", 2), ("small", 4)):
@@ -163,10 +163,50 @@ def test_shares_and_caps(spark):
         assert s[name]["most_copies"] <= cap
     assert s["none"]["actual_share"] == 0 and "other" not in s
     assert copies.groupBy("mix", "doc_id", "copy_no").count().where("count > 1").count() == 0
-    again = {tuple(r) for r in mixing.mixed(docs, targets)[0].select("doc_id", "copy_no").collect()}
+    again = {tuple(r) for r in mixing.mixed(docs, targets, exact_shares=True)[0].select("doc_id", "copy_no").collect()}
     assert again == {tuple(r) for r in copies.select("doc_id", "copy_no").collect()}
 
 
+def test_small_sources_stop_at_their_cap_and_what_they_lack_is_reported(spark):
+    docs, targets = mix_data(spark)
+    copies, plan = mixing.mixed(docs, targets)
+    copies = copies.persist()
+    s = {r["source"]: r for r in mixing.actual_shares(copies, plan).collect()}
+    tokens = {r["source"]: r["n"] for r in mixing.token_counts(docs.distinct(), "doc_id", "source", "text").groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    whole = sum(tokens[x] for x in ("big", "mid", "small"))
+    assert s["small"]["capped"] and s["small"]["n_tokens"] == 4 * tokens["small"] and not s["mid"]["capped"]
+    assert abs(s["small"]["lacking_tokens"] - (whole / 3 - 4 * tokens["small"])) <= 1
+    assert abs(s["mid"]["n_tokens"] - whole / 3) < 0.01 * whole / 3 and abs(s["big"]["n_tokens"] - whole / 3) < 0.01 * whole / 3
+    assert s["none"]["target_share"] == 0 and s["none"]["lacking_tokens"] == 0
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_shares_of_the_data_against_sql(spark, sf):
+    """Shares, caps and documents of the mixes drawn, worked out by SQL from the copies and the texts' own token counts."""
+    import duckdb
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    copies = queries.p9_mix(spark, sf).toPandas()
+    counts = mixing.token_counts(docs, "doc_id", "source", "text").toPandas()
+    shares = queries.p9_shares(spark, sf).toPandas()
+    con = duckdb.connect()
+    con.register("copies", copies)
+    con.register("counts", counts)
+    con.register("shares", shares)
+    con.execute(f"CREATE VIEW mix_targets AS SELECT * FROM read_parquet('{sf}/mix_targets.parquet')")
+    assert con.execute("SELECT count(*) FROM copies c LEFT JOIN counts n USING (doc_id) WHERE n.n_tokens IS DISTINCT FROM c.n_tokens OR n.source <> c.source").fetchone()[0] == 0
+    assert con.execute("SELECT count(*) FROM (SELECT mix, doc_id, copy_no FROM copies GROUP BY ALL HAVING count(*) > 1)").fetchone()[0] == 0
+    assert con.execute("SELECT count(*) FROM (SELECT mix, source, doc_id, count(*) AS n FROM copies GROUP BY ALL) c JOIN (SELECT mix, lower(trim(source)) AS source, max(max_repeats) AS m FROM mix_targets GROUP BY ALL) t USING (mix, source) WHERE c.n > t.m").fetchone()[0] == 0
+    bad = con.execute("""
+        WITH t AS (SELECT mix, lower(trim(source)) AS source, max(weight) AS w FROM mix_targets WHERE weight > 0 AND source IS NOT NULL AND mix IS NOT NULL GROUP BY ALL),
+        s AS (SELECT source, sum(n_tokens) AS n FROM counts WHERE n_tokens > 0 AND source IS NOT NULL GROUP BY ALL),
+        j AS (SELECT t.mix, source, w / sum(w) OVER (PARTITION BY mix) AS share, sum(n) OVER (PARTITION BY mix) AS whole FROM t JOIN s USING (source)),
+        g AS (SELECT mix, source, sum(n_tokens) AS n FROM copies GROUP BY ALL), a AS (SELECT *, n / sum(n) OVER (PARTITION BY mix) AS actual FROM g)
+        SELECT * FROM shares r LEFT JOIN j USING (mix, source) LEFT JOIN a USING (mix, source)
+        WHERE abs(r.target_share - coalesce(j.share, 0)) > 1e-9 OR abs(r.actual_share - coalesce(a.actual, 0)) > 1e-9 OR abs(r.want_tokens - coalesce(j.share * j.whole, 0)) > 1""").fetchall()
+    assert bad == []
+
+
 def test_poisson_inversion_and_empty_tables(spark):
     cdf = mixing.thresholds(0.7, 4)
     u = (np.arange(100_000) + 0.5) / 100_000

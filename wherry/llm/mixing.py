@@ -2,8 +2,11 @@
 
 Each document gets, per mix, a number ``u`` in (0, 1) from a seeded hash of its id, and ``min(F^-1(u; rate), max_repeats)`` copies, where
 ``F`` is the Poisson distribution with its source's mean repetition rate. Copies depend on the document and the rate alone, so any task can
-compute them again. The rate of a source is the one at which the copies drawn (not merely expected) reach its share, found on a histogram
-of tokens by ``u`` whose size depends on the number of targets and bins only. The drawn copies are then shuffled globally by a hash.
+compute them again. The rate is calibrated: it is the one at which the copies that this seed draws, not those expected, come closest to the
+tokens wanted. That takes the noise of the draw out of the shares; the price is that documents of a source are not drawn independently of
+one another, and that the rate differs from the expected one by that noise. The drawn copies are then shuffled globally by a hash.
+
+A source that can't give its tokens even with every document at its cap stops there. What it lacks is reported and not taken from others.
 """
 
 from __future__ import annotations
@@ -23,8 +26,6 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Bins of the histogram for each halving of 1 - u: equally fine in relation to what is drawn, whether of a large source little or of a small one all.
 BINS = 128
-#: Seeds tried for a source whose drawn tokens stay further than this share from what is wanted (its documents are large against the mix).
-SEEDS, CLOSE = 12, 0.01
 #: Targets are read to the driver; more are refused.
 MOST_TARGETS = 20_000
 
@@ -103,15 +104,15 @@ def solve_rate(hist: Bins, want: float, cap: int) -> tuple[float, float]:
     return rate, drawn(rate)
 
 
-def histogram(counts: DataFrame, named: list[tuple[str, str]], seeds: range) -> dict[tuple[str, str, int], Bins]:
-    """``(u, tokens)`` bins of each mix, source and seed: at most targets x seeds x BINS x log2(documents) rows reach the driver."""
+def histogram(counts: DataFrame, named: list[tuple[str, str]], seed: int) -> dict[tuple[str, str], Bins]:
+    """``(u, tokens)`` bins of each mix and source: at most targets x BINS x log2(documents) rows reach the driver."""
     spark = counts.sparkSession
     keys = spark.createDataFrame(named, "mix string, source string")
-    x = counts.where(F.col("n_tokens") > 0).join(F.broadcast(keys), "source").withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    bins = x.groupBy("mix", "source", "seed", F.floor(-F.log2(1 - draw(F.col("seed"))) * BINS).cast("int").alias("bin")).agg(F.sum("n_tokens").alias("t"))
+    x = counts.where(F.col("n_tokens") > 0).join(F.broadcast(keys), "source")
+    bins = x.groupBy("mix", "source", F.floor(-F.log2(1 - draw(seed)) * BINS).cast("int").alias("bin")).agg(F.sum("n_tokens").alias("t"))
     got = bins.toArrow().to_pandas()  # columns of numbers, not rows of objects
     got["u"] = 1 - 2.0 ** (-(got["bin"] + 0.5) / BINS)
-    return {k: (g["u"].to_numpy(), g["t"].to_numpy(dtype="float64")) for k, g in got.sort_values("u").groupby(["mix", "source", "seed"])}
+    return {k: (g["u"].to_numpy(), g["t"].to_numpy(dtype="float64")) for k, g in got.sort_values("u").groupby(["mix", "source"])}
 
 
 def clean_targets(targets: DataFrame) -> list[tuple[str, str, float, int]]:
@@ -127,50 +128,46 @@ def clean_targets(targets: DataFrame) -> list[tuple[str, str, float, int]]:
     return [tuple(r) for r in rows]
 
 
-PLAN = "mix string, source string, weight double, max_repeats int, share double, want double, rate double, seed int, cdf array<double>"
+PLAN = "mix string, source string, weight double, max_repeats int, share double, want double, rate double, cdf array<double>"
 
 
-def plan_mix(counts: DataFrame, targets: DataFrame, seed: int = 0, total: float | None = None) -> DataFrame:
-    """Per mix and source: ``share`` asked for, ``want`` tokens, ``rate``, ``seed`` and ``cdf``; no rows if there is nothing to draw.
+def plan_mix(counts: DataFrame, targets: DataFrame, seed: int = 0, total: float | None = None, exact_shares: bool = False) -> DataFrame:
+    """Per mix and source: ``share`` asked for, ``want`` tokens, ``rate`` and ``cdf``; no rows if there is nothing to draw.
 
     Weights are scaled to shares of the sources that have tokens; sources without documents get no share. ``total`` is the mix's size in
-    tokens; by default the largest at which no source needs more than its capped repeats, so that every share can be had. A source whose
-    documents are too large to come close with the given seed takes the one of ``SEEDS`` further seeds that comes closest.
+    tokens; by default it is that of the documents of the mix's sources. With ``exact_shares`` and no ``total`` the mix is instead as large
+    as its scarcest source allows, so that no source needs more than its capped repeats.
     """
     spark = counts.sparkSession
     rows = clean_targets(targets)
     if not rows:
         return spark.createDataFrame([], PLAN)
-    hist = histogram(counts, [(m, s) for m, s, _, _ in rows], range(seed, seed + 1))
-    size = {(m, s): float(t.sum()) for (m, s, _), (_, t) in hist.items()}
-    plan: dict[tuple[str, str], list] = {}
+    hist = histogram(counts, [(m, s) for m, s, _, _ in rows], seed)
+    size = {k: float(t.sum()) for k, (_, t) in hist.items()}
+    plan = []
     for mix in sorted({r[0] for r in rows}):
-        there = [(s, w, c) for m, s, w, c in rows if m == mix and size.get((m, s))]
+        mine = [r[1:] for r in rows if r[0] == mix]
+        there = [(s, w, c) for s, w, c in mine if size.get((mix, s))]
         weight = sum(w for _, w, _ in there)
-        goal = min((c * size[mix, s] * weight / w for s, w, c in there), default=0.0) if total is None else total
-        for m, s, w, c in rows:
-            if m != mix:
-                continue
-            if not size.get((m, s)):
-                plan[m, s] = [w, c, 0.0, 0.0, 0.0, seed, 0.0]
+        if total is not None:
+            goal = total
+        elif exact_shares:
+            goal = min((c * size[mix, s] * weight / w for s, w, c in there), default=0.0)
+        else:
+            goal = sum(size[mix, s] for s, _, _ in there)
+        for s, w, c in mine:
+            if not size.get((mix, s)):
+                plan.append((mix, s, w, c, 0.0, 0.0, 0.0, []))
                 continue
             want = goal * w / weight
-            rate, got = solve_rate(hist[m, s, seed], want, c)
-            plan[m, s] = [w, c, w / weight, want, rate, seed, got]
-    far = [k for k, p in plan.items() if p[3] and abs(p[6] - p[3]) > CLOSE * p[3] and p[3] < size[k] * p[1]]
-    if far:
-        more = histogram(counts, far, range(seed + 1, seed + 1 + SEEDS))
-        for (m, s, sd), h in sorted(more.items()):
-            p = plan[m, s]
-            rate, got = solve_rate(h, p[3], p[1])
-            if abs(got - p[3]) < abs(p[6] - p[3]):
-                p[4], p[5], p[6] = rate, int(sd), got
-    return spark.createDataFrame([(m, s, *p[:6], thresholds(p[4], p[1]) if p[2] else []) for (m, s), p in plan.items()], PLAN)
-
-
-def draw(seed: Column) -> Column:
+            rate, _ = solve_rate(hist[mix, s], want, c)
+            plan.append((mix, s, w, c, w / weight, want, rate, thresholds(rate, c)))
+    return spark.createDataFrame(plan, PLAN)
+
+
+def draw(seed: int) -> Column:
     """A number in (0, 1) from the hash of seed, mix and document."""
-    h = F.shiftrightunsigned(F.xxhash64(seed, F.col("mix"), F.col("doc_id")), 11).cast("double")
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("mix"), F.col("doc_id")), 11).cast("double")
     return (h + 0.5) / F.lit(float(2**53))
 
 
@@ -179,14 +176,14 @@ def replicate(counts: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
 
     The plan has one row per target (at most ``MOST_TARGETS``) and is broadcast. A document is repeated at most its source's cap.
     """
-    joined = counts.where(F.col("n_tokens") > 0).join(F.broadcast(plan.where(F.size("cdf") > 0).select("mix", "source", "seed", "cdf")), "source")
-    copies = joined.withColumn("u", draw(F.col("seed"))).withColumn("n", F.size(F.filter("cdf", lambda c: c <= F.col("u")))).where(F.col("n") > 0)
+    joined = counts.where(F.col("n_tokens") > 0).join(F.broadcast(plan.where(F.size("cdf") > 0).select("mix", "source", "cdf")), "source")
+    copies = joined.withColumn("u", draw(seed)).withColumn("n", F.size(F.filter("cdf", lambda c: c <= F.col("u")))).where(F.col("n") > 0)
     flat = copies.select("mix", "source", "doc_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy_no"), "n_tokens")
     flat = flat.withColumn("order_key", F.xxhash64(F.lit(seed + 1), "mix", "doc_id", "copy_no"))
     return flat.repartitionByRange("mix", "order_key").sortWithinPartitions("mix", "order_key", "doc_id")
 
 
-def mixed(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 0, total: float | None = None, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
+def mixed(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 0, total: float | None = None, tokenizer: str = TOKENIZER, exact_shares: bool = False) -> tuple[DataFrame, DataFrame]:
     """The drawn copies and the plan. Every text is tokenized once, whole; the sizes are written to the shared folder and read from there.
 
     Rows of the same id count once (the largest); null ids and sources, blank texts and sources left out of a mix aren't drawn.
@@ -194,15 +191,23 @@ def mixed(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source: s
     """
     counts = token_counts(docs, doc_id, source, text, tokenizer).where(F.col("doc_id").isNotNull())
     counts = cut(counts.groupBy("doc_id").agg(F.max(F.struct("n_tokens", "source")).alias("x")).select("doc_id", "x.source", "x.n_tokens"))
-    plan = plan_mix(counts, targets, seed, total)
+    plan = plan_mix(counts, targets, seed, total, exact_shares)
     return replicate(counts, plan, seed), plan
 
 
 def actual_shares(copies: DataFrame, plan: DataFrame) -> DataFrame:
-    """Per mix and source the share asked for and the one drawn, with tokens, documents, copies and the most copies of a document."""
+    """Per mix and source the share asked for and the one drawn, with tokens wanted, drawn and lacking, documents, copies and the most copies of a document.
+
+    ``capped`` says that every document of the source stands in the mix as often as allowed and the tokens still don't suffice.
+    """
     per_doc = copies.groupBy("mix", "source", "doc_id").agg(F.max("copy_no").alias("c"), F.sum("n_tokens").alias("t"))
-    got = per_doc.groupBy("mix", "source").agg(F.sum("t").alias("n_tokens"), F.count(F.lit(1)).alias("n_docs"), F.sum("c").alias("n_copies"), F.max("c").alias("most_copies"))
+    got = per_doc.groupBy("mix", "source").agg(F.sum("t").alias("n_tokens"), F.count(F.lit(1)).alias("n_docs"), F.sum("c").alias("n_copies"), F.max("c").alias("most_copies"), F.min("c").alias("least"))
     all_ = got.groupBy("mix").agg(F.sum("n_tokens").alias("total"))
     j = plan.join(got, ["mix", "source"], "left").join(all_, "mix", "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return j.select("mix", "source", "weight", "max_repeats", F.col("share").alias("target_share"), F.coalesce(F.col("n_tokens") / F.col("total"), F.lit(0.0)).alias("actual_share"), z("n_tokens"), z("n_docs"), z("n_copies"), z("most_copies"), "rate")
+    lacking = F.greatest(F.col("want") - F.coalesce("n_tokens", F.lit(0)), F.lit(0.0))
+    capped = F.coalesce((F.col("least") >= F.col("max_repeats")) & (F.col("want") > F.col("n_tokens")), F.lit(False))
+    return j.select(
+        "mix", "source", "weight", "max_repeats", F.col("share").alias("target_share"), F.coalesce(F.col("n_tokens") / F.col("total"), F.lit(0.0)).alias("actual_share"),
+        F.round("want").cast("long").alias("want_tokens"), z("n_tokens"), F.round(lacking).cast("long").alias("lacking_tokens"), capped.alias("capped"), z("n_docs"), z("n_copies"), z("most_copies"), "rate",
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wherry.llm import canonical, conversations, cooccur, encoding, knn, leakage, mixing, splitting
@@ -113,6 +113,15 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
 
+def p9_targets(spark: SparkSession, d: str) -> DataFrame:
+    """The targets as they are read: per mix and source its share among the sources that have texts, and its cap."""
+    rows = mixing.clean_targets(table(spark, d, "mix_targets"))
+    t = spark.createDataFrame(rows, "mix string, source string, weight double, max_repeats int")
+    there = table(spark, d, "documents").where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"(?U)\S")).select(F.lower(F.trim("source")).alias("source"), F.lit(1).alias("there")).distinct()
+    j = t.join(there, "source", "left").withColumn("w", F.when(F.col("there") == 1, F.col("weight")).otherwise(F.lit(0.0)))
+    return j.select("mix", "source", "max_repeats", F.round(F.coalesce(F.try_divide(F.col("w"), F.sum("w").over(Window.partitionBy("mix"))), F.lit(0.0)), 9).alias("target_share"))
+
+
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """Shares asked for and drawn."""
     return mixing.actual_shares(*mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets")))
@@ -130,7 +139,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_unmatched, p3_found, p3_recall, p4_found, p4_dropped, p5_found, p5_pieces, p6_found, p6_pairs, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_restored)
+    for f in (p2_found, p2_unmatched, p3_found, p3_recall, p4_found, p4_dropped, p5_found, p5_pieces, p6_found, p6_pairs, p8_found, p8_items, p9_mix, p9_targets, p9_shares, p10_found, p10_restored)
 }
 
 _KEY = "regexp_replace(lower(trim({0})), '\\.md$', '')"
@@ -164,5 +173,10 @@ SQL = {
     "p6_found": _P6 + "SELECT src, item_a, item_b FROM t",
     "p6_pairs": _P6 + f"SELECT src, item_a, item_b, n_ab, n_a, n_b, round(CAST(n_ab AS DOUBLE) * n / (n_a * n_b), 6) AS lift, round(greatest({_LLR}, 0), 4) AS llr FROM t",
     "p8_found": _P8 + "SELECT DISTINCT doc_id, item_id FROM hit",
+    "p9_targets": """
+WITH t AS (SELECT mix, lower(trim(source)) AS source, max(weight) AS w, max(coalesce(max_repeats, 1)) AS max_repeats FROM mix_targets WHERE mix IS NOT NULL AND source IS NOT NULL AND weight > 0 AND coalesce(max_repeats, 1) > 0 GROUP BY ALL),
+there AS (SELECT DISTINCT lower(trim(source)) AS source FROM documents WHERE source IS NOT NULL AND regexp_matches(text, '[^\\s\\p{Z}]')),
+j AS (SELECT mix, t.source, max_repeats, CASE WHEN there.source IS NULL THEN 0 ELSE w END AS w FROM t LEFT JOIN there ON there.source = t.source)
+SELECT mix, source, max_repeats, round(coalesce(w / nullif(sum(w) OVER (PARTITION BY mix), 0), 0), 9) AS target_share FROM j""",
     "p8_items": _P8 + "SELECT item_id, count(*) AS n_docs, round(max(c), 6) AS most_coverage FROM (SELECT doc_id, hit.item_id, count(*) / any_value(tot.n) AS c FROM hit JOIN tot ON tot.item_id = hit.item_id GROUP BY 1, 2) GROUP BY 1",
 }
