@@ -33,7 +33,7 @@ class Params:
 
     sample: int = 262_144
     cells: float = 4.0
-    probes: int = 96
+    probes: int = 48
     sub: int = 2
     keep: int = 64
     shard_cells: int = 96
