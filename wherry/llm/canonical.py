@@ -5,8 +5,11 @@ mentions that stand in a value at word boundaries; the longest non-overlapping o
 similarity: every word of the pattern must have its own word in the value, equal or within a few edits by length, in any order. Short
 codes match letter by letter only, numbers digit by digit only. Values left over are reported as unmatched.
 
-The list is cut into blocks of bounded size and the distinct values into chunks; each block meets each chunk in one task, so neither side
-is ever collected or broadcast, and the best match per value is taken over the blocks by a partial aggregate.
+List and values meet by keys, not by product. A pattern can only match a value that has every word of the pattern, equal, one edit away or cut
+short; so the word of it that fewest values hold is a necessary one, and the pattern goes to the values' words that it may stand for (found
+in the vocabulary, by deletion variants and by beginnings). Values written as one word meet by the letters of the whole. A task holds the
+patterns and the values of some keys, builds one automaton of those patterns and takes the best match of each value; the best over all keys
+is taken by a partial aggregate. A key of very many values is divided among tasks by value, one of very many patterns by pattern.
 """
 
 from __future__ import annotations
@@ -14,18 +17,20 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
+from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wherry.session import cut, hot_join
 
 #: Patterns in one automaton; distinct values that one task holds.
 BLOCK_PATTERNS, CHUNK_VALUES = 60_000, 25_000
-#: Words of a value that a mention may leave over, and the least share of characters that similar values must have in common.
-MOST_LEFT_OVER, LEAST_SHARE = 3, 0.6
+#: The least share of characters that similar values must have in common.
+LEAST_SHARE = 0.6
 CODE_LENGTH, GLUED_LENGTH = 6, 12
 _FOLD = str.maketrans({"ł": "l", "ø": "o", "ß": "ss", "đ": "d", "æ": "ae", "œ": "oe", "þ": "th", "ı": "i"})
 _POSSESSIVE = re.compile(r"['’ʼ`´]s\b")
@@ -132,6 +137,14 @@ class Matcher:
                 out.append((s, p, i))
         return out
 
+    @staticmethod
+    def numbered(words: list[str], mention: tuple[int, str, int]) -> bool:
+        """Whether a number stands right before or after the mention: names that differ in a number only are different names."""
+        at, phrase, _ = mention
+        first = (" " + " ".join(words)).count(" ", 0, at + 1) - 1
+        last = first + phrase.count(" ")
+        return first > 0 and words[first - 1].isdigit() or last + 1 < len(words) and words[last + 1].isdigit()
+
     def similar_words(self, word: str) -> dict[str, int]:
         """Words of the list within the allowed edits of both, with the edits."""
         if (got := self._similar.get(word)) is None:
@@ -154,7 +167,10 @@ class Matcher:
         return got
 
     def best(self, value: str) -> tuple[float, int]:
-        """``(score, entity id)`` of the best match, or ``(0, -1)``. 3: the whole value; 2 to 3: a mention; 1 to 2: similar words."""
+        """``(score, entity id)`` of the best match, or ``(0, -1)``. 3: the whole value; 2 to 3: a mention; 1 to 2: similar words.
+
+        The patterns held must hold all that can match the value; more of them don't change the best one.
+        """
         words = fold(value)
         if not words:
             return 0.0, -1
@@ -166,12 +182,12 @@ class Matcher:
             return 2.99, self.by_glued[glued]
         found = self.mentions(words)
         if found:
-            s, p, i = max(found, key=lambda m: (m[1] not in self.codes, len(m[1]), -m[0]))
-            left = list(words)
-            for w in p.split():
-                left.remove(w)
-            if not any(w.isdigit() for w in left) and len(left) <= MOST_LEFT_OVER:
-                return 2.0 + 0.9 * len(p) / len(phrase), i
+            whole = [m for m in found if not self.numbered(words, m)]
+            if whole:
+                s, p, i = max(whole, key=lambda m: (m[1] not in self.codes, len(m[1]), -m[0]))
+                # names before codes, then the longest, then the first; the same over all tasks
+                share = len(p) / len(phrase)
+                return (2.0 + 0.05 * share if p in self.codes else 2.1 + 0.8 * share) - 1e-9 * min(s, 10**6), i
         if len(words) == 1 and len(glued) >= GLUED_LENGTH and (near := self.near_glued(glued)) != -1:
             return 1.9, near
         return self.similar(words, {x for w in _SHORT.findall(value) for x in fold(w)})
@@ -226,33 +242,115 @@ def patterns_of(entities: DataFrame) -> DataFrame:
     return e.where(F.col("x.p").isNotNull() & (p != "")).select(p.alias("pattern"), "id", code.alias("is_code")).groupBy("pattern", "id").agg(F.min("is_code").alias("is_code"))
 
 
+def _value_words(longest: int):
+    """``vid, kind, word``: the distinct words of a value (``s`` those cut short), ``g`` the whole without spaces, ``h`` the same of a value of one long word.
+
+    Words and wholes much longer than any of the list (``longest``) match nothing and are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vids, kinds, out = [], [], []
+            for vid, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = fold(value)
+                short = {x for w in _SHORT.findall(value) for x in fold(w)}
+                got = [("s" if w in short else "w", w) for w in set(words)]
+                glued = "".join(words)
+                got += [("g", glued)] if words else []
+                got += [("h", glued)] if len(words) == 1 and len(glued) >= GLUED_LENGTH else []
+                for kind, w in got:
+                    if len(w) <= longest + 1:
+                        vids.append(vid)
+                        kinds.append(kind)
+                        out.append(w)
+            yield pa.RecordBatch.from_arrays([pa.array(vids, pa.int64()), pa.array(kinds, pa.string()), pa.array(out, pa.string())], names=["vid", "kind", "word"])
+
+    return run
+
+
+def _pattern_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        words = [fold(x) for x in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(words, pa.list_(pa.string())), pa.array(["".join(w) for w in words], pa.string())], names=["pattern", "id", "is_code", "words", "glued"])
+
+
+def _variants(word: Column) -> Column:
+    """The word and all words with one letter deleted."""
+    cut_at = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+    return F.array_distinct(F.array_append(cut_at, word))
+
+
+def _key(kind: str, word: Column) -> Column:
+    """Keys are hashes; two words with the same one only give a task a pattern that it doesn't need."""
+    return F.xxhash64(F.lit(kind), word).alias("key")
+
+
+def _meeting_keys(vw: DataFrame, p: DataFrame, longest: int) -> tuple[DataFrame, DataFrame]:
+    """``vid, key`` of the values and ``key, pid`` of the patterns: every pair that can match shares a key."""
+    vocabulary = vw.where(F.col("kind").isin("w", "s")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("kind") == "s").alias("short"))
+    vocabulary = cut(vocabulary)
+    words = p.select("pid", F.explode("words").alias("word"))
+    rare = hot_join(words, vocabulary.select("word", "n"), "word", "left").groupBy("pid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), -F.length("word"), "word")).alias("x"))
+    rare = cut(rare.select("pid", F.col("x.word").alias("keyword")))
+    k = rare.select("keyword").distinct()
+    fuzzy = lambda c: (F.length(c) >= 4) & (F.length(c) <= longest + 1) & ~F.col(c).rlike(r"\P{L}")
+    exact = vocabulary.join(k, F.col("word") == F.col("keyword")).select("word", "keyword")
+    near = vocabulary.where(fuzzy("word")).select("word", F.explode(_variants(F.col("word"))).alias("x")).join(k.where(fuzzy("keyword")).select("keyword", F.explode(_variants(F.col("keyword"))).alias("x")), "x").select("word", "keyword")
+    begins = k.where(F.length("keyword") > 3).select("keyword", F.explode(F.sequence(F.lit(3), F.length("keyword") - 1)).alias("i")).select("keyword", F.expr("substring(keyword, 1, i)").alias("word"))
+    short = vocabulary.where("short").select("word").join(begins, "word").select("word", "keyword")
+    stands_for = exact.unionByName(near).unionByName(short).distinct()
+    glued = p.where(~F.col("is_code") & (F.col("glued") != ""))
+    near_glued = glued.where(F.length("glued") >= GLUED_LENGTH - 1).select("pid", F.explode(_variants(F.col("glued"))).alias("x"))
+    pk = rare.join(stands_for, "keyword").select(_key("w", F.col("word")), "pid").unionByName(glued.select(_key("g", F.col("glued")), "pid")).unionByName(near_glued.select(_key("h", F.col("x")), "pid"))
+    one = vw.where("kind = 'h'").select("vid", F.explode(_variants(F.col("word"))).alias("x"))
+    vk = vw.where(F.col("kind").isin("w", "s")).select("vid", _key("w", F.col("word"))).unionByName(vw.where("kind = 'g'").select("vid", _key("g", F.col("word")))).unionByName(one.select("vid", _key("h", F.col("x"))))
+    return vk, pk
+
+
 def resolve_values(values: DataFrame, patterns: DataFrame, block_patterns: int = BLOCK_PATTERNS, chunk_values: int = CHUNK_VALUES) -> DataFrame:
     """``value, entity_id, score`` for each distinct non-blank ``value``; -1 and 0 if it is none of the list. Equal scores go to the smaller id."""
     spark = values.sparkSession
-    v = cut(values.select(F.col("value").cast("string").alias("value")).where(F.col("value").isNotNull() & (F.trim("value") != "")).distinct())
-    p = cut(patterns.select("pattern", "id", "is_code"))
-    n_values, n_patterns = v.count(), p.count()
-    if n_values == 0 or n_patterns == 0:
+    v = values.select(F.col("value").cast("string").alias("value")).where(F.col("value").isNotNull() & (F.trim("value") != "")).distinct()
+    v = cut(v.withColumn("vid", F.monotonically_increasing_id()))
+    p = patterns.select(F.col("pattern").cast("string"), F.col("id").cast("long"), F.col("is_code").cast("boolean")).mapInArrow(_pattern_words, "pattern string, id long, is_code boolean, words array<string>, glued string")
+    p = cut(p.where(F.size("words") > 0).withColumn("pid", F.monotonically_increasing_id()))
+    longest = p.agg(F.max(F.length("glued"))).first()[0]
+    n_values = v.count()
+    if n_values == 0 or longest is None:
         return v.select("value", F.lit(-1).cast("long").alias("entity_id"), F.lit(0.0).alias("score"))
-    chunks = max(min(-(-n_values // 500), spark.sparkContext.defaultParallelism), -(-n_values // chunk_values))
-    blocks = -(-n_patterns // block_patterns)
-    left = v.withColumn("chunk", F.pmod(F.xxhash64("value"), F.lit(chunks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = p.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    # folding costs more than it reads: small values are spread over the cores
+    spread = v.repartition(spark.sparkContext.defaultParallelism) if n_values < 1_000_000 else v
+    vw = cut(spread.select("vid", "value").mapInArrow(_value_words(longest), "vid long, kind string, word string"))
+    vk, pk = _meeting_keys(vw, p, longest)
+    pk = cut(pk.distinct())
+    per_pattern = pk.groupBy("key").agg(F.count(F.lit(1)).alias("np"))
+    per_value = vk.groupBy("key").agg(F.count(F.lit(1)).alias("nv"))
+    keys = per_pattern.join(per_value, "key").select("key", F.ceil(F.col("nv") / chunk_values).cast("int").alias("parts"), F.ceil(F.col("np") / block_patterns).cast("int").alias("blocks"), "nv", "np")
+    keys = cut(keys)
+    work = keys.agg(F.coalesce(F.sum(F.col("nv") * F.col("blocks")), F.lit(0)), F.coalesce(F.sum(F.col("np") * F.col("parts")), F.lit(0))).first()
+    buckets = max(min(-(-n_values // 500), spark.sparkContext.defaultParallelism), -(-work[0] // chunk_values), -(-work[1] // block_patterns))
+    place = keys.select("key", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket"), "parts", "blocks")
+    unit = ["bucket", "part", "block"]
+    # a key of many values is hot on their side; a pattern goes to all parts of its key, a value to all blocks of it
+    at = hot_join(vk, place, "key", "inner").withColumn("part", F.pmod(F.xxhash64("vid"), "parts").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = at.select(*unit, "vid").distinct().join(v, "vid")
+    right = pk.join(place, "key").withColumn("block", F.pmod(F.xxhash64("pid"), "blocks").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = right.select(*unit, "pid").distinct().join(p.select("pid", "pattern", "id", "is_code"), "pid").select(*[F.col(c).alias(f"p_{c}") for c in unit], "pattern", "id", "is_code")
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty:
-            return pd.DataFrame({"value": pd.Series([], dtype=object), "score": pd.Series([], dtype="float64"), "entity_id": pd.Series([], dtype="int64")})
+        if a.empty or b.empty:
+            return pd.DataFrame({"vid": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64"), "entity_id": pd.Series([], dtype="int64")})
         m = Matcher(list(zip(b["pattern"], b["id"], b["is_code"])))
-        values = list(a["value"])
-        got = [m.best(x) for x in values]
-        return pd.DataFrame({"value": values, "score": [s for s, _ in got], "entity_id": [i for _, i in got]})
+        got = [m.best(x) for x in a["value"]]
+        return pd.DataFrame({"vid": a["vid"], "score": [s for s, _ in got], "entity_id": [i for _, i in got]})
 
     # the work is in the matching, not in the bytes: a stated number of partitions keeps small values from falling into a few tasks
-    n = min(2000, 2 * blocks * chunks)
-    left, right = left.repartition(n, "block", "chunk"), right.repartition(n, "block", "chunk")
-    met = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(meet, "value string, score double, entity_id long")
-    best = met.groupBy("value").agg(F.max(F.struct("score", (-F.col("entity_id")).alias("minus"))).alias("x"))
-    return best.select("value", F.when(F.col("x.score") > 0, -F.col("x.minus")).otherwise(F.lit(-1)).cast("long").alias("entity_id"), F.col("x.score").alias("score"))
+    mine = [f"p_{c}" for c in unit]
+    left, right = left.repartition(2 * buckets, *unit), right.repartition(2 * buckets, *mine)
+    met = left.groupBy(*unit).cogroup(right.groupBy(*mine)).applyInPandas(meet, "vid long, score double, entity_id long")
+    best = met.where("score > 0").groupBy("vid").agg(F.max(F.struct("score", (-F.col("entity_id")).alias("minus"))).alias("x"))
+    out = v.join(best, "vid", "left")
+    return out.select("value", F.coalesce(-F.col("x.minus"), F.lit(-1)).cast("long").alias("entity_id"), F.coalesce("x.score", F.lit(0.0)).alias("score"))
 
 
 def resolve_sightings(ledger: DataFrame, entities: DataFrame) -> DataFrame:
