@@ -299,6 +299,22 @@ def test_values_in_blocks_and_chunks(spark):
     assert canonical.resolve_sightings(led.limit(0), ent).count() == 0
 
 
+def test_both_ways_to_match_a_list_give_the_same(spark):
+    d = "/root/testdata/sf0.01"
+    pats = canonical.patterns_of(spark.read.parquet(f"{d}/entities.parquet"))
+    vals = spark.read.parquet(f"{d}/prospect_ledger.parquet").select(F.col("term").alias("value"))
+    extra = [("discussed with everybody present the future planning of grastound junction",), ("word " * 5000 + "end",), ("x" * 50_000,)]
+    names = [r["pattern"] for r in pats.where("not is_code").orderBy("pattern").limit(3).collect()]
+    extra += [(f"a long report about what the team said on {n} in the second meeting of 2024 at noon",) for n in names]
+    vals = vals.unionByName(spark.createDataFrame(extra, "value string"))
+    whole = {tuple(r) for r in canonical.resolve_values(vals, pats).collect()}
+    keyed = {tuple(r) for r in canonical.resolve_values(vals, pats, block_patterns=20, chunk_values=100).collect()}
+    assert whole == keyed
+    found = {v: e for v, e, _ in whole}
+    ids = {r["pattern"]: r["id"] for r in pats.collect()}
+    assert all(found[x[0]] == ids[n] for x, n in zip(extra[3:], names))
+
+
 # ---- vectors -----------------------------------------------------------------------------------------------------------------
 
 

@@ -5,11 +5,13 @@ mentions that stand in a value at word boundaries; the longest non-overlapping o
 similarity: every word of the pattern must have its own word in the value, equal or within a few edits by length, in any order. Short
 codes match letter by letter only, numbers digit by digit only. Values left over are reported as unmatched.
 
-List and values meet by keys, not by product. A pattern can only match a value that has every word of the pattern, equal, one edit away or cut
-short; so the word of it that fewest values hold is a necessary one, and the pattern goes to the values' words that it may stand for (found
-in the vocabulary, by deletion variants and by beginnings). Values written as one word meet by the letters of the whole. A task holds the
-patterns and the values of some keys, builds one automaton of those patterns and takes the best match of each value; the best over all keys
-is taken by a partial aggregate. A key of very many values is divided among tasks by value, one of very many patterns by pattern.
+A list of at most ``BLOCK_PATTERNS`` patterns (counted first) goes whole to every task, which takes its part of the distinct values. A longer
+list and the values meet by keys, not by product. A pattern can only match a value that has every word of the pattern, equal, one edit away
+or cut short; so the word of it that fewest values hold is a necessary one, and the pattern goes to the values' words that it may stand for
+(found in the vocabulary, by deletion variants and by beginnings). Values written as one word meet by the letters of the whole. A task then
+holds the patterns and the values of some keys, builds one automaton of those patterns and takes the best match of each value; the best over
+all keys is taken by a partial aggregate. A key of very many values is divided among tasks by value, one of very many patterns by pattern.
+Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 
 from wherry.session import cut, hot_join
 
-#: Patterns in one automaton; distinct values that one task holds.
-BLOCK_PATTERNS, CHUNK_VALUES = 60_000, 25_000
+#: Patterns in one automaton, and the most letters of a list that is sent whole; distinct values that one task holds.
+BLOCK_PATTERNS, BLOCK_LETTERS, CHUNK_VALUES = 60_000, 4_000_000, 25_000
 #: The least share of characters that similar values must have in common.
 LEAST_SHARE = 0.6
 CODE_LENGTH, GLUED_LENGTH = 6, 12
@@ -286,11 +288,14 @@ def _key(kind: str, word: Column) -> Column:
 
 
 def _meeting_keys(vw: DataFrame, p: DataFrame, longest: int) -> tuple[DataFrame, DataFrame]:
-    """``vid, key`` of the values and ``key, pid`` of the patterns: every pair that can match shares a key."""
+    """``vid, key`` of the values and ``key, pid, nv`` of the patterns: every pair that can match shares a key; ``nv`` values have it.
+
+    Few values have the same letters as a whole, so ``nv`` is 1 for those keys.
+    """
     vocabulary = vw.where(F.col("kind").isin("w", "s")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("kind") == "s").alias("short"))
     vocabulary = cut(vocabulary)
     words = p.select("pid", F.explode("words").alias("word"))
-    rare = hot_join(words, vocabulary.select("word", "n"), "word", "left").groupBy("pid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), -F.length("word"), "word")).alias("x"))
+    rare = words.join(vocabulary.select("word", "n"), "word", "left").groupBy("pid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), -F.length("word"), "word")).alias("x"))
     rare = cut(rare.select("pid", F.col("x.word").alias("keyword")))
     k = rare.select("keyword").distinct()
     fuzzy = lambda c: (F.length(c) >= 4) & (F.length(c) <= longest + 1) & ~F.col(c).rlike(r"\P{L}")
@@ -298,10 +303,11 @@ def _meeting_keys(vw: DataFrame, p: DataFrame, longest: int) -> tuple[DataFrame,
     near = vocabulary.where(fuzzy("word")).select("word", F.explode(_variants(F.col("word"))).alias("x")).join(k.where(fuzzy("keyword")).select("keyword", F.explode(_variants(F.col("keyword"))).alias("x")), "x").select("word", "keyword")
     begins = k.where(F.length("keyword") > 3).select("keyword", F.explode(F.sequence(F.lit(3), F.length("keyword") - 1)).alias("i")).select("keyword", F.expr("substring(keyword, 1, i)").alias("word"))
     short = vocabulary.where("short").select("word").join(begins, "word").select("word", "keyword")
-    stands_for = exact.unionByName(near).unionByName(short).distinct()
+    stands_for = exact.unionByName(near).unionByName(short).distinct().join(vocabulary.select("word", "n"), "word")
     glued = p.where(~F.col("is_code") & (F.col("glued") != ""))
     near_glued = glued.where(F.length("glued") >= GLUED_LENGTH - 1).select("pid", F.explode(_variants(F.col("glued"))).alias("x"))
-    pk = rare.join(stands_for, "keyword").select(_key("w", F.col("word")), "pid").unionByName(glued.select(_key("g", F.col("glued")), "pid")).unionByName(near_glued.select(_key("h", F.col("x")), "pid"))
+    one_value = F.lit(1).cast("long").alias("nv")
+    pk = rare.join(stands_for, "keyword").select(_key("w", F.col("word")), "pid", F.col("n").alias("nv")).unionByName(glued.select(_key("g", F.col("glued")), "pid", one_value)).unionByName(near_glued.select(_key("h", F.col("x")), "pid", one_value))
     one = vw.where("kind = 'h'").select("vid", F.explode(_variants(F.col("word"))).alias("x"))
     vk = vw.where(F.col("kind").isin("w", "s")).select("vid", _key("w", F.col("word"))).unionByName(vw.where("kind = 'g'").select("vid", _key("g", F.col("word")))).unionByName(one.select("vid", _key("h", F.col("x"))))
     return vk, pk
@@ -318,23 +324,51 @@ def resolve_values(values: DataFrame, patterns: DataFrame, block_patterns: int =
     n_values = v.count()
     if n_values == 0 or longest is None:
         return v.select("value", F.lit(-1).cast("long").alias("entity_id"), F.lit(0.0).alias("score"))
+    list_size = p.agg(F.count(F.lit(1)), F.sum(F.length("pattern"))).first()
+    if list_size[0] <= block_patterns and list_size[1] <= BLOCK_LETTERS:
+        met = _by_whole_list(v, p, n_values, chunk_values)
+    else:
+        met = _by_keys(v, p, longest, n_values, block_patterns, chunk_values)
+    best = met.where("score > 0").groupBy("vid").agg(F.max(F.struct("score", (-F.col("entity_id")).alias("minus"))).alias("x"))
+    out = v.join(best, "vid", "left")
+    return out.select("value", F.coalesce(-F.col("x.minus"), F.lit(-1)).cast("long").alias("entity_id"), F.coalesce("x.score", F.lit(0.0)).alias("score"))
+
+
+def _by_whole_list(v: DataFrame, p: DataFrame, n_values: int, chunk_values: int) -> DataFrame:
+    """``vid, score, entity_id``: the list, whose size was checked, is sent to every task."""
+    spark = v.sparkSession
+    sent = spark.sparkContext.broadcast([tuple(r) for r in p.select("pattern", "id", "is_code").collect()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = None
+        for b in batches:
+            m = m or Matcher(sent.value)
+            got = [m.best(x) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array([i for _, i in got], pa.int64())], names=["vid", "score", "entity_id"])
+
+    # the work is in the matching, not in the bytes: a stated number of partitions keeps small values from falling into a few tasks
+    n = max(min(-(-n_values // 500), spark.sparkContext.defaultParallelism), -(-n_values // chunk_values))
+    return v.select("vid", "value").repartition(n, "vid").mapInArrow(run, "vid long, score double, entity_id long")
+
+
+def _by_keys(v: DataFrame, p: DataFrame, longest: int, n_values: int, block_patterns: int, chunk_values: int) -> DataFrame:
+    """``vid, score, entity_id``, the best of each key that list and values have in common."""
+    spark = v.sparkSession
     # folding costs more than it reads: small values are spread over the cores
     spread = v.repartition(spark.sparkContext.defaultParallelism) if n_values < 1_000_000 else v
     vw = cut(spread.select("vid", "value").mapInArrow(_value_words(longest), "vid long, kind string, word string"))
     vk, pk = _meeting_keys(vw, p, longest)
     pk = cut(pk.distinct())
-    per_pattern = pk.groupBy("key").agg(F.count(F.lit(1)).alias("np"))
-    per_value = vk.groupBy("key").agg(F.count(F.lit(1)).alias("nv"))
-    keys = per_pattern.join(per_value, "key").select("key", F.ceil(F.col("nv") / chunk_values).cast("int").alias("parts"), F.ceil(F.col("np") / block_patterns).cast("int").alias("blocks"), "nv", "np")
-    keys = cut(keys)
+    keys = pk.groupBy("key").agg(F.count(F.lit(1)).alias("np"), F.max("nv").alias("nv"))
+    keys = cut(keys.select("key", F.ceil(F.col("nv") / chunk_values).cast("int").alias("parts"), F.ceil(F.col("np") / block_patterns).cast("int").alias("blocks"), "nv", "np"))
     work = keys.agg(F.coalesce(F.sum(F.col("nv") * F.col("blocks")), F.lit(0)), F.coalesce(F.sum(F.col("np") * F.col("parts")), F.lit(0))).first()
     buckets = max(min(-(-n_values // 500), spark.sparkContext.defaultParallelism), -(-work[0] // chunk_values), -(-work[1] // block_patterns))
     place = keys.select("key", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket"), "parts", "blocks")
     unit = ["bucket", "part", "block"]
     # a key of many values is hot on their side; a pattern goes to all parts of its key, a value to all blocks of it
-    at = hot_join(vk, place, "key", "inner").withColumn("part", F.pmod(F.xxhash64("vid"), "parts").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    at = hot_join(cut(vk), place, "key", "inner").withColumn("part", F.pmod(F.xxhash64("vid"), "parts").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = at.select(*unit, "vid").distinct().join(v, "vid")
-    right = pk.join(place, "key").withColumn("block", F.pmod(F.xxhash64("pid"), "blocks").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = pk.select("key", "pid").join(place, "key").withColumn("block", F.pmod(F.xxhash64("pid"), "blocks").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     right = right.select(*unit, "pid").distinct().join(p.select("pid", "pattern", "id", "is_code"), "pid").select(*[F.col(c).alias(f"p_{c}") for c in unit], "pattern", "id", "is_code")
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -344,13 +378,9 @@ def resolve_values(values: DataFrame, patterns: DataFrame, block_patterns: int =
         got = [m.best(x) for x in a["value"]]
         return pd.DataFrame({"vid": a["vid"], "score": [s for s, _ in got], "entity_id": [i for _, i in got]})
 
-    # the work is in the matching, not in the bytes: a stated number of partitions keeps small values from falling into a few tasks
     mine = [f"p_{c}" for c in unit]
     left, right = left.repartition(2 * buckets, *unit), right.repartition(2 * buckets, *mine)
-    met = left.groupBy(*unit).cogroup(right.groupBy(*mine)).applyInPandas(meet, "vid long, score double, entity_id long")
-    best = met.where("score > 0").groupBy("vid").agg(F.max(F.struct("score", (-F.col("entity_id")).alias("minus"))).alias("x"))
-    out = v.join(best, "vid", "left")
-    return out.select("value", F.coalesce(-F.col("x.minus"), F.lit(-1)).cast("long").alias("entity_id"), F.coalesce("x.score", F.lit(0.0)).alias("score"))
+    return left.groupBy(*unit).cogroup(right.groupBy(*mine)).applyInPandas(meet, "vid long, score double, entity_id long")
 
 
 def resolve_sightings(ledger: DataFrame, entities: DataFrame) -> DataFrame:
