@@ -13,6 +13,9 @@ from wherry.plans.usage import events
 from wherry.session import link_key, table
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
+#: DuckDB's levenshtein counts bytes: accented letters are put as capitals, which lower-cased names don't have.
+_PLAIN = "translate({0}, 'àáâäãåçèéêëìíîïñòóôöõùúûüý', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+_EDITS = f"levenshtein({_PLAIN.format('{0}')}, {_PLAIN.format('{1}')})"
 book = Book(
     V.VAULT_SQL
     + """, ekeys AS (SELECT id, regexp_replace(lower(trim(name)), '\\.md$', '') AS key FROM ents UNION SELECT id, regexp_replace(lower(trim(a)), '\\.md$', '') FROM (SELECT id, unnest(aliases) AS a FROM ents)),
@@ -64,16 +67,16 @@ def assoc_recency(spark, d):
 
 
 @add(f"""WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(regexp_replace(lower(text), '\\[\\[([^\\]|]*\\|)?([^\\]]*)\\]\\]', '\\2', 'g'), '([a-z][a-z0-9]{{2,}})', 1), lambda w: w NOT IN ({_STOP}))) AS w FROM documents WHERE text IS NOT NULL), n AS (SELECT count(*) AS n FROM w), t AS (SELECT term, count(*) AS df FROM (SELECT unnest(w) AS term FROM w) GROUP BY 1)
-SELECT term, df, round(greatest(0.5, least(2.5, ln((n + 1.0) / (df + 1)))), 6) AS idf FROM t, n WHERE df >= 5""", common=False)
+SELECT term, df, round(greatest(0.5, least(2.5, ln((n + 1.0) / (df + 1)))), 6) AS idf FROM t, n""", common=False)
 def assoc_token_idf(spark, d):
     """Weight of each word of the documents."""
     x = table(spark, d, "documents").where("text is not null").select(F.array_distinct(tokens_of(F.col("text"))).alias("w"))
     n = x.agg(F.count(F.lit(1)).alias("n"))
-    t = x.select(F.explode("w").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df >= 5")
+    t = x.select(F.explode("w").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return t.crossJoin(F.broadcast(n)).select("term", "df", F.round(idf_clamped(F.col("df"), F.col("n"), 0.5, 2.5), 6).alias("idf"))
 
 
-@add("""WITH r AS (SELECT user_id || '-' || CAST(ts AS DATE) AS session, CAST(json_extract_string(props, '$.k') AS BIGINT) AS note, ts FROM events), s AS (SELECT session, list_sort(list(DISTINCT note)) AS es, max(ts) AS at_ FROM r GROUP BY 1 HAVING count(DISTINCT note) BETWEEN 2 AND 50),
+@add("""WITH r AS (SELECT user_id || '-' || CAST(ts AS DATE) AS session, CAST(json_extract_string(props, '$.k') AS BIGINT) AS note, ts FROM events), s AS (SELECT session, list_sort(list(DISTINCT note)) AS es, max(ts) AS at_ FROM r GROUP BY 1 HAVING count(DISTINCT note) >= 2),
 x AS (SELECT session, unnest(es) AS note, len(es) AS n, at_ FROM s) SELECT a.note AS a, b.note AS b, round(sum(exp(-ln(2) * greatest((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(a.at_)) / 86400000000.0, 0) / 7) / CASE WHEN a.n > 2 THEN ln(a.n) ELSE 1 END), 6) AS weight FROM x a JOIN x b ON a.session = b.session AND a.note < b.note GROUP BY 1, 2""", common=False)
 def assoc_co_retrieval(spark, d):
     """Notes read together in sessions, recent ones more."""
@@ -81,11 +84,11 @@ def assoc_co_retrieval(spark, d):
     return A.co_retrieval(e, "2024-01-31")
 
 
-@add("""WITH dead AS (SELECT DISTINCT dst AS term FROM res WHERE target_k IS NULL AND len(dst) >= 4), nm AS (SELECT DISTINCT lower(name) AS name FROM ents WHERE len(name) >= 3),
-c AS (SELECT term, name, round(1 - levenshtein(term, name) / greatest(len(term), len(name)), 6) AS sim FROM dead JOIN nm ON abs(len(term) - len(name)) <= 1 AND levenshtein(term, name) <= 1)
-SELECT term, min(name) AS match, sim FROM c WHERE sim >= 0.8 AND sim = (SELECT max(sim) FROM c x WHERE x.term = c.term) GROUP BY term, sim""")
+@add(f"""WITH dead AS (SELECT DISTINCT dst AS term FROM res WHERE target_k IS NULL AND len(dst) >= 4), nm AS (SELECT DISTINCT lower(name) AS name FROM ents WHERE len(name) >= 3),
+c AS (SELECT term, name, round(1 - {_EDITS.format('term', 'name')} / greatest(len(term), len(name)), 6) AS sim FROM dead JOIN nm ON {_EDITS.format('term', 'name')} <= CASE WHEN len(term) > 10 THEN 2 ELSE 1 END)
+SELECT term, min(name) AS match, sim FROM c WHERE sim = (SELECT max(sim) FROM c x WHERE x.term = c.term) GROUP BY term, sim""")
 def join_fuzzy_dead_links(spark, d):
-    """The nearest entity name of each dead link within one edit."""
+    """The nearest entity name of each dead link within one edit, two for targets above ten letters."""
     n = V.notes(spark, d)
     e = V.entities(spark, d)
     r = V.resolved(V.links(spark, d), V.entity_keys(n, e))
@@ -122,9 +125,11 @@ def join_token_coverage(spark, d):
     return A.token_coverage(table(spark, d, "documents"), "doc_id", F.col("text"), V.entities(spark, d))
 
 
-@add("""WITH e AS (SELECT id, lower(name) AS name, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS fk FROM ents), c AS (SELECT x.id AS a, y.id AS b, 0.85 AS score, 'same' AS reason FROM e x JOIN e y ON x.fk = y.fk AND x.id < y.id WHERE x.fk <> ''
-UNION ALL SELECT x.id, y.id, round(0.5 + 0.4 * (1 - levenshtein(x.name, y.name) / greatest(len(x.name), len(y.name))), 6), 'near' FROM e x JOIN e y ON x.id < y.id AND abs(len(x.name) - len(y.name)) <= 1 AND levenshtein(x.name, y.name) <= 1 WHERE len(x.name) >= 6 AND len(y.name) >= 6)
-SELECT a, b, CAST(score AS DOUBLE) AS score, reason FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY score DESC, reason DESC) AS rn FROM c) WHERE rn = 1""")
+@add(f"""WITH e AS (SELECT id, lower(name) AS name, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS fk, regexp_replace(regexp_replace(regexp_replace(lower(name), '[.\\-_]', '', 'g'), 'js$', ''), 'ts$', '') AS plain FROM ents WHERE name IS NOT NULL),
+p AS (SELECT x.id AS a, y.id AS b, x.name AS na, y.name AS nb, (x.fk = y.fk AND x.fk <> '') OR (x.plain = y.plain AND len(x.plain) >= 3) AS fold, least(len(x.name), len(y.name)) AS s, greatest(len(x.name), len(y.name)) AS l, {_EDITS.format('x.name', 'y.name')} AS d FROM e x JOIN e y ON x.id < y.id),
+c AS (SELECT a, b, CASE WHEN na = nb THEN 0.95 WHEN fold THEN 0.85 WHEN s >= 3 AND 2 * s > l AND (contains(na, nb) OR contains(nb, na)) THEN round(0.6 + 0.2 * (s / l), 6) WHEN s >= 4 AND 100 * d < 35 * l THEN round(0.5 + 0.4 * (1 - d / l), 6) END AS score,
+  CASE WHEN na = nb THEN 'exact' WHEN fold THEN 'same' WHEN s >= 3 AND 2 * s > l AND (contains(na, nb) OR contains(nb, na)) THEN 'substring' ELSE 'near' END AS reason FROM p)
+SELECT a, b, CAST(score AS DOUBLE) AS score, reason FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY score DESC, reason DESC) AS rn FROM c WHERE score IS NOT NULL) WHERE rn = 1""")
 def join_merge_candidates(spark, d):
     """Entities that may be the same."""
     return A.merge_candidates(V.entities(spark, d))

@@ -127,7 +127,7 @@ def graph_modified_in_range(spark, d):
     return V.notes(spark, d).where((F.col("modified") >= F.lit("2025-03-01").cast("timestamp_ntz")) & (F.col("modified") < F.lit("2025-04-01").cast("timestamp_ntz"))).select("k", "path")
 
 
-@add("SELECT a.src AS a, b.src AS b, count(*) AS n_shared FROM edges a JOIN edges b ON a.dst = b.dst AND a.src < b.src JOIN deg ON deg.k = a.dst WHERE deg.n_in <= 20 GROUP BY 1, 2 HAVING count(*) >= 2")
+@add("SELECT a.src AS a, b.src AS b, count(*) AS n_shared FROM edges a JOIN edges b ON a.dst = b.dst AND a.src < b.src GROUP BY 1, 2 HAVING count(*) >= 2")
 def join_common_neighbours(spark, d):
     """Pairs of notes that share at least two targets, hubs among them."""
     return G.common_targets(base(spark, d)[2])
@@ -140,9 +140,16 @@ def join_bidirectional(spark, d):
     return e.where("src <= dst").join(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"]).toDF("a", "b")
 
 
-@add("""SELECT p.a, p.b, CASE WHEN p.n = 2 THEN 3.0 ELSE 1.0 END + 0.5 * coalesce(c.n, 0) + CASE WHEN regexp_extract(p.a, '^(.*)/[^/]*$', 1) = regexp_extract(p.b, '^(.*)/[^/]*$', 1) AND contains(p.a, '/') THEN 1.0 ELSE 0.0 END AS strength
-FROM (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(DISTINCT src) AS n FROM edges WHERE src <> dst GROUP BY 1, 2) p
-LEFT JOIN (SELECT p.a, p.b, count(*) AS n FROM (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst) p JOIN edges x ON x.src = p.a AND x.dst <> x.src JOIN edges y ON y.src = p.b AND y.dst = x.dst AND y.dst <> y.src GROUP BY 1, 2) c ON c.a = p.a AND c.b = p.b""")
+#: Tags and strength of every linked pair for DuckDB.
+_STRENGTH = """tag AS (SELECT DISTINCT k, tag FROM (SELECT k, regexp_replace(trim(t), '^["''#]+|["'']+$', '', 'g') AS tag FROM (SELECT k, unnest(string_split(x, ',')) AS t FROM (SELECT k, unnest(regexp_extract_all(regexp_replace(frontmatter, '\\[\\[[^\\[\\]]*\\]\\]', ' ', 'g'), '\\[([^\\[\\]]*)\\]', 1)) AS x FROM notes))) WHERE tag <> ''),
+lp AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(DISTINCT src) AS n FROM edges WHERE src <> dst GROUP BY 1, 2),
+ct AS (SELECT a, b, count(*) AS n FROM lp JOIN edges x ON x.src = a AND x.dst <> x.src JOIN edges y ON y.src = b AND y.dst = x.dst AND y.dst <> y.src GROUP BY 1, 2),
+tg AS (SELECT a, b, count(*) AS n FROM lp JOIN tag x ON x.k = a JOIN tag y ON y.k = b AND y.tag = x.tag GROUP BY 1, 2),
+strong AS (SELECT lp.a, lp.b, CASE WHEN lp.n = 2 THEN 3.0 ELSE 1.0 END + coalesce(tg.n, 0) + 0.5 * coalesce(ct.n, 0) + CASE WHEN regexp_extract(lp.a, '^(.*)/[^/]*$', 1) = regexp_extract(lp.b, '^(.*)/[^/]*$', 1) AND contains(lp.a, '/') THEN 1.0 ELSE 0.0 END AS strength
+  FROM lp LEFT JOIN ct ON ct.a = lp.a AND ct.b = lp.b LEFT JOIN tg ON tg.a = lp.a AND tg.b = lp.b)"""
+
+
+@add(f"WITH {_STRENGTH} SELECT a, b, CAST(strength AS DOUBLE) AS strength FROM strong")
 def graph_connection_strength(spark, d):
     """Strength of every linked pair."""
     n, _, e = base(spark, d, "frontmatter")
@@ -168,8 +175,10 @@ def _root(e: DataFrame) -> DataFrame:
 _ROOT = "root AS (SELECT src AS root FROM edges GROUP BY 1 ORDER BY count(*) DESC, src LIMIT 1)"
 
 
-@add(f"""WITH {_ROOT}, h0 AS (SELECT root AS k FROM root), h1 AS (SELECT DISTINCT dst AS k FROM edges JOIN h0 ON src = k), h2 AS (SELECT DISTINCT dst AS k FROM edges JOIN h1 ON src = k), h3 AS (SELECT DISTINCT dst AS k FROM edges JOIN h2 ON src = k), h4 AS (SELECT DISTINCT dst AS k FROM edges JOIN h3 ON src = k)
-SELECT k, CAST(min(hop) AS INTEGER) AS hop FROM (SELECT k, 0 AS hop FROM h0 UNION ALL SELECT k, 1 FROM h1 UNION ALL SELECT k, 2 FROM h2 UNION ALL SELECT k, 3 FROM h3 UNION ALL SELECT k, 4 FROM h4) GROUP BY 1""")
+_HOPS = ", ".join(["h0 AS (SELECT root AS k FROM root)", *[f"h{i} AS (SELECT DISTINCT dst AS k FROM edges JOIN h{i - 1} ON src = k)" for i in range(1, DEPTH + 1)]])
+
+
+@add(f"WITH {_ROOT}, {_HOPS} SELECT k, CAST(min(hop) AS INTEGER) AS hop FROM (" + " UNION ALL ".join(f"SELECT k, {i} AS hop FROM h{i}" for i in range(DEPTH + 1)) + ") GROUP BY 1")
 def graph_shortest_hops(spark, d):
     """Notes within ten links of the note with the most links, with their distance."""
     _, _, e = base(spark, d)
@@ -198,13 +207,11 @@ def path_costs(e: DataFrame, n: DataFrame) -> DataFrame:
     return u.select("src", "dst", F.round((1.0 / (1 + F.col("strength"))) * (1 + F.log2("deg")), 9).alias("w"))
 
 
-_W = "w AS (SELECT u.src, u.dst, round((1.0 / (1 + coalesce(s.n, 0))) * (1 + log2(deg.n_in + deg.n_out)), 9) AS w FROM und u JOIN deg ON deg.k = u.dst LEFT JOIN (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS n FROM edges WHERE src <> dst GROUP BY 1, 2) s ON s.a = least(u.src, u.dst) AND s.b = greatest(u.src, u.dst))"
+_W = "w AS (SELECT u.src, u.dst, round((1.0 / (1 + strength)) * (1 + log2(deg.n_in + deg.n_out)), 9) AS w FROM und u JOIN deg ON deg.k = u.dst JOIN strong s ON s.a = least(u.src, u.dst) AND s.b = greatest(u.src, u.dst))"
+_PATHS = ", ".join(["p0 AS (SELECT root AS k, 0.0::DOUBLE AS cost FROM root)", *[f"p{i} AS (SELECT k, min(cost) AS cost FROM (SELECT * FROM p{i - 1} UNION ALL SELECT dst, round(cost + w, 9) FROM p{i - 1} JOIN w ON src = k) GROUP BY 1)" for i in range(1, DEPTH + 1)]])
 
 
-@add(f"""WITH {_ROOT}, {_W}, p0 AS (SELECT root AS k, 0.0::DOUBLE AS cost FROM root),
-p1 AS (SELECT k, min(cost) AS cost FROM (SELECT * FROM p0 UNION ALL SELECT dst, round(cost + w, 9) FROM p0 JOIN w ON src = k) GROUP BY 1),
-p2 AS (SELECT k, min(cost) AS cost FROM (SELECT * FROM p1 UNION ALL SELECT dst, round(cost + w, 9) FROM p1 JOIN w ON src = k) GROUP BY 1),
-p3 AS (SELECT k, min(cost) AS cost FROM (SELECT * FROM p2 UNION ALL SELECT dst, round(cost + w, 9) FROM p2 JOIN w ON src = k) GROUP BY 1) SELECT k, round(cost, 6) AS cost FROM p3""")
+@add(f"WITH {_ROOT}, {_STRENGTH}, {_W}, {_PATHS} SELECT k, round(cost, 6) AS cost FROM p{DEPTH}")
 def graph_weighted_paths(spark, d):
     """Least cost from the note with the most links over at most ten edges; an edge costs less the stronger its pair is and more into a hub."""
     from wherry.session import cut

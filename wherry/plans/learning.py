@@ -168,8 +168,10 @@ def name_hits(docs, entities, share):
     return best.select("doc_id", "id", "x.points", "x.ratio")
 
 
-@add("""WITH dw AS (SELECT doc_id, list_distinct(regexp_extract_all(coalesce(lower(text), ''), '[\\p{L}\\p{N}]+')) AS w FROM documents), dt AS (SELECT doc_id, unnest(w) AS token FROM dw), ew AS (SELECT id, list_distinct(regexp_extract_all(lower(name), '[\\p{L}\\p{N}]+')) AS w FROM ents WHERE len(name) <= 25), et AS (SELECT id, len(w) AS n, unnest(w) AS token FROM ew),
-h AS (SELECT doc_id, id, n, count(*) AS hit FROM dt JOIN et USING (token) GROUP BY 1, 2, 3), s AS (SELECT doc_id, id, hit * 10 + CASE WHEN hit = n THEN 8 ELSE 0 END AS score, hit * 1.0 / n AS ratio FROM h WHERE hit * 1.0 / n >= 0.6)
+@add("""WITH dw AS (SELECT doc_id, list_distinct(regexp_extract_all(coalesce(lower(text), ''), '[\\p{L}\\p{N}]+')) AS w FROM documents), dt AS (SELECT doc_id, unnest(w) AS token FROM dw),
+en AS (SELECT id, unnest(list_concat([name], aliases)) AS a, unnest(range(len(aliases) + 1)) AS p FROM ents WHERE len(name) <= 25), ew AS (SELECT id, p, list_distinct(regexp_extract_all(lower(a), '[\\p{L}\\p{N}]+')) AS w FROM en WHERE a IS NOT NULL), et AS (SELECT DISTINCT id, p, len(w) AS n, unnest(w) AS token FROM ew),
+h AS (SELECT doc_id, id, p, n, count(*) AS hit FROM dt JOIN et USING (token) GROUP BY 1, 2, 3, 4), b AS (SELECT doc_id, id, hit * 10 + CASE WHEN hit = n THEN 8 ELSE 0 END AS score, hit * 1.0 / n AS ratio FROM h WHERE hit * 1.0 / n >= 0.6),
+s AS (SELECT doc_id, id, score, ratio FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, id ORDER BY score DESC, ratio DESC) AS rn FROM b) WHERE rn = 1)
 SELECT doc_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ratio DESC, id) AS rank FROM s WHERE score >= 10) WHERE rank <= 8""")
 def suggest_links(spark, d):
     """Up to eight entities to link from each document: names and aliases matched by words, at least 60 % of them, full ones with a bonus."""
