@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wherry.session import cut
+from wherry.session import cut, hot_join
 
 
 def note_edges(resolved_links: DataFrame, notes: DataFrame) -> DataFrame:
@@ -94,16 +94,18 @@ def components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 50) -> Dat
     """``k, component``: the least key of each connected component, by neighbour minima and pointer jumping to a fixpoint."""
     both = cut(undirected(edges))
     label = nodes.select("k", F.col("k").alias("component"))
+    jump_of = lambda s: s.toDF("component", "c2")
     for _ in range(most_rounds):
         low = both.join(label.toDF("dst", "c"), "dst").groupBy(F.col("src").alias("k")).agg(F.min("c").alias("c"))
         step = label.join(low, "k", "left").select("k", F.least("component", F.coalesce("c", "component")).alias("component"))
-        jump = step.toDF("component", "c2")
-        new = cut(step.join(jump, "component", "left").select("k", F.least("component", F.coalesce("c2", "component")).alias("component")))
+        step = cut(step)
+        # in the end most notes have one label: a hot key
+        new = cut(hot_join(step, jump_of(step), "component", "left").select("k", F.least("component", F.coalesce("c2", "component")).alias("component")))
         moved = new.join(label.withColumnRenamed("component", "old"), "k").where(F.col("component") != F.col("old"))
         label = new
         if moved.isEmpty():
-            break
-    return label
+            return label
+    raise RuntimeError(f"components are not settled after {most_rounds} rounds")
 
 
 def eigenvector(edges: DataFrame, nodes: DataFrame, rounds: int = 50, every: int = 5) -> DataFrame:

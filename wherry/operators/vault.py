@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wherry.functions.exprs import file_stem, link_key, top_folder
-from wherry.session import table
+from wherry.session import hot_join, table
 
 
 def json_list(c: Column | str) -> Column:
@@ -14,11 +14,14 @@ def json_list(c: Column | str) -> Column:
     return F.from_json(c, "array<string>", {"allowSingleQuotes": "false"})
 
 
-def notes(spark: SparkSession, d: str, *extra: str) -> DataFrame:
-    """One row per note, its newest version: ``k, path, title, top, modified, created`` and the columns named. Only those are read and shuffled."""
+def notes(spark: SparkSession, d: str, *extra: str, **derived: Column) -> DataFrame:
+    """One row per note, its newest version: ``k, path, title, top, modified, created`` and the columns named. Only those are read and shuffled.
+
+    ``derived`` columns are worked out of the raw rows, so that what is taken from long contents is shuffled and the contents aren't.
+    """
     cols = ["modified", "path", "created", "title", *[c for c in extra if c not in ("modified", "path", "created", "title")]]
-    n = table(spark, d, "notes_fts").select(*cols).where(F.col("path").isNotNull())
-    newest = n.groupBy(link_key("path").alias("k")).agg(F.max(F.struct(*cols)).alias("x")).select("k", "x.*")
+    n = table(spark, d, "notes_fts").where(F.col("path").isNotNull()).select(*cols, *[c.alias(name) for name, c in derived.items()])
+    newest = n.groupBy(link_key("path").alias("k")).agg(F.max(F.struct(*cols, *derived)).alias("x")).select("k", "x.*")
     return newest.withColumn("title", F.coalesce("title", file_stem(F.col("path")))).withColumn("top", top_folder(F.col("k")))
 
 
@@ -46,8 +49,8 @@ def entity_keys(notes_: DataFrame, entities_: DataFrame) -> DataFrame:
 
 
 def resolved(links_: DataFrame, keys: DataFrame) -> DataFrame:
-    """Links with ``to``, the note they lead to (null if there is none)."""
-    return links_.join(keys.select(F.col("key").alias("dst"), F.col("k").alias("to")), "dst", "left")
+    """Links with ``to``, the note they lead to (null if there is none). A target that very many links name is joined where they stand."""
+    return hot_join(links_, keys.select(F.col("key").alias("dst"), F.col("k").alias("to")), "dst", "left")
 
 
 #: The same tables for DuckDB.

@@ -51,30 +51,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def hot_keys(left: DataFrame, key: str, share: int = 256) -> tuple[list, bool]:
+    """The keys with more than 1/``share`` of the rows, fewer than ``share`` of them, and whether nulls are that many; from a sketch of frequent items in one pass."""
+    n, top = left.agg(F.count(F.lit(1)), F.expr(f"approx_top_k(`{key}`, {share}, 8192)")).first()
+    many = [r["item"] for r in top if r["count"] > max(1000, n // share)]
+    return [k for k in many if k is not None], None in many
+
+
 def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", share: int = 256) -> DataFrame:
-    """Joins ``left`` with ``right`` (any number of rows per key, few for hot keys) on ``key`` without piling a hot key into one task.
+    """Joins ``left`` with ``right`` (one row per key) on ``key`` without piling a hot key into one task.
 
     A key is hot if it holds more than 1/``share`` of the left rows, so there are fewer than ``share`` hot keys whatever the data.
     Their right rows are broadcast: ``right`` must be unique per key, which bounds that broadcast to ``share`` rows. All other keys
-    take the ordinary shuffled join. Null keys match nothing and, on a left join, are kept. Nothing is dropped or sampled.
+    take the ordinary shuffled join. Null keys match nothing and, on a left join, are kept; many of them stay where they are. Nothing is
+    dropped or sampled. The left side is read once for the sketch and, if a key is hot, twice for the join.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be left or inner")
-    counts = left.where(F.col(key).isNotNull()).groupBy(key).count()
-    total = left.select(F.count(F.lit(1))).first()[0]
-    hot = [r[0] for r in counts.where(F.col("count") > max(1000, total // share)).select(key).collect()] if total > 1000 * 2 else []
-    nulls = left.where(F.col(key).isNull()) if how == "left" else None
-    known = left.where(F.col(key).isNotNull())
-    if hot:
-        cold = known.where(~F.col(key).isin(hot)).join(right, key, how)
-        warm = known.where(F.col(key).isin(hot)).join(F.broadcast(right.where(F.col(key).isin(hot))), key, how)
-        out = cold.unionByName(warm)
-    else:
-        out = known.join(right, key, how)
-    if nulls is not None:
-        missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields if f.name != key]
-        out = out.unionByName(nulls.select("*", *missing))
-    return out
+    hot, nulls = hot_keys(left, key, share)
+    if not hot and not nulls:
+        return left.join(right, key, how)
+    k = F.col(key)
+    cold = left.where(k.isNotNull() & ~k.isin(hot)) if hot else left.where(k.isNotNull())
+    warm = left.where((k.isin(hot) if hot else F.lit(False)) | k.isNull()) if how == "left" else left.where(k.isin(hot) if hot else F.lit(False))
+    few = F.broadcast(right.where(k.isin(hot)) if hot else right.limit(0))
+    return cold.join(right, key, how).unionByName(warm.join(few, key, how))
 
 
 def link_key(c: Column | str) -> Column:
