@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
@@ -93,6 +93,9 @@ class Matcher:
         self.tokens: list[tuple[list[str], int]] = []
         self.postings: dict[str, list[int]] = defaultdict(list)
         self.codes: set[str] = set()
+        #: For each of ``tokens`` how many words of a value it takes, and its numbers.
+        self.need: list[int] = []
+        self.digits: list[tuple[str, ...]] = []
         for text, ident, code in sorted(patterns, key=lambda p: (p[1], p[0])):
             ws = fold(text)
             if not ws:
@@ -107,6 +110,8 @@ class Matcher:
             self.by_glued.setdefault("".join(ws), ident)
             k = len(self.tokens)
             self.tokens.append((ws, ident))
+            self.need.append(len(ws))
+            self.digits.append(tuple(sorted(w for w in ws if w.isdigit())))
             for w in set(ws):
                 self.postings[w].append(k)
         self.machine = ahocorasick.Automaton()
@@ -208,16 +213,19 @@ class Matcher:
     def similar(self, words: list[str], short: set[str] = frozenset()) -> tuple[float, int]:
         """The pattern all of whose words have their own similar word in the value, with the greatest share of characters in common."""
         close = [self.similar_words(w) | (dict.fromkeys(self.begins.get(w, ()), 0) if w in short else {}) for w in words]
-        counts: dict[int, int] = defaultdict(int)
+        counts: Counter[int] = Counter()
         for c in close:
-            for k in {k for w in c for k in self.postings[w]}:
-                counts[k] += 1
-        numbers = sorted(w for w in words if w.isdigit())
+            if len(c) == 1:
+                counts.update(self.postings[next(iter(c))])
+            elif c:
+                counts.update({k for w in c for k in self.postings[w]})
+        numbers = tuple(sorted(w for w in words if w.isdigit()))
+        need, digits, one = self.need, self.digits, len(words) == 1
         top = (0.0, -1)
         for k, n in counts.items():
-            ws, ident = self.tokens[k]
-            if n < len(ws) or len(ws) < 2 and len(words) > 1 or sorted(w for w in ws if w.isdigit()) != numbers:
+            if n < need[k] or need[k] < 2 and not one or digits[k] != numbers:
                 continue
+            ws, ident = self.tokens[k]
             used: set[int] = set()
             wrong = 0
             for w in sorted(ws, key=len, reverse=True):
