@@ -255,6 +255,14 @@ def test_single_byte_misreadings(model):
     assert encoding.restore(CLEAN["pl"].encode("cp1250").decode("cp1252"), model)[0] == CLEAN["pl"]
 
 
+def test_passages_of_one_letter_and_long_chains(model):
+    assert encoding.restore("Die Pr¸fung war gut.", model)[:2] == ("Die Prüfung war gut.", ["cp1252/mac_roman"])
+    bad = CLEAN["fr"]
+    for _ in range(6):
+        bad = bad.encode().decode("latin-1")
+    assert encoding.restore(bad, model)[0] == CLEAN["fr"]
+
+
 def test_right_texts_are_left_alone(model):
     for text in [*CLEAN.values(), "Budget: £14 + €1 ≤ ¥18, √2 ≈ 1.4 ± 0.1 σ", "“CAFÉ Ångström” at 21° ×4 → √3", "ATENÇÃO: NÃO APAGAR A DESCRIÇÃO", "├── a.md\n│   └── b.md", "plain ascii", "", "🧵 ✅ ⚠️ 📅"]:
         assert encoding.restore(text, model)[:2] == (text, []), text

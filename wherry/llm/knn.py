@@ -151,7 +151,7 @@ def _sample(vectors: DataFrame, sizes: dict[int, int], p: Params) -> dict[int, n
         most = min(p.sample, max(20_000, round(16 * p.cells * math.sqrt(n))))
         v = vectors.where(F.col("g") == g)
         if n > most:
-            v = v.where(F.xxhash64("id") < F.lit(int(-(2**63) + 2**64 * min(1.0, 1.05 * most / n))))
+            v = v.where(F.xxhash64("id") < F.lit(min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, 1.05 * most / n)))))
         got = v.select("id", "v").toArrow().combine_chunks().sort_by("id")
         if got.num_rows:
             x = got.column("v").combine_chunks()
