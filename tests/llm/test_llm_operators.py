@@ -93,6 +93,20 @@ def test_pairs_against_brute_force_with_and_without_big_baskets(spark, monkeypat
     assert got == brute_pairs(rows, 4, 1.5) and got
 
 
+def test_pairs_of_baskets_above_the_real_bound(spark):
+    """Baskets of more than ``cooccur.BIG`` items, an item in all of them, pairs in big baskets only and in both kinds."""
+    rng = random.Random(8)
+    rows = []
+    for b in range(9):
+        items = {f"x{rng.randint(0, 9000)}" for _ in range(2300)} | {"hub"} | ({"p", "q"} if b < 6 else set()) | ({"r"} if b < 5 else set()) | ({"s"} if b < 4 else set())
+        rows += [(f"big{b}", i) for i in items]
+    for b in range(600):
+        rows += [(f"s{b}", f"x{i}") for i in {rng.randint(0, 9000) for _ in range(3)}] + ([(f"s{b}", "r"), (f"s{b}", "s")] if b < 3 else [])
+    assert all(n > cooccur.BIG for b, n in Counter(b for b, _ in rows).items() if b.startswith("big"))
+    got = {(r["item_a"], r["item_b"], r["n_ab"]) for r in cooccur.together(spark.createDataFrame(rows, "basket string, item string"), "basket", "item", 5, 3.0).collect()}
+    assert got == brute_pairs(rows, 5, 3.0) and {("p", "q", 6), ("r", "s", 7)} <= got
+
+
 def test_pairs_of_nothing(spark):
     assert cooccur.together(spark.createDataFrame([], "basket string, item string"), "basket", "item").count() == 0
 
@@ -105,7 +119,9 @@ def test_partners_are_ranked_by_significance(spark):
 # ---- leakage -----------------------------------------------------------------------------------------------------------------
 
 
-def test_leaks_against_brute_force(spark):
+@pytest.mark.parametrize("sent", [2_000_000, 0])
+def test_leaks_against_brute_force(spark, monkeypatch, sent):
+    monkeypatch.setattr(leakage, "SENT_LETTERS", sent)
     rng = random.Random(5)
     vocab = [f"w{i}" for i in range(40)] + ["Ünï", "日本", "x1"]
     items = [(i, " ".join(rng.choices(vocab, k=rng.choice([3, 8, 13, 14, 30])))) for i in range(12)] + [(90, None), (91, " ...!? "), (3, "w1 w2 w3")]
@@ -134,11 +150,14 @@ def test_leaks_against_brute_force(spark):
     assert leakage.leaks(df, "doc_id", "text", it.limit(0), "item_id", "text").count() == 0
 
 
-def test_items_in_blocks_give_the_same(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "a b c d"), (2, "x y")], "doc_id long, text string")
-    items = spark.createDataFrame([(1, "b c"), (2, "x"), (3, "zz")], "item_id long, text string")
-    monkeypatch.setattr(leakage, "BLOCK", 1)
-    assert sorted((r["doc_id"], r["item_id"]) for r in leakage.leaks(docs, "doc_id", "text", items, "item_id", "text").collect()) == [(1, 1), (2, 2)]
+def test_items_joined_give_the_same_as_items_sent(spark, monkeypatch):
+    docs, items = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/eval_items.parquet")
+    items = items.select("item_id", "text").unionByName(spark.createDataFrame([(1, "another text of the first item"), (1, None)], "item_id long, text string"))
+    got = []
+    for sent in (2_000_000, 0):
+        monkeypatch.setattr(leakage, "SENT_LETTERS", sent)
+        got.append({(r["doc_id"], r["item_id"], r["n_windows"], round(r["coverage"], 9)) for r in leakage.leaks(docs, "doc_id", "text", items, "item_id", "text").collect()})
+    assert got[0] == got[1] and got[0]
 
 
 # ---- mixing ------------------------------------------------------------------------------------------------------------------

@@ -4,10 +4,11 @@ Each basket contributes to one associative array (stripe) per item: its later ne
 many baskets in memory before anything is shuffled; stripes of an item are then merged by key. Items that can't be in any pair wanted
 are left out beforehand by exact bounds on their support.
 
-A basket of more than ``BIG`` items is never expanded whole in a task. Pairs that also stand in a smaller basket need only be counted
-in big ones, by intersecting the two items' lists of big baskets. A pair found in big baskets only must share at least ``min_together``
+A basket of more than ``BIG`` items is never expanded whole in a task. A pair found in big baskets only must share at least ``min_together``
 of them, hence at least one outside the ``min_together - 1`` largest of either item (prefix filter), so the very largest baskets are
-not expanded at all and the remaining ones are expanded in square tiles, each its own row.
+not expanded at all and the remaining ones are expanded in square tiles, each its own row. Candidates, from small baskets and from those
+tiles, are then counted in all big baskets by joins: the big baskets of the rarer item of a pair are looked up among those of the other. No
+row ever holds the baskets of an item.
 """
 
 from __future__ import annotations
@@ -144,16 +145,19 @@ def _merge(units: DataFrame) -> DataFrame:
 
 
 def _with_big(coded: DataFrame, sizes: DataFrame, min_together: int) -> DataFrame:
-    """The same with baskets above ``BIG`` counted by intersection of membership lists."""
+    """The same with baskets above ``BIG`` counted by joins of the candidates."""
     big = sizes.where(F.col("count") > BIG).select(F.col("basket"), F.col("count").alias("size"))
     # hot_join needs one right row per key: the basket's size
     tagged = cut(hot_join(coded, big, "basket", "left"))
     small = _merge(_units(tagged.where(F.col("size").isNull()).select("basket", "id", "n")))
-    member = tagged.where(F.col("size").isNotNull())
-    lists = cut(member.groupBy("id").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("size", "basket"))).alias("s")))
-    # candidates that stand in big baskets only: prefixes without each item's largest min_together - 1 baskets
-    prefix = lists.where(F.size("s") >= min_together).select("id", "n", F.explode(F.slice(F.col("s"), F.lit(1), F.size("s") - (min_together - 1))).alias("x"))
-    prefix = prefix.select("id", "n", F.col("x.basket").alias("basket"), F.ceil(F.col("x.size") / TILE).cast("int").alias("tiles"))
+    member = cut(tagged.where(F.col("size").isNotNull()).select("id", "n", "basket", "size"))
+    in_big = cut(member.groupBy("id").agg(F.count(F.lit(1)).alias("n_big")))
+    # candidates that stand in big baskets only: prefixes without each item's largest min_together - 1 baskets; only those few rows of an item leave a task
+    w = Window.partitionBy("id").orderBy(F.desc("size"), F.desc("basket"))
+    largest = member.withColumn("r", F.row_number().over(w)).where(F.col("r") < min_together).select("id", "basket")
+    often = in_big.where(F.col("n_big") >= min_together).select("id")
+    prefix = member.join(often, "id", "left_semi").join(largest, ["id", "basket"], "left_anti") if min_together > 1 else member
+    prefix = prefix.select("id", "n", "basket", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
     prefix = prefix.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     tiles = prefix.groupBy("basket", "tiles", "tile").agg(F.collect_list(F.struct("id", "n")).alias("x"))
     one = tiles.select("basket", "x", F.col("tile").alias("i"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("j"))
@@ -163,11 +167,13 @@ def _with_big(coded: DataFrame, sizes: DataFrame, min_together: int) -> DataFram
     units = pair.where((same & (F.size("x") > 1)) | (~same & F.col("x").isNotNull() & F.col("y").isNotNull()))
     only_big = _merge(units.select(F.col("x.id").alias("ids"), F.col("x.n").alias("ns"), F.col("y.id").alias("ids2"), F.col("y.n").alias("ns2")))
     cand = small.unionByName(only_big.withColumn("n_ab", F.lit(0).cast("long"))).groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("n_ab").alias("n_small"))
-    s = lists.select("id", F.col("s.basket").alias("s"))
-    both = cand.join(s.toDF("a", "sa"), "a", "left").join(s.toDF("b", "sb"), "b", "left")
-    shared = F.coalesce(F.size(F.array_intersect("sa", "sb")), F.lit(0))
-    shared = F.when(F.col("sa").isNull() | F.col("sb").isNull(), F.lit(0)).otherwise(shared)
-    return both.select("a", "b", "na", "nb", (F.col("n_small") + shared).alias("n_ab"))
+    # counted in all big baskets: those of the rarer item, looked up by (item, basket) among those of the other
+    c = cand.join(in_big.toDF("a", "ba"), "a").join(in_big.toDF("b", "bb"), "b")
+    first = F.col("ba") <= F.col("bb")
+    c = c.select("a", "b", F.when(first, F.col("a")).otherwise(F.col("b")).alias("rare"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("other"))
+    m = member.select("id", "basket")
+    shared = c.join(m.withColumnRenamed("id", "rare"), "rare").join(m.withColumnRenamed("id", "other"), ["other", "basket"], "left_semi").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_big"))
+    return cand.join(shared, ["a", "b"], "left").select("a", "b", "na", "nb", (F.col("n_small") + F.coalesce("n_big", F.lit(0))).alias("n_ab"))
 
 
 def rank_pairs(pairs: DataFrame, k: int) -> DataFrame:
