@@ -401,6 +401,14 @@ def test_pointers_paths_orphans_and_cycles(spark):
     assert conversations.resolve_pointers(spark.createDataFrame([], "id long, parent long")).count() == 0
 
 
+def test_a_root_that_a_third_of_all_rows_point_to(spark):
+    rows = [(0, None), (1, 0)] + [(i, 1) for i in range(2, 1500)] + [(i, i - 1) for i in range(1500, 3000)] + [(i, -5) for i in range(4000, 5500)]
+    rows = [(i, None if i == 1500 else p) for i, p in rows]
+    got = {r["id"]: (r["root"], r["depth"], r["state"]) for r in conversations.resolve_pointers(spark.createDataFrame(rows, "id long, parent long")).collect()}
+    assert all(got[i] == (0, 2, "rooted") for i in range(2, 1500)) and all(got[i] == (1500, i - 1500, "rooted") for i in range(1500, 3000))
+    assert all(got[i] == (-5, 1, "orphan") for i in range(4000, 5500)) and len(got) == len(rows)
+
+
 def brute_conversations(rows):
     """Whole sessions by a plain loop over each session's rows."""
     from wherry.operators.shred import parse

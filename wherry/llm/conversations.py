@@ -28,12 +28,12 @@ def resolve_pointers(nodes: DataFrame, most_rounds: int = 64) -> DataFrame:
 
     ``state`` is ``rooted``, ``orphan`` (the path ends at a parent that is no node; ``root`` is then that missing id, ``depth`` the steps to
     it) or ``cycle`` (``root`` null). Each round joins the pointers still under way with all pointers, so a path of length n takes about
-    log2 n rounds, and every round is cut by a checkpoint. Pointers that have arrived leave the join, so a large tree's root never
-    becomes a hot key unless its children are many; those are joined in the first round only.
+    log2 n rounds, and every round is cut by a checkpoint. Pointers that have arrived leave the join; a node that very many point to is
+    joined where they stand (``hot_join``). Paths still under way after ``most_rounds`` raise.
     """
     n = nodes.select(F.col("id"), F.col("parent"))
     known = n.select(F.col("id").alias("parent"), F.lit(True).alias("there"))
-    s = n.join(known, "parent", "left").select(
+    s = hot_join(n, known, "parent", "left").select(
         "id",
         F.coalesce("parent", "id").alias("at"),
         F.when(F.col("parent").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("dist"),
@@ -50,8 +50,10 @@ def resolve_pointers(nodes: DataFrame, most_rounds: int = 64) -> DataFrame:
             break
         before = going
         t = s.select(F.col("id").alias("at"), F.col("at").alias("at2"), F.col("dist").alias("d2"), F.col("state").alias("s2"))
-        moved = s.where("state = 'going'").join(t, "at").select("id", F.col("at2").alias("at"), (F.col("dist") + F.col("d2")).alias("dist"), F.col("s2").alias("state"))
+        moved = hot_join(s.where("state = 'going'").select("id", "at", "dist"), t, "at", "inner").select("id", F.col("at2").alias("at"), (F.col("dist") + F.col("d2")).alias("dist"), F.col("s2").alias("state"))
         s = cut(s.where("state <> 'going'").unionByName(moved))
+    else:
+        raise RuntimeError(f"pointers are not resolved after {most_rounds} rounds")
     return s.select("id", F.when(F.col("state") != "going", F.col("at")).alias("root"), F.when(F.col("state") != "going", F.col("dist")).alias("depth"), F.when(F.col("state") == "going", F.lit("cycle")).otherwise(F.col("state")).alias("state"))
 
 
