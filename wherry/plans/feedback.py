@@ -62,7 +62,7 @@ def learn_boosts_by_folder(spark, d):
     return f.join(g, "entity").select("entity", "folder", F.when(by, F.col("own")).otherwise(F.col("of_all")).cast("int").alias("boost"), by.alias("by_folder"))
 
 
-_OVER = "SELECT DISTINCT lower(trim(term)) AS entity, status = 'dismissed' AS suppressed FROM prospect_summary WHERE status IN ('dismissed', 'entity') AND trim(term) <> ''"
+_OVER = "SELECT DISTINCT lower(trim(term)) AS entity, status = 'dismissed' AS suppressed FROM prospect_summary WHERE status IN ('dismissed', 'resolved') AND trim(term) <> ''"
 
 
 @add(f"""WITH ov AS (SELECT entity, max(suppressed) AS suppressed FROM ({_OVER}) GROUP BY 1)
@@ -74,7 +74,7 @@ def learn_is_suppressed(spark, d):
     low = beta_mean(F.col("good"), F.col("bad")) < SUPPRESSED
     g = stats(fb, "entity").select("entity", (low & (F.col("n") >= ENOUGH)).alias("listed"))
     f = stats(fb, "entity", "folder").select("entity", "folder", (low & (F.col("n") >= 5)).alias("here"))
-    o = table(spark, d, "prospect_summary").where(F.col("status").isin("dismissed", "entity") & (F.trim("term") != "")).groupBy(F.lower(F.trim("term")).alias("entity")).agg(F.max(F.col("status") == "dismissed").alias("override"))
+    o = table(spark, d, "prospect_summary").where(F.col("status").isin("dismissed", "resolved") & (F.trim("term") != "")).groupBy(F.lower(F.trim("term")).alias("entity")).agg(F.max(F.col("status") == "dismissed").alias("override"))
     x = f.join(g, "entity").join(o, "entity", "left")
     return x.select("entity", "folder", F.when(F.col("override").isNotNull(), F.col("override")).when(F.col("listed"), True).otherwise(F.col("here")).alias("suppressed"), F.when(F.col("override").isNotNull(), "override").when(F.col("listed"), "list").otherwise("folder").alias("decided_by"))
 
@@ -128,17 +128,17 @@ def learn_removals(spark, d):
     return x.groupBy(F.col("src").alias("note"), F.col("dst").alias("entity")).agg(F.max("at").alias("applied"), F.when(age < 1, 1.0).when(age < 7, 0.85).otherwise(0.7).alias("confidence"))
 
 
-@add("WITH c AS (SELECT DISTINCT lower(trim(term)) AS entity, regexp_replace(lower(trim(resolved_entity_path)), '\\.md$', '') AS right_ FROM prospect_summary WHERE status = 'entity' AND resolved_entity_path IS NOT NULL AND trim(term) <> '') SELECT fb.entity, fb.note, min(c.right_) AS corrected_to, FALSE AS ok, 1.0 AS confidence FROM fb JOIN c ON c.entity = fb.entity GROUP BY 1, 2")
+@add("WITH c AS (SELECT DISTINCT lower(trim(term)) AS entity, regexp_replace(lower(trim(resolved_entity_path)), '\\.md$', '') AS right_ FROM prospect_summary WHERE status = 'resolved' AND resolved_entity_path IS NOT NULL AND trim(term) <> '') SELECT fb.entity, fb.note, min(c.right_) AS corrected_to, FALSE AS ok, 1.0 AS confidence FROM fb JOIN c ON c.entity = fb.entity GROUP BY 1, 2")
 def learn_corrections(spark, d):
     """Resolved terms as corrections: negative feedback for each note that links the term itself, with what it should have been."""
-    c = table(spark, d, "prospect_summary").where("status = 'entity' and resolved_entity_path is not null and trim(term) <> ''").groupBy(F.lower(F.trim("term")).alias("entity")).agg(F.min(link_key("resolved_entity_path")).alias("corrected_to"))
+    c = table(spark, d, "prospect_summary").where("status = 'resolved' and resolved_entity_path is not null and trim(term) <> ''").groupBy(F.lower(F.trim("term")).alias("entity")).agg(F.min(link_key("resolved_entity_path")).alias("corrected_to"))
     return feedback(spark, d).select("entity", "note").distinct().join(c, "entity").select("entity", "note", "corrected_to", F.lit(False).alias("ok"), F.lit(1.0).alias("confidence"))
 
 
-@add("WITH c AS (SELECT DISTINCT lower(trim(term)) AS entity FROM prospect_summary WHERE status IN ('entity', 'dismissed') AND trim(term) <> '') SELECT id, entity, note_path FROM sug WHERE entity NOT IN (SELECT entity FROM c)")
+@add("WITH c AS (SELECT DISTINCT lower(trim(term)) AS entity FROM prospect_summary WHERE status IN ('resolved', 'dismissed') AND trim(term) <> '') SELECT id, entity, note_path FROM sug WHERE entity NOT IN (SELECT entity FROM c)")
 def learn_uncorrected(spark, d):
     """Suggestions whose entity has no correction: what is left after the exclusion pairs."""
-    c = table(spark, d, "prospect_summary").where(F.col("status").isin("entity", "dismissed") & (F.trim("term") != "")).select(F.lower(F.trim("term")).alias("entity"))
+    c = table(spark, d, "prospect_summary").where(F.col("status").isin("resolved", "dismissed") & (F.trim("term") != "")).select(F.lower(F.trim("term")).alias("entity"))
     return suggestions(spark, d).join(c, "entity", "left_anti").select("id", "entity", "note_path")
 
 
