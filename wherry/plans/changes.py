@@ -10,7 +10,7 @@ from wherry.operators import vault as V
 from wherry.plans.book import Book
 from wherry.plans.graph import base
 from wherry.functions.exprs import STOPWORDS
-from wherry.session import link_key, table
+from wherry.session import ensure_checkpoint_dir, link_key, table
 from wherry.streaming import changes as C
 
 _K = V.KEY.format("path")
@@ -56,11 +56,16 @@ def stream_survival(spark, d):
 @add("SELECT time_bucket(INTERVAL '1 day', ts, TIMESTAMP '2000-01-01') AS start, type, count(*) AS n FROM file_events WHERE ts IS NOT NULL GROUP BY 1, 2", common=False)
 def stream_windowed(spark, d):
     """Changes by type and day, run as a stream over the log with a watermark wide enough for all of it."""
-    name = f"w{abs(hash(d)) % 10**9}"
+    import uuid
+
     stream = C.read_changes(spark, f"{d}/file_events.parquet") if _is_dir(spark, f"{d}/file_events.parquet") else _one_file(spark, d)
-    q = C.windowed(stream, "1 day", "10000 days").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    out = f"{ensure_checkpoint_dir(spark)}/windowed-{uuid.uuid4().hex}"
+    spark.createDataFrame([], "start timestamp, type string, n long").write.parquet(f"{out}/rows")  # a log without rows has no batch
+    # each batch replaces the result, as every window may still change; the folder is the cluster's shared one
+    each = lambda df, i: df.write.mode("overwrite").parquet(f"{out}/rows")
+    q = C.windowed(stream, "1 day", "10000 days").writeStream.outputMode("complete").foreachBatch(each).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "type", "n")
+    return spark.read.schema("start timestamp, type string, n long").parquet(f"{out}/rows").select(F.col("start").cast("timestamp_ntz").alias("start"), "type", "n")
 
 
 def _is_dir(spark, path):
@@ -128,9 +133,10 @@ def eval_links_by_category(spark, d):
 @add(V.VAULT_SQL + ", fmr AS (SELECT DISTINCT k, 'front' AS layer, regexp_replace(lower(trim(m)), '\\.md$', '') AS ref FROM (SELECT k, unnest(regexp_extract_all(coalesce(frontmatter, ''), '\\[\\[([^\\]|#]+)', 1)) AS m FROM notes)), pro AS (SELECT DISTINCT k, regexp_replace(lower(trim(m)), '\\.md$', '') AS ref FROM (SELECT k, unnest(regexp_extract_all(coalesce(content, ''), '\\[\\[([^\\]|#]+)', 1)) AS m FROM notes)) SELECT coalesce(f.k, p.k) AS k, coalesce(f.ref, p.ref) AS ref, CASE WHEN p.k IS NULL THEN 'frontmatter' WHEN f.k IS NULL THEN 'prose' ELSE 'both' END AS layer FROM fmr f FULL JOIN pro p ON p.k = f.k AND p.ref = f.ref", common=False)
 def join_cross_layer(spark, d):
     """References of notes by where they stand: frontmatter, prose or both."""
-    n = V.notes(spark, d, "frontmatter", "content")
-    refs = lambda c: n.select("k", F.explode(F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(r"\[\[([^\]|#]+)"), 1)).alias("m")).select("k", link_key("m").alias("ref")).distinct()
-    f, p = refs("frontmatter").withColumn("f", F.lit(1)), refs("content").withColumn("p", F.lit(1))
+    found = lambda c: F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(r"\[\[([^\]|#]+)"), 1)
+    n = V.notes(spark, d, front_refs=found("frontmatter"), content_refs=found("content"))
+    refs = lambda c: n.select("k", F.explode(c).alias("m")).select("k", link_key("m").alias("ref")).distinct()
+    f, p = refs("front_refs").withColumn("f", F.lit(1)), refs("content_refs").withColumn("p", F.lit(1))
     return f.join(p, ["k", "ref"], "full_outer").select("k", "ref", F.when(F.col("p").isNull(), "frontmatter").when(F.col("f").isNull(), "prose").otherwise("both").alias("layer"))
 
 

@@ -339,7 +339,7 @@ def agg_folder_tree(spark, d):
 def graph_immature(spark, d):
     """Notes with few words and links, by the mean of their scores."""
     n, _, e = base(spark, d)
-    words = V.notes(spark, d, "content").select("k", F.regexp_count(F.coalesce("content", F.lit("")), F.lit("[^ \\n\\t\\r\\f]+")).alias("w"))
+    words = V.notes(spark, d, w=F.regexp_count(F.coalesce("content", F.lit("")), F.lit("[^ \\n\\t\\r\\f]+"))).select("k", "w")
     m = words.join(G.degrees(e, n), "k")
     score = (F.when(F.col("w") >= 500, 1.0).when(F.col("w") >= 100, 0.5).otherwise(0.0) + F.least("n_out", F.lit(3)) / 3.0 + F.least("n_in", F.lit(2)) / 2.0) / 3
     return m.where(score < 0.5).select("k", F.round(score, 6).alias("maturity"))

@@ -126,13 +126,16 @@ def scan_section_sizes(spark, d):
 @add()
 def search_similar_notes(spark, d):
     """Notes like the one with the most links, by the BM25 of its 15 key terms; itself and the notes it links to are left out. Only those terms reach the driver."""
-    n, r, e = base(spark, d, "content")
+    _, _, e = base(spark, d)
     root = e.groupBy("src").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "src").limit(1).select(F.col("src").alias("k"))
-    n = n.where("content is not null")
-    terms = [x["term"] for x in S.key_terms(n.join(root, "k", "left_semi"), "k", "content").orderBy("rank").collect()]
+    # one note's content is read for its terms; of the others only counts leave their rows
+    raw = table(spark, d, "notes_fts").where(F.col("path").isNotNull()).select(link_key("path").alias("k"), "path", "modified", "content")
+    own = raw.join(F.broadcast(root), "k").groupBy("k").agg(F.max_by("content", F.struct("modified", "path")).alias("content")).where("content is not null")
+    terms = [x["term"] for x in S.key_terms(own, "k", "content").orderBy("rank").collect()]
     if not terms:
-        return n.select("k", F.lit(0.0).alias("score")).limit(0)
-    hits = S.bm25(n, "k", {"content": 1.0}, terms, None)
+        return root.select("k", F.lit(0.0).alias("score")).limit(0)
+    n = V.notes(spark, d, **S.term_counts({"content": 1.0}, terms))
+    hits = S.bm25_counted(n, "k", len(set(terms)), None)
     linked = e.join(root.toDF("src"), "src", "left_semi").select(F.col("dst").alias("k")).union(root)
     return hits.join(linked, "k", "left_anti").orderBy(F.desc("score"), "k").limit(20)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wherry.functions.exprs import STOPWORDS, recency_decay
+from wherry.operators import retrieval as R
 from wherry.operators import search as S
 from wherry.operators import vault as V
 from wherry.plans.book import Book
@@ -41,10 +42,17 @@ def search_bm25(spark, d):
     return S.bm25(table(spark, d, "documents"), "doc_id", {"text": 1.0}, TERMS)
 
 
+def note_bm25(spark, d, fields, terms, k):
+    """The best notes by their title (weight 5) and other fields. Contents are counted where they stand; only counts are shuffled to pick each note's newest version."""
+    n = V.notes(spark, d, **S.term_counts(fields, terms))
+    own = S.term_counts({"title": 5.0}, terms)
+    return S.bm25_counted(n.select("k", *[(F.col(c) + x).alias(c) for c, x in own.items()]), "k", len(own) - 1, k)
+
+
 @add(V.VAULT_SQL + ", " + _bm25_sql("notes", "k", {"title": 5.0, "frontmatter": 10.0, "content": 1.0}, TERMS, "ORDER BY score DESC, k LIMIT 20") + "SELECT k, score FROM scored")
 def search_bm25_fields(spark, d):
     """The 20 best notes with weights for title, frontmatter and content."""
-    return S.bm25(V.notes(spark, d, "frontmatter", "content"), "k", {"title": 5.0, "frontmatter": 10.0, "content": 1.0}, TERMS)
+    return note_bm25(spark, d, {"frontmatter": 10.0, "content": 1.0}, TERMS, 20)
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -102,11 +110,18 @@ def search_snippets(spark, d):
     return S.best_paragraph(table(spark, d, "documents").where("text is not null"), "doc_id", "text", TERMS)
 
 
-@add("SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '\\d{4}-\\d{2}-\\d{2}'))) AS dates FROM documents WHERE regexp_matches(text, '\\d{4}-\\d{2}-\\d{2}')")
+_MON = "(" + "|".join(R.MONTHS) + ")"
+_MM = "lpad(CAST(list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], lower(substr({0}, 1, 3))) AS VARCHAR), 2, '0')"
+_US, _EU, _MY = f"(?i)\\b{_MON}\\s+(\\d{{1,2}}),?\\s+(\\d{{4}})\\b", f"(?i)\\b(\\d{{1,2}})\\s+{_MON}\\s+(\\d{{4}})\\b", f"(?i)\\b({'|'.join(R.LONG_MONTHS)})\\s+(\\d{{4}})\\b"
+_G = "regexp_extract(m, '{0}', {1})"
+
+
+@add(f"""WITH d AS (SELECT doc_id, list_sort(list_distinct(list_concat(regexp_extract_all(text, '\\b(\\d{{4}}-\\d{{2}}-\\d{{2}})\\b', 1), list_transform(regexp_extract_all(text, '{_US}', 0), lambda m: {_G.format(_US, 3)} || '-' || {_MM.format(_G.format(_US, 1))} || '-' || lpad({_G.format(_US, 2)}, 2, '0')),
+list_transform(regexp_extract_all(text, '{_EU}', 0), lambda m: {_G.format(_EU, 3)} || '-' || {_MM.format(_G.format(_EU, 2))} || '-' || lpad({_G.format(_EU, 1)}, 2, '0')), list_transform(regexp_extract_all(text, '{_MY}', 0), lambda m: {_G.format(_MY, 2)} || '-' || {_MM.format(_G.format(_MY, 1))} || '-01')))) AS dates FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, dates FROM d WHERE len(dates) > 0""")
 def search_dates(spark, d):
-    """ISO dates in each document."""
-    t = table(spark, d, "documents").select("doc_id", F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d{4}-\d{2}-\d{2}"), 0))).alias("dates"))
-    return t.where(F.size("dates") > 0)
+    """Dates in each document, in any of four forms."""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", R.dates(F.col("text")).alias("dates")).where(F.size("dates") > 0)
 
 
 @add()
@@ -171,8 +186,7 @@ fused AS (SELECT k, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, max(a) = 1
 
 
 def _channels(spark, d):
-    n = V.notes(spark, d, "content")
-    text = S.rank_by(S.bm25(n, "k", {"title": 5.0, "content": 1.0}, TERMS, 40), F.desc("score"), "k")
+    text = S.rank_by(note_bm25(spark, d, {"content": 1.0}, TERMS, 40), F.desc("score"), "k")
     r = V.resolved(V.links(spark, d), V.entity_keys(V.notes(spark, d), V.entities(spark, d)))
     edges = r.where(F.col("to").isNotNull()).groupBy(F.col("to").alias("k")).agg(F.round(F.sum("weight"), 6).alias("w")).orderBy(F.desc("w"), "k").limit(40)
     recent = V.notes(spark, d).select("k", "modified").orderBy(F.desc("modified"), "k").limit(40)
