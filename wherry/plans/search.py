@@ -167,7 +167,7 @@ def vector_mmr(spark, d):
     q = e.groupBy("label").agg(F.min_by("v", "vec_id").alias("q"), F.min("vec_id").alias("query_id"))
     from wherry.functions.exprs import cosine
 
-    s = e.drop("label").crossJoin(F.broadcast(q)).select("query_id", F.col("vec_id").alias("key"), cosine(F.col("v"), F.col("q")).alias("score"), "v").where("key <> query_id")
+    s = e.drop("label").crossJoin(F.broadcast(S.few(q))).select("query_id", F.col("vec_id").alias("key"), cosine(F.col("v"), F.col("q")).alias("score"), "v").where("key <> query_id")
     top = s.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))).where("r <= 40").drop("r")
     return S.mmr(top, 10)
 
