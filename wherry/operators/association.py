@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wherry.functions.exprs import fuzzy_similarity, half_life
+from wherry.session import cut
 
 
 def adamic_adar(mentions: DataFrame, most: int = 200) -> DataFrame:
@@ -80,15 +81,35 @@ def alias_candidates(entities: DataFrame) -> DataFrame:
     return x.distinct().join(taken.distinct(), F.lower("alias") == F.col("t"), "left_anti")
 
 
+def words_of(text: Column) -> Column:
+    """Distinct lower-cased words of letters and digits."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(F.lower(text), F.lit("")), F.lit(r"[\p{L}\p{N}]+"), 0))
+
+
+def word_hits(texts: DataFrame, key: str, names: DataFrame) -> DataFrame:
+    """``key, id, p, w, least, found``: names ``(id, p, w, least)`` of which at least ``least`` of the words ``w`` stand in a text ``(key, words)``; ``found`` are those.
+
+    A text that holds ``least`` of a name's n words holds one of its n - least + 1 rarest, so texts and names meet on those words only and a
+    frequent word of many names joins nothing by itself. What meets is then counted in the text's words that any name has, which is all that
+    is kept of a text. Names without words and those that ask for more words than they have give nothing.
+    """
+    names = names.where((F.size("w") >= F.col("least")) & (F.size("w") > 0) & (F.col("least") > 0)).select("id", "p", "w", "least")
+    vocabulary = names.select(F.explode("w").alias("token")).distinct()
+    kept = cut(texts.select(key, F.explode("words").alias("token")).join(vocabulary, "token", "left_semi"))
+    df = kept.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    ranked = names.select("id", "p", "w", "least", F.explode("w").alias("token")).join(df, "token", "left").groupBy("id", "p", "w", "least").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("ts"))
+    prefix = ranked.select("id", "p", "w", "least", F.explode(F.slice("ts", F.lit(1), F.size("ts") - F.col("least") + 1)).alias("x")).where(F.col("x.n") > 0)
+    met = kept.join(prefix.select("id", "p", "w", "least", F.col("x.token").alias("token")), "token").select(key, "id", "p", "w", "least").distinct()
+    of_text = kept.groupBy(key).agg(F.collect_set("token").alias("ts"))
+    return met.join(of_text, key).withColumn("found", F.array_intersect("w", "ts")).where(F.size("found") >= F.col("least")).drop("ts")
+
+
 def token_coverage(texts: DataFrame, key: str, text: Column, entities: DataFrame) -> DataFrame:
-    """``key, id``: entities whose name's words stand in the text: all of one or two, three quarters of more. A token join that is narrowed to the names' words first."""
-    word = lambda c: F.array_distinct(F.regexp_extract_all(F.coalesce(F.lower(c), F.lit("")), F.lit(r"[\p{L}\p{N}]+"), 0))
-    e = entities.select("id", word(F.col("name")).alias("w")).where(F.size("w") > 0)
-    e = e.select("id", F.size("w").alias("n"), F.explode("w").alias("token"))
-    t = texts.select(key, F.explode(word(text)).alias("token"))
-    # the rarest word of each name must be there; only texts that hold one are joined with all its words
-    c = t.join(e, "token").groupBy(key, "id", "n").agg(F.count(F.lit(1)).alias("hit"))
-    return c.where(F.when(F.col("n") <= 2, F.col("hit") == F.col("n")).otherwise(F.col("hit") >= 0.75 * F.col("n"))).select(key, "id")
+    """``key, id``: entities whose name's words stand in the text: all of one or two, three quarters of more."""
+    w = words_of(F.col("name"))
+    least = F.when(F.size("w") <= 2, F.size("w")).otherwise(F.ceil(F.size("w") * 0.75)).cast("int")
+    e = entities.select("id", F.lit(0).alias("p"), w.alias("w")).withColumn("least", least)
+    return word_hits(texts.select(key, words_of(text).alias("words")), key, e).select(key, "id")
 
 
 def near_pairs(terms: DataFrame, names: DataFrame) -> DataFrame:

@@ -159,11 +159,13 @@ def suggest_layers(spark, d):
 
 def name_hits(docs, entities, share):
     """``doc_id, id, points, ratio``: the best of each entity's name and aliases in each document: 10 for each of its words there, 8 more for all of them. At least ``share`` of the words must be there; names above 25 letters are left out."""
-    word = lambda c: F.array_distinct(F.regexp_extract_all(F.coalesce(F.lower(c), F.lit("")), F.lit(r"[\p{L}\p{N}]+"), 0))
-    e = entities.where(F.length("name") <= 25).select("id", F.posexplode(F.concat(F.array("name"), "aliases")).alias("p", "a")).select("id", "p", word(F.col("a")).alias("w")).where("size(w) > 0")
-    e = e.select("id", "p", F.size("w").alias("n"), F.explode("w").alias("token"))
-    t = docs.select("doc_id", F.explode(word(F.col("text"))).alias("token"))
-    h = t.join(e, "token").groupBy("doc_id", "id", "p", "n").agg(F.count(F.lit(1)).alias("hit")).withColumn("ratio", F.col("hit") / F.col("n")).where(F.col("ratio") >= share)
+    from wherry.operators.association import word_hits, words_of
+
+    e = entities.where(F.length("name") <= 25).select("id", F.posexplode(F.concat(F.array("name"), "aliases")).alias("p", "a")).select("id", "p", words_of(F.col("a")).alias("w")).where("size(w) > 0")
+    # as many words as give the share, by the same division that the share is checked with
+    least = F.aggregate(F.sequence(F.lit(1), F.size("w")), F.lit(0), lambda s, i: F.when((s == 0) & (i / F.size("w") >= share), i).otherwise(s))
+    h = word_hits(docs.select("doc_id", words_of(F.col("text")).alias("words")), "doc_id", e.withColumn("least", least))
+    h = h.select("doc_id", "id", F.size("found").alias("hit"), F.size("w").alias("n")).withColumn("ratio", F.col("hit") / F.col("n"))
     best = h.groupBy("doc_id", "id").agg(F.max(F.struct((F.col("hit") * 10 + F.when(F.col("hit") == F.col("n"), 8).otherwise(0)).alias("points"), "ratio")).alias("x"))
     return best.select("doc_id", "id", "x.points", "x.ratio")
 
