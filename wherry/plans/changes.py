@@ -40,8 +40,8 @@ def stream_changed_only(spark, d):
 
 
 @add("""WITH u AS (SELECT seq, k, regexp_extract(k, '[^/]*$') AS stem, epoch_us(ts) AS us FROM ev WHERE type = 'unlink'), a AS (SELECT seq, k, regexp_extract(k, '[^/]*$') AS stem, epoch_us(ts) AS us FROM ev WHERE type = 'add'),
-p AS (SELECT u.k AS from_k, a.k AS to_k, u.seq AS unlink_seq, a.seq AS add_seq, abs(u.us - a.us) AS gap FROM u JOIN a ON u.stem = a.stem AND u.k <> a.k AND abs(u.us - a.us) <= 60000000),
-r AS (SELECT *, row_number() OVER (PARTITION BY unlink_seq ORDER BY gap, add_seq) AS ru, row_number() OVER (PARTITION BY add_seq ORDER BY gap, unlink_seq) AS ra FROM p) SELECT from_k, to_k, unlink_seq, add_seq FROM r WHERE ru = 1 AND ra = 1""")
+p AS (SELECT u.k AS from_k, a.k AS to_k, u.seq AS unlink_seq, a.seq AS add_seq, abs(u.us - a.us) AS gap, regexp_extract(u.k, '^(.*)/[^/]*$', 1) <> regexp_extract(a.k, '^(.*)/[^/]*$', 1) AS away FROM u JOIN a ON u.stem = a.stem AND u.k <> a.k AND abs(u.us - a.us) <= 5000000 AND (regexp_extract(u.k, '^(.*)/[^/]*$', 1) = regexp_extract(a.k, '^(.*)/[^/]*$', 1) OR regexp_replace(u.stem, '\\.[^.]+$', '') NOT IN ('readme', 'index', 'todo', 'changelog', 'license', 'notes'))),
+r AS (SELECT *, row_number() OVER (PARTITION BY unlink_seq ORDER BY away, gap, add_seq) AS ru, row_number() OVER (PARTITION BY add_seq ORDER BY away, gap, unlink_seq) AS ra FROM p) SELECT from_k, to_k, unlink_seq, add_seq FROM r WHERE ru = 1 AND ra = 1""")
 def stream_renames(spark, d):
     """Unlinks and adds that are one move."""
     return C.renames(log(spark, d))
@@ -149,12 +149,4 @@ def join_diff(spark, d):
     return j.select("k", F.when(F.col("n0").isNull(), "added").when(F.col("n1").isNull(), "removed").otherwise("changed").alias("change"))
 
 
-@add(V.VAULT_SQL + "SELECT notes.k, CASE WHEN starts_with(modified::VARCHAR, '2024') THEN 40 ELSE 10 END + CASE WHEN coalesce(b.n, 0) = 0 THEN 30 ELSE 0 END AS risk FROM notes LEFT JOIN (SELECT target_k AS k, count(*) AS n FROM res WHERE target_k IS NOT NULL GROUP BY 1) b USING (k)", common=False)
-def agg_staleness(spark, d):
-    """Staleness risk of each note from its age and backlinks."""
-    n, r, _ = base(spark, d)
-    b = r.where(F.col("to").isNotNull()).groupBy(F.col("to").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    return n.join(b, "k", "left").select("k", (F.when(F.year("modified") == 2024, 40).otherwise(10) + F.when(F.coalesce("n", F.lit(0)) == 0, 30).otherwise(0)).alias("risk"))
-
-
 QUERIES, SQL = book.queries, book.sql

@@ -320,10 +320,10 @@ def agg_entity_backlinks(spark, d):
     return V.links(spark, d).join(keys, "dst").groupBy("name").agg(F.countDistinct("src").alias("n_notes"))
 
 
-@add("SELECT dst, CAST(sum(CAST(round(weight * 1000) AS BIGINT)) AS DOUBLE) / (count(*) * 1000) AS mean_weight, count(*) AS n_links, count(*) FILTER (WHERE weight > 0.8) AS n_strong FROM links WHERE weight > 0.5 GROUP BY 1")
+@add("SELECT dst, CAST(sum(CAST(round(weight * 1000) AS BIGINT)) AS DOUBLE) / (count(*) * 1000) AS mean_weight, count(*) AS n_links, count(*) FILTER (WHERE weight > 3) AS n_strong FROM links WHERE weight > 1 GROUP BY 1")
 def agg_edge_weights(spark, d):
-    """Mean weight and strong links per target, weights above one half."""
-    return V.links(spark, d).where("weight > 0.5").groupBy("dst").agg((F.sum(F.round(F.col("weight") * 1000).cast("long")).cast("double") / (F.count(F.lit(1)) * 1000)).alias("mean_weight"), F.count(F.lit(1)).alias("n_links"), F.count_if(F.col("weight") > 0.8).alias("n_strong"))
+    """Mean weight and strong links (above 3) per target, of weights above 1."""
+    return V.links(spark, d).where("weight > 1").groupBy("dst").agg((F.sum(F.round(F.col("weight") * 1000).cast("long")).cast("double") / (F.count(F.lit(1)) * 1000)).alias("mean_weight"), F.count(F.lit(1)).alias("n_links"), F.count_if(F.col("weight") > 3).alias("n_strong"))
 
 
 @add("SELECT f.folder, count(DISTINCT k) FILTER (WHERE regexp_extract(k, '^(.*)/[^/]*$', 1) = f.folder) AS n_direct, count(DISTINCT k) AS n_all FROM notes, LATERAL (SELECT unnest(list_transform(range(1, len(string_split(k, '/'))), lambda i: array_to_string(string_split(k, '/')[1:i], '/'))) AS folder) f GROUP BY 1")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wherry.functions.exprs import token_count
 from wherry.operators import association as A
 from wherry.operators import markdown as M
 from wherry.operators import search as S
@@ -82,30 +81,15 @@ def schema_suggest_values(spark, d):
     return t.join(st, "doc_id", "left_anti").join(best, "source").select("doc_id", "suggestion", "n")
 
 
-@add(assoc_book.common + "SELECT p.a, p.b, p.n FROM pairs p WHERE p.n >= 3 AND (p.a NOT IN (SELECT id FROM ents WHERE regexp_replace(lower(trim(path)), '\\.md$', '') IN (SELECT k FROM notes)) OR p.b NOT IN (SELECT id FROM ents WHERE regexp_replace(lower(trim(path)), '\\.md$', '') IN (SELECT k FROM notes)))")
+@add(assoc_book.common + "SELECT p.a, p.b, p.n FROM pairs p WHERE p.n >= 10 AND (p.a NOT IN (SELECT id FROM ents WHERE regexp_replace(lower(trim(path)), '\\.md$', '') IN (SELECT k FROM notes)) OR p.b NOT IN (SELECT id FROM ents WHERE regexp_replace(lower(trim(path)), '\\.md$', '') IN (SELECT k FROM notes)))")
 def graph_cooccurrence_gaps(spark, d):
-    """Entities often mentioned together of which one has no note."""
+    """Entities mentioned together ten times or more of which one has no note."""
     there = V.entities(spark, d).select(F.col("id"), link_key("path").alias("k")).join(V.notes(spark, d).select("k"), "k", "left_semi").select("id").distinct().withColumn("ok", F.lit(True))
-    p = A.adamic_adar(mentions(spark, d)).where("n >= 3")
+    p = A.adamic_adar(mentions(spark, d)).where("n >= 10")
     j = p.join(there.toDF("a", "ok_a"), "a", "left").join(there.toDF("b", "ok_b"), "b", "left")
     return j.where("ok_a is null or ok_b is null").select("a", "b", "n")
 
 
-@add(
-    V.VAULT_SQL
-    + """, sec AS (SELECT 0 AS prio, k AS item, title AS text, epoch_us(modified) AS at_ FROM notes WHERE modified >= TIMESTAMP '2025-06-01' UNION ALL SELECT 1, CAST(id AS VARCHAR), name, coalesce(hub_score, 0) FROM ents WHERE name IS NOT NULL),
-r AS (SELECT prio, item, greatest(1, CAST(ceil(len(text) / 4.0) AS BIGINT)) AS tokens, row_number() OVER (PARTITION BY prio ORDER BY at_ DESC, item) AS rank FROM sec) SELECT prio, rank, item, CAST(sum(tokens) OVER (PARTITION BY prio ORDER BY rank ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM r QUALIFY used <= 200"""
-)
-def agg_brief(spark, d):
-    """Sections of a brief, each with its best items up to a budget of tokens: the newest notes, then the greatest entities. The bounded top of each section is packed."""
-    n = V.notes(spark, d).where(F.col("modified") >= F.lit("2025-06-01").cast("timestamp_ntz")).select(F.lit(0).alias("prio"), F.col("k").alias("item"), F.col("title").alias("text"), F.unix_micros(F.col("modified").cast("timestamp")).alias("at"))
-    e = V.entities(spark, d).where("name is not null").select(F.lit(1).alias("prio"), F.col("id").cast("string").alias("item"), F.col("name").alias("text"), F.coalesce("hub_score", F.lit(0)).cast("long").alias("at"))
-    # an item costs a token at least, so no more than the budget's number of items fits: the limit before packing drops nothing
-    top = n.unionByName(e).withColumn("tokens", F.greatest(F.lit(1).cast("long"), token_count(F.col("text")))).withColumn("rank", F.row_number().over(Window.partitionBy("prio").orderBy(F.desc("at"), "item"))).where("rank <= 200")
-    used = F.sum("tokens").over(Window.partitionBy("prio").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return top.select("prio", "rank", "item", used.alias("used")).where("used <= 200")
-
-
 @add(
     DOC_SQL
     + f"""SELECT h.doc_id, h.line_no AS line_start, h.heading, count(l.line_no) AS n_lines, coalesce(CAST(sum(len(l.line)) AS BIGINT), 0) AS n_chars FROM (SELECT *, coalesce((SELECT min(x.line_no) FROM heads x WHERE x.doc_id = heads.doc_id AND x.line_no > heads.line_no AND x.level <= heads.level), 2147483647) AS stop FROM heads) h

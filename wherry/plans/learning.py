@@ -23,7 +23,9 @@ book = Book(
     + f""", fb AS (SELECT dst AS entity, src AS note, split_part(src, '/', 1) AS folder, weight >= 0.5 AS ok, weight AS confidence, wt, {_HALF.format('wt', 30)} * weight AS w FROM links WHERE wt IS NOT NULL AND weight IS NOT NULL),
 st AS (SELECT entity, count(*) AS n, sum(w) AS total, sum(CASE WHEN ok THEN w ELSE 0 END) AS good, sum(CASE WHEN ok THEN 0 ELSE w END) AS bad FROM fb GROUP BY 1),
 pr AS (SELECT DISTINCT * FROM prospect_ledger WHERE trim(term) <> ''),
-ps AS (SELECT lower(trim(term)) AS term, count(DISTINCT note_path) AS notes_, count(DISTINCT seen_day) AS days_, CAST(sum(sighting_count) AS BIGINT) AS sightings, max(backlink_count) AS backlinks, max(score) AS score, min(first_seen_at) AS first_seen, max(last_seen_at) AS last_seen, max(CASE source WHEN 'high_score' THEN 3 WHEN 'dead_link' THEN 2 ELSE 1 END) AS src_rank FROM pr GROUP BY 1)
+ps0 AS (SELECT lower(trim(term)) AS term, count(DISTINCT note_path) AS notes_, count(DISTINCT seen_day) AS days_, CAST(sum(sighting_count) AS BIGINT) AS sightings, max(backlink_count) AS backlinks, max(score) AS score, min(first_seen_at) AS first_seen, max(last_seen_at) AS last_seen, max(CASE source WHEN 'high_score' THEN 3 WHEN 'dead_link' THEN 2 ELSE 1 END) AS src_rank FROM pr GROUP BY 1),
+pc AS (SELECT term, least(count(DISTINCT l.dst), 10) AS cooc FROM (SELECT DISTINCT lower(trim(term)) AS term, regexp_replace(lower(trim(note_path)), '\\.md$', '') AS src FROM pr WHERE source = 'high_score') h JOIN links l ON l.src = h.src GROUP BY 1),
+ps AS (SELECT ps0.*, coalesce(pc.cooc, 0) AS cooc FROM ps0 LEFT JOIN pc ON pc.term = ps0.term)
 """
 )
 add = book.add
@@ -40,6 +42,12 @@ def stats(fb, *keys):
     return fb.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("total"), F.sum(F.when(F.col("ok"), F.col("w")).otherwise(0.0)).alias("good"), F.sum(F.when(F.col("ok"), 0.0).otherwise(F.col("w"))).alias("bad"))
 
 
+def suppressed(fb, least: float = 0.45, enough: int = 15):
+    """``entity, posterior`` of those below ``least`` with ``enough`` feedbacks."""
+    p = beta_mean(F.col("good"), F.col("bad"))
+    return stats(fb, "entity").where((p < least) & (F.col("n") >= enough)).select("entity", F.round(p, 6).alias("posterior"))
+
+
 def prospects(spark, d):
     """One row per folded term."""
     p = table(spark, d, "prospect_ledger").where(F.trim("term") != "").distinct()
@@ -65,11 +73,10 @@ def learn_posteriors_by_folder(spark, d):
     return stats(feedback(spark, d), "entity", "folder").select("entity", "folder", F.round((F.col("good") + 4) / (F.col("total") + 5), 6).alias("posterior"), "n")
 
 
-@add("SELECT entity, round((good + 4) / (good + bad + 5), 6) AS posterior FROM st WHERE round((good + 4) / (good + bad + 5), 6) < 0.78 AND n >= 3")
+@add("SELECT entity, round((good + 4) / (good + bad + 5), 6) AS posterior FROM st WHERE (good + 4) / (good + bad + 5) < 0.45 AND n >= 15")
 def learn_suppressed(spark, d):
-    """Entities with a low posterior and enough feedback (bounds set for this data)."""
-    p = F.round(beta_mean(F.col("good"), F.col("bad")), 6)
-    return stats(feedback(spark, d), "entity").where((p < 0.78) & (F.col("n") >= 3)).select("entity", p.alias("posterior"))
+    """Entities with a low posterior and enough feedback."""
+    return suppressed(feedback(spark, d))
 
 
 @add("SELECT entity, CASE WHEN p < 0.45 THEN CAST(floor(-15 * (1 - p / 0.45) + 0.5) AS BIGINT) WHEN p < 0.55 THEN -5 WHEN acc >= 0.85 AND n >= 5 THEN 10 WHEN acc >= 0.70 AND n >= 3 THEN 6 ELSE 0 END AS boost FROM (SELECT st.entity, n, (good + 4) / (good + bad + 5) AS p, acc FROM st JOIN (SELECT entity, avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) AS acc FROM fb GROUP BY 1) a ON a.entity = st.entity)")
@@ -105,15 +112,15 @@ def prospect_summaries(spark, d):
     return s.withColumn("best_source", F.when(F.col("src_rank") == 3, "high_score").when(F.col("src_rank") == 2, "dead_link").otherwise("implicit")).withColumn("score", F.round("score", 6)).drop("src_rank")
 
 
-_PROMO = "(3 * least(notes_, 10) + 2 * least(days_, 10) + 2 * least(coalesce(backlinks, 0), 10) + 0.5 * least(coalesce(score, 0), 10)) * (0.8 + 0.1 * src_rank)"
+_PROMO = "(3 * least(notes_, 10) + 2 * least(days_, 10) + 2 * least(coalesce(backlinks, 0), 10) + cooc + 0.5 * least(coalesce(score, 0), 10)) * (0.8 + 0.1 * src_rank)"
 
 
-@add(f"SELECT term, round({_PROMO}, 6) AS promotion, round({_PROMO} * {_HALF.format('last_seen', 60)}, 6) AS effective, least(6.0, round({_PROMO} * {_HALF.format('last_seen', 60)}, 6) / 10) AS boost FROM ps WHERE round({_PROMO} * {_HALF.format('last_seen', 60)}, 6) > 1")
+@add(f"SELECT term, round({_PROMO}, 6) AS promotion, round({_PROMO} * {_HALF.format('last_seen', 60)}, 6) AS effective, least(6.0, round({_PROMO} * {_HALF.format('last_seen', 60)}, 6) / 10) AS boost FROM ps WHERE round({_PROMO} * {_HALF.format('last_seen', 60)}, 6) > 5")
 def prospect_scores(spark, d):
     """Promotion score, its decayed value and the boost it gives."""
-    s = prospects(spark, d)
-    promo = (3 * F.least("notes_", F.lit(10)) + 2 * F.least("days_", F.lit(10)) + 2 * F.least(F.coalesce("backlinks", F.lit(0)), F.lit(10)) + 0.5 * F.least(F.coalesce("score", F.lit(0.0)), F.lit(10.0))) * (0.8 + 0.1 * F.col("src_rank"))
-    s = s.select("term", F.round(promo, 6).alias("promotion"), F.round(promo * half_life(F.col("last_seen"), AS_OF, 60.0), 6).alias("effective")).where("effective > 1")
+    s = prospects(spark, d).join(cooccurring(spark, d).groupBy("term").agg(F.least(F.count(F.lit(1)), F.lit(10)).alias("cooc")), "term", "left")
+    promo = (3 * F.least("notes_", F.lit(10)) + 2 * F.least("days_", F.lit(10)) + 2 * F.least(F.coalesce("backlinks", F.lit(0)), F.lit(10)) + F.coalesce("cooc", F.lit(0)) + 0.5 * F.least(F.coalesce("score", F.lit(0.0)), F.lit(10.0))) * (0.8 + 0.1 * F.col("src_rank"))
+    s = s.select("term", F.round(promo, 6).alias("promotion"), F.round(promo * half_life(F.col("last_seen"), AS_OF, 60.0), 6).alias("effective")).where("effective > 5")
     return s.withColumn("boost", F.least(F.lit(6.0), F.col("effective") / 10))
 
 
@@ -135,6 +142,11 @@ def prospect_samples(spark, d):
 @add("SELECT DISTINCT ps.term, l.dst AS entity FROM (SELECT DISTINCT lower(trim(term)) AS term, regexp_replace(lower(trim(note_path)), '\\.md$', '') AS src FROM pr WHERE source = 'high_score') ps JOIN links l ON l.src = ps.src")
 def prospect_cooccurring(spark, d):
     """Targets of the notes in which high-scored prospects were seen."""
+    return cooccurring(spark, d)
+
+
+def cooccurring(spark, d):
+    """``term, entity`` once each."""
     p = table(spark, d, "prospect_ledger").where((F.trim("term") != "") & (F.col("source") == "high_score")).select(F.lower(F.trim("term")).alias("term"), link_key("note_path").alias("src")).distinct()
     return p.join(V.links(spark, d).select("src", F.col("dst").alias("entity")).distinct(), "src").select("term", "entity").distinct()
 

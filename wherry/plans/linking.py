@@ -18,9 +18,9 @@ add = book.add
 
 
 def patterns(spark, d):
-    """Names and aliases of entities, all but those of one short word."""
+    """Names and aliases of entities, of two letters or more, as an entity's name must be."""
     e = V.entities(spark, d)
-    return e.select("id", F.explode(F.concat(F.array("name"), "aliases")).alias("pattern")).where(F.length("pattern") >= 4)
+    return e.select("id", F.explode(F.concat(F.array("name"), "aliases")).alias("pattern")).where(F.length(F.trim("pattern")) >= 2)
 
 
 @add()
@@ -76,7 +76,7 @@ def suggest_scored(spark, d):
 @add(
     V.VAULT_SQL
     + """, mv AS (SELECT from_k, to_k FROM (WITH ev AS (SELECT DISTINCT seq, regexp_replace(lower(trim(path)), '\\.md$', '') AS k, type, ts FROM file_events WHERE path IS NOT NULL), u AS (SELECT seq, k, regexp_extract(k, '[^/]*$') AS stem, epoch_us(ts) AS us FROM ev WHERE type = 'unlink'), a AS (SELECT seq, k, regexp_extract(k, '[^/]*$') AS stem, epoch_us(ts) AS us FROM ev WHERE type = 'add'),
-p AS (SELECT u.k AS from_k, a.k AS to_k, u.seq AS unlink_seq, a.seq AS add_seq, abs(u.us - a.us) AS gap FROM u JOIN a ON u.stem = a.stem AND u.k <> a.k AND abs(u.us - a.us) <= 60000000), r AS (SELECT *, row_number() OVER (PARTITION BY unlink_seq ORDER BY gap, add_seq) AS ru, row_number() OVER (PARTITION BY add_seq ORDER BY gap, unlink_seq) AS ra FROM p) SELECT from_k, to_k, row_number() OVER (PARTITION BY from_k ORDER BY unlink_seq DESC) AS last FROM r WHERE ru = 1 AND ra = 1) WHERE last = 1)
+p AS (SELECT u.k AS from_k, a.k AS to_k, u.seq AS unlink_seq, a.seq AS add_seq, abs(u.us - a.us) AS gap, regexp_extract(u.k, '^(.*)/[^/]*$', 1) <> regexp_extract(a.k, '^(.*)/[^/]*$', 1) AS away FROM u JOIN a ON u.stem = a.stem AND u.k <> a.k AND abs(u.us - a.us) <= 5000000 AND (regexp_extract(u.k, '^(.*)/[^/]*$', 1) = regexp_extract(a.k, '^(.*)/[^/]*$', 1) OR regexp_replace(u.stem, '\\.[^.]+$', '') NOT IN ('readme', 'index', 'todo', 'changelog', 'license', 'notes'))), r AS (SELECT *, row_number() OVER (PARTITION BY unlink_seq ORDER BY away, gap, add_seq) AS ru, row_number() OVER (PARTITION BY add_seq ORDER BY away, gap, unlink_seq) AS ra FROM p) SELECT from_k, to_k, row_number() OVER (PARTITION BY from_k ORDER BY unlink_seq DESC) AS last FROM r WHERE ru = 1 AND ra = 1) WHERE last = 1)
 SELECT link_id, coalesce(a.to_k, src) AS src, coalesce(b.to_k, dst) AS dst FROM links LEFT JOIN mv a ON a.from_k = src LEFT JOIN mv b ON b.from_k = dst WHERE a.to_k IS NOT NULL OR b.to_k IS NOT NULL"""
 )
 def mutate_move_links(spark, d):
@@ -105,12 +105,36 @@ def stream_queue_drained(spark, d):
     return s.where("n <= 2 and m <= 10").select("note_path", "entity", F.round("score", 6).alias("score"))
 
 
-@add("SELECT item_id, CASE WHEN regexp_matches(text, '(?i)\\bbacklinks?\\b') THEN 'graph' WHEN regexp_matches(text, '(?i)\\b(schema|field|frontmatter)\\b') THEN 'schema' WHEN regexp_matches(text, '(?i)^(which|what|who|how|wie|quel|cu)') THEN 'search' ELSE 'read' END AS tool FROM (SELECT DISTINCT item_id, text FROM eval_items)")
+#: What a question asks for, by its words; the first rule wins (fixed values).
+ROUTES = {
+    "temporal": r"(?i)\b(history|timeline|timelines|evolution|stale notes?|around date|weekly review|monthly review|quarterly review)\b",
+    "graph": r"(?i)\b(backlinks?|forward links?|connections?|link path|hubs?|orphans?|clusters?|bridges?)\b",
+    "schema": r"(?i)\b(schema|schemas|frontmatter conventions?|rename field|rename tag|migrate)\b",
+    "wikilinks": r"(?i)\b(wikilinks?|link suggestions?|stubs?|unlinked mentions?)\b",
+}
+
+
+def _route_sql(text: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({text}, '{p}') THEN '{k}'" for k, p in ROUTES.items()) + " END"
+
+
+def route(text):
+    """The category a question belongs to; null if no rule says."""
+    return F.coalesce(*[F.when(text.rlike(p), F.lit(k)) for k, p in ROUTES.items()])
+
+
+@add(f"SELECT item_id, {_route_sql('text')} AS expected FROM (SELECT DISTINCT item_id, text FROM eval_items)")
 def route_by_rules(spark, d):
-    """The tool each evaluation question would be routed to by its words; the first rule wins."""
-    t = F.col("text")
-    tool = F.when(t.rlike(r"(?i)\bbacklinks?\b"), "graph").when(t.rlike(r"(?i)\b(schema|field|frontmatter)\b"), "schema").when(t.rlike(r"(?i)^(which|what|who|how|wie|quel|cu)"), "search").otherwise("read")
-    return table(spark, d, "eval_items").select("item_id", "text").distinct().select("item_id", tool.alias("tool"))
+    """The category each evaluation question should be routed to by its words; null where no rule fits."""
+    return table(spark, d, "eval_items").select("item_id", "text").distinct().select("item_id", route(F.col("text")).alias("expected"))
+
+
+@add(f"""WITH q AS (SELECT doc_id, lower(trim(source)) AS tool, text FROM documents WHERE text IS NOT NULL AND trim(text) <> '' AND source IS NOT NULL), r AS (SELECT doc_id, tool, {_route_sql('text')} AS expected FROM q)
+SELECT tool, expected, count(*) AS n, min(doc_id) AS first_doc FROM r WHERE expected IS NOT NULL AND NOT contains(tool, expected) GROUP BY 1, 2""")
+def agg_misroutes(spark, d):
+    """Texts whose words ask for another category than the source they came by, counted by both."""
+    q = table(spark, d, "documents").where(F.col("source").isNotNull() & (F.trim("text") != "")).select("doc_id", F.lower(F.trim("source")).alias("tool"), route(F.col("text")).alias("expected"))
+    return q.where(F.col("expected").isNotNull() & ~F.contains("tool", "expected")).groupBy("tool", "expected").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
 
 
 QUERIES, SQL = book.queries, book.sql

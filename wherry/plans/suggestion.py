@@ -213,12 +213,12 @@ def best(x: DataFrame, k: int = 5) -> DataFrame:
     return x.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("total"), "id"))).where(F.col("rank") <= k)
 
 
-@add("SELECT k, id, round(lexical, 4) AS lexical, kind, context, folder, recency, hub, edge, feedback, prospect, cooc, round(total, 4) AS total, rank FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY total DESC, id) AS rank FROM passed) WHERE rank <= 5")
+@add("SELECT k, id, round(lexical, 4) AS lexical, kind, context, folder, recency, CAST(hub AS DOUBLE) AS hub, CAST(edge AS DOUBLE) AS edge, CAST(feedback AS INTEGER) AS feedback, round(CAST(prospect AS DOUBLE), 4) AS prospect, CAST(cooc AS INTEGER) AS cooc, round(total, 4) AS total, rank FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY total DESC, id) AS rank FROM passed) WHERE rank <= 5")
 def suggest_notes(spark, d):
     """The five best suggestions of each note with all layers but stems."""
     x = best(note_suggestions(spark, d, disabled=("stems",)))
     whole = ["kind", "context", "folder", "recency", "feedback", "cooc"]
-    return x.select("k", "id", F.round("lexical", 4).alias("lexical"), *[F.col(c).cast("int").alias(c) for c in whole], "hub", "edge", "prospect", F.round("total", 4).alias("total"), "rank")
+    return x.select("k", "id", F.round("lexical", 4).alias("lexical"), *[F.col(c).cast("int").alias(c) for c in whole], "hub", "edge", F.round("prospect", 4).alias("prospect"), F.round("total", 4).alias("total"), "rank")
 
 
 @add()

@@ -29,8 +29,12 @@ def changed(actions: DataFrame, known: DataFrame) -> DataFrame:
     return actions.join(same, ["k", "content_hash"], "left_anti")
 
 
-def renames(events: DataFrame, within_seconds: int = 60) -> DataFrame:
-    """``from_k, to_k, unlink_seq, add_seq``: an unlink and an add of the same file stem within a short time, paired one to one: each takes its nearest, and only mutual choices count.
+#: Stems too common to be a move between folders (fixed values).
+COMMON_STEMS = ["readme", "index", "todo", "changelog", "license", "notes"]
+
+
+def renames(events: DataFrame, within_seconds: int = 5) -> DataFrame:
+    """``from_k, to_k, unlink_seq, add_seq``: an unlink and an add of the same file stem within a short time, paired one to one: each takes one of its own folder first, then its nearest, and only mutual choices count. Common stems don't move between folders.
 
     Joined on stem and time bucket, so a stem used by many files costs no more than those close in time.
     """
@@ -40,7 +44,9 @@ def renames(events: DataFrame, within_seconds: int = 60) -> DataFrame:
     u = e.where("type = 'unlink'").select("stem", F.col("k").alias("from_k"), F.col("seq").alias("unlink_seq"), F.col("us").alias("u"), F.explode(F.array(*[F.floor(F.col("us") / span) + i for i in (-1, 0, 1)])).alias("b"))
     a = e.where("type = 'add'").select("stem", F.col("k").alias("to_k"), F.col("seq").alias("add_seq"), F.col("us").alias("a"), F.floor(F.col("us") / span).alias("b"))
     p = u.join(a, ["stem", "b"]).where((F.col("from_k") != F.col("to_k")) & (F.abs(F.col("u") - F.col("a")) <= span)).withColumn("gap", F.abs(F.col("u") - F.col("a")))
-    by_u, by_a = Window.partitionBy("unlink_seq").orderBy("gap", "add_seq"), Window.partitionBy("add_seq").orderBy("gap", "unlink_seq")
+    p = p.withColumn("away", F.regexp_extract("from_k", r"^(.*)/[^/]*$", 1) != F.regexp_extract("to_k", r"^(.*)/[^/]*$", 1))
+    p = p.where(~F.col("away") | ~F.regexp_replace("stem", r"\.[^.]+$", "").isin(*COMMON_STEMS))
+    by_u, by_a = Window.partitionBy("unlink_seq").orderBy("away", "gap", "add_seq"), Window.partitionBy("add_seq").orderBy("away", "gap", "unlink_seq")
     return p.withColumn("ru", F.row_number().over(by_u)).withColumn("ra", F.row_number().over(by_a)).where("ru = 1 and ra = 1").select("from_k", "to_k", "unlink_seq", "add_seq")
 
 
