@@ -9,21 +9,23 @@ from wherry.functions.exprs import fuzzy_similarity, half_life
 from wherry.session import cut
 
 
-def adamic_adar(mentions: DataFrame, most: int = 200) -> DataFrame:
+def adamic_adar(mentions: DataFrame, most: int = 200, piece: int = 2000) -> DataFrame:
     """``a, b, weight, n``: pairs of ``mentions(note, entity)`` with weight 1/ln(degree) per shared note of degree three or more, else 1.
 
-    The pairs of a note stay within its own array of at most ``most`` entities; notes with more are joined pairwise on the note, spread over
-    the cluster by one side's hash, so no pair is lost.
+    The pairs of a note stay within its own array of at most ``most`` entities; notes with more are joined pairwise on the note, one side in
+    pieces of about ``piece`` entities and the other repeated for each, so no pair is lost and no task holds all pairs of a large note.
     """
     m = mentions.where(F.col("note").isNotNull() & F.col("entity").isNotNull()).distinct()
     deg = m.groupBy("note").agg(F.count(F.lit(1)).alias("deg"))
-    m = m.join(deg, "note")
+    m = m.join(deg.withColumn("pieces", F.ceil(F.col("deg") / piece).cast("int")), "note")
     w = F.when(F.col("deg") >= 3, 1 / F.log(F.col("deg").cast("double"))).otherwise(F.lit(1.0))
     small = m.where(F.col("deg") <= most).groupBy("note", "deg").agg(F.array_sort(F.collect_list("entity")).alias("es")).select(w.alias("w"), "es")
     idx = F.sequence(F.lit(1), F.size("es"))
     pairs = small.where(F.size("es") > 1).select("w", "es", F.explode(idx).alias("i")).select("w", F.element_at("es", F.col("i")).alias("a"), F.explode(F.slice("es", F.col("i") + 1, F.size("es"))).alias("b"))
     large = m.where(F.col("deg") > most)
-    wide = large.select("note", w.alias("w"), F.col("entity").alias("a")).join(large.select("note", F.col("entity").alias("b")), "note").where("a < b").select("w", "a", "b")
+    x = large.select("note", F.pmod(F.hash("entity"), "pieces").alias("p"), w.alias("w"), F.col("entity").alias("a"))
+    y = large.select("note", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("p"), F.col("entity").alias("b"))
+    wide = x.join(y, ["note", "p"]).where("a < b").select("w", "a", "b")
     return pairs.unionByName(wide).groupBy("a", "b").agg(F.round(F.sum("w"), 6).alias("weight"), F.count(F.lit(1)).alias("n"))
 
 

@@ -33,8 +33,12 @@ def strength(edges: DataFrame, tops: DataFrame, tags: DataFrame) -> DataFrame:
     """
     e = edges.where(F.col("src") != F.col("dst"))
     pairs = e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "src").groupBy("a", "b").agg(F.when(F.countDistinct("src") == 2, 3.0).otherwise(1.0).alias("link"))
-    out_a, out_b = e.toDF("a", "t"), e.toDF("b", "t")
-    common = pairs.join(out_a, "a").join(out_b, ["b", "t"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+    # of a pair the end with fewer links is spread out and looked up among the other's, so that two hubs cost no more than the smaller one
+    n_out = e.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    p = pairs.select("a", "b").join(n_out.toDF("a", "na"), "a", "left").join(n_out.toDF("b", "nb"), "b", "left").where("na is not null and nb is not null")
+    first = F.col("na") <= F.col("nb")
+    p = p.select("a", "b", F.when(first, F.col("a")).otherwise(F.col("b")).alias("small"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("large"))
+    common = p.join(e.toDF("small", "t"), "small").join(e.toDF("large", "t"), ["large", "t"], "left_semi").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
     shared = pairs.join(tags.toDF("a", "tag"), "a").join(tags.toDF("b", "tag"), ["b", "tag"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("tags"))
     f = pairs.join(common, ["a", "b"], "left").join(shared, ["a", "b"], "left").join(tops.toDF("a", "fa"), "a", "left").join(tops.toDF("b", "fb"), "b", "left")
     same = F.when((F.col("fa") == F.col("fb")) & (F.col("fa") != ""), 1.0).otherwise(0.0)

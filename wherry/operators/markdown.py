@@ -23,13 +23,16 @@ def front(text: Column) -> Column:
     return F.regexp_extract(text, FRONT, 1)
 
 
-def prose_lines(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """``key, line_no, line`` (from 1) outside fenced code. Odd parts between fences are code; they only count their lines."""
-    parts = F.split(text, FENCE)
-    x = df.select(key, parts.alias("parts")).select(key, "parts", F.posexplode("parts").alias("pos", "part")).where(F.col("pos") % 2 == 0)
-    before = F.aggregate(F.slice("parts", F.lit(1), F.col("pos")), F.lit(0), lambda n, p: n + F.regexp_count(p, F.lit("\n")))
-    lines = x.select(key, before.alias("before"), F.posexplode(F.split("part", "\n")).alias("i", "line"))
-    return lines.select(key, (F.col("before") + F.col("i") + 1).cast("int").alias("line_no"), "line").where(F.col("line") != "")
+def prose_lines(df: DataFrame, key: str, text: Column, keep=None) -> DataFrame:
+    """``key, line_no, line`` (from 1) outside fenced code. Odd parts between fences are code; they only count their lines. ``keep`` is a test on a line: others never become rows."""
+    x = df.select(key, F.split(text, FENCE).alias("parts"))
+    # lines before each part, by a running count over the parts; then the lines that count, all inside the row of the text
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate("parts", zero, lambda s, p: F.struct((s["at"] + F.regexp_count(p, F.lit("\n"))).alias("at"), F.array_append(s["starts"], s["at"]).alias("starts")), lambda s: s["starts"])
+    prose = F.filter(F.transform(F.arrays_zip(F.col("parts").alias("part"), starts.alias("start")), lambda s, i: F.struct(i.alias("i"), s["part"].alias("part"), s["start"].alias("start"))), lambda s: s["i"] % 2 == 0)
+    test = (lambda v: (v != "") & keep(v)) if keep else (lambda v: v != "")
+    rows = lambda s: F.filter(F.transform(F.split(s["part"], "\n"), lambda v, j: F.struct((s["start"] + j + 1).cast("int").alias("line_no"), v.alias("line"))), lambda r: test(r["line"]))
+    return x.select(key, F.inline(F.flatten(F.transform(prose, rows))))
 
 
 def wikilinks(lines: DataFrame, key: str) -> DataFrame:

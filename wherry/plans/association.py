@@ -43,7 +43,11 @@ def assoc_adamic_adar(spark, d):
 @add("SELECT a, b, round(CASE WHEN p.n * 1.0 / tot.n >= 1 THEN 1.0 ELSE greatest(0.0, least(1.0, ln((p.n * 1.0 / tot.n) / ((x.df * 1.0 / tot.n) * (y.df * 1.0 / tot.n))) / -ln(p.n * 1.0 / tot.n))) END, 6) AS npmi FROM pairs p JOIN edf x ON x.entity = a JOIN edf y ON y.entity = b, tot WHERE p.n >= 2")
 def assoc_npmi(spark, d):
     """Normalized mutual information of entity pairs."""
-    m = mentions(spark, d)
+    return npmi_pairs(mentions(spark, d))
+
+
+def npmi_pairs(m):
+    """``a, b, npmi`` of pairs in two notes or more for ``mentions(note, entity)``."""
     df = m.groupBy("entity").agg(F.count(F.lit(1)).alias("df"))
     n = m.agg(F.countDistinct("note").alias("total"))
     p = A.adamic_adar(m).where("n >= 2").join(df.toDF("a", "da"), "a").join(df.toDF("b", "db"), "b").crossJoin(F.broadcast(n))

@@ -33,9 +33,9 @@ def docs(spark, d, *cols):
     return t.withColumn("source", F.lower(F.trim("source"))) if "source" in cols else t
 
 
-def lines(spark, d):
-    """Prose lines of the documents' bodies."""
-    return M.prose_lines(docs(spark, d, "text"), "doc_id", M.body(F.col("text")))
+def lines(spark, d, keep=None):
+    """Prose lines of the documents' bodies; with ``keep`` only those that pass it become rows."""
+    return M.prose_lines(docs(spark, d, "text"), "doc_id", M.body(F.col("text")), keep)
 
 
 _LINK = "'\\[\\[([^\\]|#\\n]+)(?:#[^\\]|\\n]*)?(?:\\|([^\\]\\n]+))?\\]\\]'"
@@ -44,19 +44,19 @@ _LINK = "'\\[\\[([^\\]|#\\n]+)(?:#[^\\]|\\n]*)?(?:\\|([^\\]\\n]+))?\\]\\]'"
 @add(f"SELECT doc_id, line_no, trim(regexp_extract(m, {_LINK}, 1)) AS target, CASE WHEN regexp_extract(m, {_LINK}, 2) <> '' THEN trim(regexp_extract(m, {_LINK}, 2)) END AS alias FROM (SELECT doc_id, line_no, unnest(regexp_extract_all(regexp_replace(line, '`[^`]*`', '', 'g'), {_LINK}, 0)) AS m FROM lines)")
 def scan_wikilinks(spark, d):
     """Links in the prose of documents, with line and alias."""
-    return M.wikilinks(lines(spark, d), "doc_id")
+    return M.wikilinks(lines(spark, d, lambda x: F.contains(x, F.lit("[["))), "doc_id")
 
 
 @add("SELECT doc_id, tag FROM tags UNION SELECT doc_id, unnest(regexp_extract_all(regexp_replace(line, '`[^`]*`', '', 'g'), '(?:^|[ \\t(])#([A-Za-z][A-Za-z0-9_/-]*)', 1)) FROM lines")
 def scan_tags(spark, d):
     """Tags of documents from frontmatter and prose."""
-    return M.front_tags(docs(spark, d, "text"), "doc_id", F.col("text")).union(M.inline_tags(lines(spark, d), "doc_id")).distinct()
+    return M.front_tags(docs(spark, d, "text"), "doc_id", F.col("text")).union(M.inline_tags(lines(spark, d, lambda x: F.contains(x, F.lit("#"))), "doc_id")).distinct()
 
 
 @add("SELECT doc_id, line_no, CAST(level AS INTEGER) AS level, heading FROM heads")
 def scan_headings(spark, d):
     """Headings of documents."""
-    return M.headings(lines(spark, d), "doc_id")
+    return M.headings(lines(spark, d, lambda x: x.rlike(M.HEADING)), "doc_id")
 
 
 @add("""SELECT doc_id, line_no, CASE WHEN mark = 'x' THEN 'completed' WHEN mark = '-' THEN 'cancelled' ELSE 'open' END AS status, trim(t) AS task, nullif(due, '') AS due, context FROM (
@@ -65,14 +65,14 @@ last_value(CASE WHEN regexp_matches(line, '^(#{1,6}) +(.*?)[ \\t]*$') THEN regex
 WHERE regexp_matches(line, '^[ \\t]*[-*+] \\[([ xX-])\\] (.*)$')""")
 def scan_tasks(spark, d):
     """Tasks of documents with status, due date and heading."""
-    return M.tasks(lines(spark, d), "doc_id")
+    return M.tasks(lines(spark, d, lambda x: x.rlike(M.TASK) | x.rlike(M.HEADING)), "doc_id")
 
 
 @add("""SELECT doc_id, due, status, count(*) AS n FROM (SELECT doc_id, CASE WHEN mark = 'x' THEN 'completed' WHEN mark = '-' THEN 'cancelled' ELSE 'open' END AS status, due FROM (
 SELECT doc_id, lower(regexp_extract(line, '^[ \\t]*[-*+] \\[([ xX-])\\] (.*)$', 1)) AS mark, nullif(regexp_extract(line, '(\\d{4}-\\d{2}-\\d{2})', 1), '') AS due FROM lines WHERE regexp_matches(line, '^[ \\t]*[-*+] \\[([ xX-])\\] (.*)$'))) WHERE due IS NOT NULL GROUP BY 1, 2, 3""")
 def filter_tasks_due(spark, d):
     """Tasks with a due date by document, date and status."""
-    return M.tasks(lines(spark, d), "doc_id").where("due is not null").groupBy("doc_id", "due", "status").agg(F.count(F.lit(1)).alias("n"))
+    return M.tasks(lines(spark, d, lambda x: x.rlike(M.TASK) | x.rlike(M.HEADING)), "doc_id").where("due is not null").groupBy("doc_id", "due", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @add("""SELECT doc_id, CAST(row_number() OVER w AS INTEGER) AS ord, CAST(level AS INTEGER) AS level, heading, line_no AS line_start,
@@ -88,7 +88,7 @@ def scan_sections(spark, d):
 @add("SELECT doc_id, heading FROM heads WHERE regexp_matches(heading, '(?i)^(next steps|decision|status)')")
 def filter_headings_like(spark, d):
     """Documents with headings that match a pattern."""
-    return M.headings(lines(spark, d), "doc_id").where(F.col("heading").rlike("(?i)^(next steps|decision|status)")).select("doc_id", "heading")
+    return M.headings(lines(spark, d, lambda x: x.rlike(M.HEADING)), "doc_id").where(F.col("heading").rlike("(?i)^(next steps|decision|status)")).select("doc_id", "heading")
 
 
 @add("SELECT doc_id, field, value, kind FROM fields")

@@ -10,11 +10,11 @@ from wherry.operators import retrieval as R
 from wherry.operators import search as S
 from wherry.operators import vault as V
 from wherry.plans.association import book as assoc_book
-from wherry.plans.association import mentions
+from wherry.plans.association import mentions, npmi_pairs
 from wherry.plans.book import Book
 from wherry.plans.graph import AS_OF
 from wherry.plans.search import _BM, _H, _W, TERMS, _channels, note_bm25
-from wherry.session import link_key, table
+from wherry.session import cut, link_key, table
 
 QUERY = '"tag set" digest indexing backlink*'
 MODEL, SIZE = "vault-mini-v2", 64
@@ -241,8 +241,8 @@ SELECT c.note, c.entity, CAST(least(floor(c.v * 12 * CASE WHEN rc.recent THEN 1.
 def assoc_note_boosts(spark, d):
     """Entities that a note doesn't mention and that go with those it does: the greatest mutual information over its seeds times 12, more for recent ones, 6 to 12."""
     n = V.notes(spark, d).select(F.col("k").alias("note"), "modified")
-    m = mentions(spark, d)
-    pairs = assoc_npmi_pairs(spark, d)
+    m = cut(mentions(spark, d))
+    pairs = npmi_pairs(m)
     both = pairs.select(F.col("a").alias("seed"), F.col("b").alias("entity"), "npmi").unionByName(pairs.select(F.col("b").alias("seed"), F.col("a").alias("entity"), "npmi"))
     rec = m.join(n, "note").groupBy("entity").agg((F.max("modified") >= F.lit(AS_OF).cast("timestamp_ntz") - F.expr("interval 168 hours")).alias("recent"))
     c = m.withColumnRenamed("entity", "seed").join(both, "seed").groupBy("note", "entity").agg(F.max("npmi").alias("v")).where("v > 0")
@@ -251,13 +251,6 @@ def assoc_note_boosts(spark, d):
     return x.select("note", "entity", boost.alias("boost")).where("boost >= 6")
 
 
-def assoc_npmi_pairs(spark, d):
-    """Mutual information of pairs in two notes or more, without those in all notes."""
-    from wherry.plans import association as P
-
-    return P.assoc_npmi(spark, d)
-
-
 @add("""WITH r AS (SELECT user_id || '-' || CAST(ts AS DATE) AS session, CAST(json_extract_string(props, '$.k') AS BIGINT) AS note, ts FROM events), s AS (SELECT session, list_sort(list(DISTINCT note)) AS es, max(ts) AS at_ FROM r GROUP BY 1 HAVING count(DISTINCT note) >= 2),
 x AS (SELECT session, unnest(es) AS note, len(es) AS n, at_ FROM s), w AS (SELECT a.note AS a, b.note AS b, round(sum(exp(-ln(2) * greatest((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(a.at_)) / 86400000000.0, 0) / 7) / CASE WHEN a.n > 2 THEN ln(a.n) ELSE 1 END), 6) AS weight FROM x a JOIN x b ON a.session = b.session AND a.note < b.note GROUP BY 1, 2),
 n AS (SELECT a AS note, weight FROM w UNION ALL SELECT b, weight FROM w) SELECT note, CAST(least(floor(3 * max(weight) + 0.5), 6) AS INTEGER) AS boost FROM n GROUP BY 1""", common=False)

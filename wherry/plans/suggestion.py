@@ -124,13 +124,13 @@ def note_suggestions(spark, d, strictness: str = "balanced", disabled: tuple[str
     content = F.coalesce("content", F.lit(""))
     notes = cut(V.notes(spark, d, tokens=tokens_of(content), size=F.length(content)).select("k", "top", "tokens", "size"))
     e = fits(V.entities(spark, d)).select("id", "name", "aliases", "category", link_key("path").alias("path"), link_key("name").alias("entity"), "hub_score")
-    m = mentions(spark, d).withColumnRenamed("note", "k").withColumnRenamed("entity", "id")
+    m = cut(mentions(spark, d).withColumnRenamed("note", "k").withColumnRenamed("entity", "id"))
     words = lexical(notes, e, c, "stems" not in disabled)
     total = m.agg(F.countDistinct("k").alias("total"))
     rarity = m.groupBy("id").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total)).select("id", idf_clamped(F.col("df"), F.col("total"), 0.7, 1.8).alias("rarity"))
-    from wherry.plans.association import assoc_npmi
+    from wherry.plans.association import npmi_pairs
 
-    pairs = assoc_npmi(spark, d).where("npmi > 0")
+    pairs = npmi_pairs(m.toDF("note", "entity")).where("npmi > 0")
     both = pairs.select(F.col("a").alias("seed"), F.col("b").alias("id"), "npmi").unionByName(pairs.select(F.col("b").alias("seed"), F.col("a").alias("id"), "npmi"))
     last = m.join(V.notes(spark, d).select("k", "modified"), "k").groupBy("id").agg(F.max("modified").alias("last"))
     recent = last.select("id", recency_boost(F.col("last"), AS_OF).alias("recency"))
