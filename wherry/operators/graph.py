@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wherry.session import cut, hot_join
@@ -191,9 +191,25 @@ def triangles(edges: DataFrame) -> DataFrame:
     return tri.select(F.explode(F.array("x", "y", "z")).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n_triangles"))
 
 
+#: What stands before and after the lines of an exported graph (a fixed format).
+GRAPHML_HEAD = """<?xml version="1.0" encoding="UTF-8"?>
+<graphml xmlns="http://graphml.graphdrawing.org/xmlns">
+<key id="type" for="all" attr.name="type" attr.type="string"/>
+<key id="title" for="node" attr.name="title" attr.type="string"/>
+<key id="category" for="node" attr.name="category" attr.type="string"/>
+<key id="weight" for="edge" attr.name="weight" attr.type="double"/>
+<graph id="vault" edgedefault="directed">"""
+GRAPHML_TAIL = "</graph>\n</graphml>"
+
+
+def escaped(c: Column) -> Column:
+    """Text for XML."""
+    return F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+
+
 def graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``part, ord, xml``: the lines of a GraphML document, nodes then edges; written with ``df.orderBy('part', 'ord').write.text`` per part."""
-    esc = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    esc = escaped
     n = nodes.select(F.lit(0).alias("part"), F.col("k").alias("ord"), F.concat(F.lit('<node id="'), esc(F.col("k")), F.lit('"/>')).alias("xml"))
     e = edges.select(F.lit(1).alias("part"), F.concat_ws(" ", "src", "dst").alias("ord"), F.concat(F.lit('<edge source="'), esc(F.col("src")), F.lit('" target="'), esc(F.col("dst")), F.lit('"/>')).alias("xml"))
     return n.unionByName(e)

@@ -149,4 +149,46 @@ def join_diff(spark, d):
     return j.select("k", F.when(F.col("n0").isNull(), "added").when(F.col("n1").isNull(), "removed").otherwise("changed").alias("change"))
 
 
+_MV = """mv AS (WITH u AS (SELECT seq, k, regexp_extract(k, '[^/]*$') AS stem, epoch_us(ts) AS us FROM ev WHERE type = 'unlink'), a AS (SELECT seq, k, regexp_extract(k, '[^/]*$') AS stem, epoch_us(ts) AS us FROM ev WHERE type = 'add'),
+p AS (SELECT u.k AS from_k, a.k AS to_k, u.seq AS unlink_seq, a.seq AS add_seq, abs(u.us - a.us) AS gap, regexp_extract(u.k, '^(.*)/[^/]*$', 1) <> regexp_extract(a.k, '^(.*)/[^/]*$', 1) AS away FROM u JOIN a ON u.stem = a.stem AND u.k <> a.k AND abs(u.us - a.us) <= 5000000 AND (regexp_extract(u.k, '^(.*)/[^/]*$', 1) = regexp_extract(a.k, '^(.*)/[^/]*$', 1) OR regexp_replace(u.stem, '\\.[^.]+$', '') NOT IN ('readme', 'index', 'todo', 'changelog', 'license', 'notes'))),
+r AS (SELECT *, row_number() OVER (PARTITION BY unlink_seq ORDER BY away, gap, add_seq) AS ru, row_number() OVER (PARTITION BY add_seq ORDER BY away, gap, unlink_seq) AS ra FROM p) SELECT from_k, arg_max(to_k, unlink_seq) AS to_k FROM r WHERE ru = 1 AND ra = 1 GROUP BY 1)"""
+_LK = "regexp_replace(lower(trim({0})), '\\.md$', '')"
+
+
+@add(f"""WITH {_MV}, c AS (SELECT DISTINCT 'note_links' AS tbl, CAST(link_id AS VARCHAR) AS key, {_LK.format('note_path')} AS k FROM note_links UNION SELECT DISTINCT 'note_embeddings', path, {_LK.format('path')} FROM note_embeddings UNION SELECT DISTINCT 'prospect_ledger', CAST(sighting_id AS VARCHAR), {_LK.format('note_path')} FROM prospect_ledger
+UNION SELECT DISTINCT 'entities', CAST(id AS VARCHAR), {_LK.format('path')} FROM entities UNION SELECT DISTINCT 'prospect_summary', CAST(summary_id AS VARCHAR), {_LK.format('resolved_entity_path')} FROM prospect_summary) SELECT tbl, key, k AS old, to_k AS new FROM c JOIN mv ON mv.from_k = c.k WHERE key IS NOT NULL""")
+def mutate_rename_cascade(spark, d):
+    """What moves of notes change in five tables: table, key of the row, old and new path. Only keys and paths are read; the moves are joined by key."""
+    mv = C.renames(log(spark, d)).groupBy(F.col("from_k").alias("old")).agg(F.max_by("to_k", "unlink_seq").alias("new"))
+    cols = {"note_links": ("link_id", "note_path"), "note_embeddings": ("path", "path"), "prospect_ledger": ("sighting_id", "note_path"), "entities": ("id", "path"), "prospect_summary": ("summary_id", "resolved_entity_path")}
+    parts = [table(spark, d, t).where(F.col(p).isNotNull()).select(F.lit(t).alias("tbl"), F.col(key).cast("string").alias("key"), link_key(p).alias("old")) for t, (key, p) in cols.items()]
+    both = parts[0]
+    for x in parts[1:]:
+        both = both.unionByName(x)
+    return both.where("key is not null").distinct().join(mv, "old").select("tbl", "key", "old", "new")
+
+
+@add(V.VAULT_SQL + f", last_ AS (SELECT {_LK.format('path')} AS k, max(ts) AS t FROM file_events WHERE path IS NOT NULL GROUP BY 1) SELECT notes.k, modified, t AS logged FROM notes LEFT JOIN last_ ON last_.k = notes.k WHERE t IS NULL OR modified > t", common=False)
+def stream_catch_up(spark, d):
+    """Notes changed after the last logged event of their path, or never logged: what a start has to read again."""
+    last = log(spark, d).where("path is not null").groupBy(link_key("path").alias("k")).agg(F.max("ts").alias("logged"))
+    return V.notes(spark, d).select("k", "modified").join(last, "k", "left").where(F.col("logged").isNull() | (F.col("modified") > F.col("logged")))
+
+
+@add("SELECT key, arg_max(value, struct_pack(u := updated, v := vault, i := id)) AS value, count(DISTINCT vault) AS n_vaults, count(*) AS n FROM (SELECT DISTINCT lower(trim(term)) AS key, coalesce(display_name, term) AS value, last_seen_at AS updated, 'a' AS vault, sighting_id AS id FROM prospect_ledger WHERE trim(term) <> '' UNION ALL SELECT DISTINCT lower(trim(term)), coalesce(display_name, term), updated_at, 'b', summary_id FROM prospect_summary WHERE trim(term) <> '') GROUP BY 1", common=False)
+def set_cross_vault_memories(spark, d):
+    """Memories of two sources merged by key, the latest value kept."""
+    a = table(spark, d, "prospect_ledger").where(F.trim("term") != "").select(F.lower(F.trim("term")).alias("key"), F.coalesce("display_name", "term").alias("value"), F.col("last_seen_at").alias("updated"), F.lit("a").alias("vault"), F.col("sighting_id").alias("id")).distinct()
+    b = table(spark, d, "prospect_summary").where(F.trim("term") != "").select(F.lower(F.trim("term")).alias("key"), F.coalesce("display_name", "term").alias("value"), F.col("updated_at").alias("updated"), F.lit("b").alias("vault"), F.col("summary_id").alias("id")).distinct()
+    return a.unionByName(b).groupBy("key").agg(F.max_by("value", F.struct("updated", "vault", "id")).alias("value"), F.countDistinct("vault").alias("n_vaults"), F.count(F.lit(1)).alias("n"))
+
+
+@add(f"SELECT id, built_at, built_at < max(built_at) OVER () - INTERVAL 1 HOUR AS stale FROM (SELECT DISTINCT id, built_at FROM vault_index_cache)", common=False)
+def index_stale(spark, d):
+    """Index snapshots more than an hour older than the newest."""
+    c = table(spark, d, "vault_index_cache").select("id", "built_at").distinct()
+    newest = c.agg(F.max("built_at").alias("newest"))
+    return c.crossJoin(F.broadcast(newest)).select("id", "built_at", (F.col("built_at") < F.col("newest") - F.expr("interval 1 hour")).alias("stale"))  # one row is broadcast
+
+
 QUERIES, SQL = book.queries, book.sql

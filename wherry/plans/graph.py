@@ -9,6 +9,7 @@ from wherry.functions.exprs import folder_of, recency_decay
 from wherry.operators import graph as G
 from wherry.operators import vault as V
 from wherry.plans.book import Book
+from wherry.session import link_key
 
 AS_OF = "2026-06-01"
 #: The most links of a path, as in the reference.
@@ -313,8 +314,6 @@ def agg_stub_candidates(spark, d):
 @add("SELECT name, count(DISTINCT src) AS n_notes FROM (SELECT e.name, l.src FROM (SELECT name, regexp_replace(lower(trim(name)), '\\.md$', '') AS key FROM ents UNION SELECT name, regexp_replace(lower(trim(a)), '\\.md$', '') FROM (SELECT name, unnest(aliases) AS a FROM ents)) e JOIN links l ON l.dst = e.key) GROUP BY 1")
 def agg_entity_backlinks(spark, d):
     """Notes that link to each entity by name or alias."""
-    from wherry.session import link_key
-
     e = V.entities(spark, d)
     keys = e.select("name", F.explode(F.concat(F.array("name"), "aliases")).alias("a")).select("name", link_key("a").alias("dst")).distinct()
     return V.links(spark, d).join(keys, "dst").groupBy("name").agg(F.countDistinct("src").alias("n_notes"))
@@ -345,4 +344,47 @@ def graph_immature(spark, d):
     return m.where(score < 0.5).select("k", F.round(score, 6).alias("maturity"))
 
 
+@add(f"WITH {_ROOT}, {_HOPS}, hp AS (SELECT k, CAST(min(hop) AS INTEGER) AS hop FROM (" + " UNION ALL ".join(f"SELECT k, {i} AS hop FROM h{i}" for i in range(DEPTH + 1)) + ") GROUP BY 1) SELECT a.k, a.hop, min(b.k) AS via FROM hp a LEFT JOIN (SELECT hp.k, hop, dst FROM hp JOIN edges ON src = hp.k) b ON b.dst = a.k AND b.hop = a.hop - 1 GROUP BY 1, 2")
+def graph_shortest_paths(spark, d):
+    """A shortest path from the note with the most links to each note within ten links: the note before it on the way, the smallest key among equals."""
+    from wherry.session import cut
+
+    _, _, e = base(spark, d)
+    e = cut(e)
+    h = cut(G.hops(e, _root(e), DEPTH).select("k", "hop"))
+    before = h.select(F.col("k").alias("src"), (F.col("hop") + 1).alias("hop")).join(e, "src").groupBy(F.col("dst").alias("k"), "hop").agg(F.min("src").alias("via"))
+    return h.join(before, ["k", "hop"], "left").select("k", "hop", "via")
+
+
+@add("SELECT k, n_in, n_out, rank FROM (SELECT k, n_in, n_out, row_number() OVER (ORDER BY n_in + n_out DESC, k) AS rank FROM deg) WHERE rank <= 10")
+def graph_top_degrees(spark, d):
+    """The ten notes with the most links."""
+    n, _, e = base(spark, d)
+    top = G.degrees(e, n).orderBy(F.desc(F.col("n_in") + F.col("n_out")), "k").limit(10)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.col("n_in") + F.col("n_out")), "k"))).select("k", "n_in", "n_out", "rank")  # ten rows
+
+
+_XML = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+@add(f"""WITH en AS (SELECT e.id, e.name, e.category, regexp_replace(lower(trim(e.path)), '\\.md$', '') AS ek FROM ents e WHERE e.name IS NOT NULL), me AS (SELECT src, target_k AS dst, max(weight) AS w FROM res WHERE target_k IS NOT NULL AND src IN (SELECT k FROM notes) GROUP BY 1, 2)
+SELECT 0 AS part, k AS ord, '<node id="' || {_XML.format('k')} || '"><data key="type">note</data><data key="title">' || {_XML.format('title')} || '</data></node>' AS xml FROM notes
+UNION ALL SELECT 1, lpad(CAST(id AS VARCHAR), 12, '0'), '<node id="entity:' || id || '"><data key="type">entity</data><data key="title">' || {_XML.format('name')} || '</data><data key="category">' || {_XML.format("coalesce(category, '')")} || '</data></node>' FROM en
+UNION ALL SELECT 2, src || ' ' || dst, '<edge source="' || {_XML.format('src')} || '" target="' || {_XML.format('dst')} || '"><data key="weight">' || printf('%.3f', w) || '</data></edge>' FROM me
+UNION ALL SELECT 3, lpad(CAST(id AS VARCHAR), 12, '0'), '<edge source="entity:' || id || '" target="' || {_XML.format('ek')} || '"><data key="type">note_of</data></edge>' FROM en WHERE ek IN (SELECT k FROM notes)""")
+def sink_graph_export(spark, d):
+    """The graph for export: notes and entities as typed nodes, links with weights, and each entity's edge to its note. ``operators.graph.GRAPHML_HEAD`` and ``GRAPHML_TAIL`` go around the lines."""
+    n, r, _ = base(spark, d)
+    e = V.entities(spark, d).where("name is not null").withColumn("ek", link_key("path"))
+    x = lambda c: G.escaped(F.col(c) if isinstance(c, str) else c)
+    t = F.concat
+    notes = n.select(F.lit(0).alias("part"), F.col("k").alias("ord"), t(F.lit('<node id="'), x("k"), F.lit('"><data key="type">note</data><data key="title">'), x("title"), F.lit("</data></node>")).alias("xml"))
+    idx = F.lpad(F.col("id").cast("string"), 12, "0")
+    ents = e.select(F.lit(1).alias("part"), idx.alias("ord"), t(F.lit('<node id="entity:'), F.col("id").cast("string"), F.lit('"><data key="type">entity</data><data key="title">'), x("name"), F.lit('</data><data key="category">'), x(F.coalesce("category", F.lit(""))), F.lit("</data></node>")).alias("xml"))
+    w = r.where(F.col("to").isNotNull()).join(n.select(F.col("k").alias("src")), "src", "left_semi").groupBy("src", F.col("to").alias("dst")).agg(F.max("weight").alias("w"))
+    links = w.select(F.lit(2).alias("part"), F.concat_ws(" ", "src", "dst").alias("ord"), t(F.lit('<edge source="'), x("src"), F.lit('" target="'), x("dst"), F.lit('"><data key="weight">'), F.format_string("%.3f", "w"), F.lit("</data></edge>")).alias("xml"))
+    own = e.join(n.select(F.col("k").alias("ek")), "ek", "left_semi").select(F.lit(3).alias("part"), idx.alias("ord"), t(F.lit('<edge source="entity:'), F.col("id").cast("string"), F.lit('" target="'), x("ek"), F.lit('"><data key="type">note_of</data></edge>')).alias("xml"))
+    return notes.unionByName(ents).unionByName(links).unionByName(own)
+
+
 QUERIES, SQL = book.queries, book.sql

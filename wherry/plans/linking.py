@@ -137,4 +137,19 @@ def agg_misroutes(spark, d):
     return q.where(F.col("expected").isNotNull() & ~F.contains("tool", "expected")).groupBy("tool", "expected").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
 
 
+@add(
+    V.VAULT_SQL
+    + """, al AS (SELECT key, min(name) AS name FROM (SELECT regexp_replace(lower(trim(a)), '\\.md$', '') AS key, name FROM (SELECT unnest(aliases) AS a, name FROM ents)) WHERE key <> '' AND key NOT IN (SELECT regexp_replace(lower(trim(name)), '\\.md$', '') FROM ents WHERE name IS NOT NULL) GROUP BY 1),
+m AS (SELECT doc_id, trim(x) AS target FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\[\\[([^\\]|#\\n]+)', 1)) AS x FROM documents WHERE text IS NOT NULL)) SELECT doc_id, target, '[[' || al.name || '|' || target || ']]' AS resolved, count(*) AS n FROM m JOIN al ON al.key = regexp_replace(lower(target), '\\.md$', '') GROUP BY 1, 2, 3"""
+)
+def link_aliases_resolved(spark, d):
+    """Links of documents that name an entity by an alias, with the link to its canonical name that keeps the text. Links are taken out of the texts before anything is shuffled."""
+    e = V.entities(spark, d)
+    names = e.where("name is not null").select(link_key("name").alias("key"))
+    al = e.select(F.explode("aliases").alias("a"), "name").select(link_key("a").alias("key"), "name").where("key <> ''").join(names, "key", "left_anti").groupBy("key").agg(F.min("name").alias("name"))
+    m = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\[\[([^\]|#\n]+)"), 1)).alias("x")).select("doc_id", F.trim("x").alias("target"))
+    m = m.withColumn("key", link_key("target")).join(al, "key")
+    return m.groupBy("doc_id", "target", F.concat(F.lit("[["), "name", F.lit("|"), "target", F.lit("]]")).alias("resolved")).agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES, SQL = book.queries, book.sql

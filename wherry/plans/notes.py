@@ -168,4 +168,21 @@ def scan_structure(spark, d):
     return lines(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_chars"), F.count_if(F.col("line").rlike(r"^[ \t]*[-*+] ")).alias("n_items"), F.count_if(F.startswith("line", F.lit("|"))).alias("n_rows"))
 
 
+@add("""WITH f AS (SELECT doc_id, path, modified, lower(regexp_extract(regexp_replace(path, '(?i)\\.md$', ''), '[^/]*$')) AS title FROM docs WHERE starts_with(path, 'meeting') AND modified >= TIMESTAMP '2024-03-01' AND modified < TIMESTAMP '2026-01-01' AND doc_id IN (SELECT doc_id FROM fields WHERE field = 'status' AND lower(value) IN ('draft', 'active'))
+AND doc_id IN (SELECT doc_id FROM tags WHERE tag IN ('meeting', 'project', 'session', 'review')) AND contains(lower(path), 'e')) SELECT doc_id, path, row_number() OVER (ORDER BY modified DESC, path, doc_id) AS rank, count(*) OVER () AS total FROM f ORDER BY modified DESC, path, doc_id LIMIT 10 OFFSET 2""")
+def filter_find_notes(spark, d):
+    """A page of a combined search: folder, frontmatter, any of several tags, title, span of time, order, with the total. One pass over expressions; only the page and its order are shuffled."""
+    t = docs(spark, d, "path", "modified", "text")
+    status = F.lower(F.trim(F.regexp_extract(M.front(F.col("text")), r"(?mi)^status:(.*)$", 1)))
+    raw = F.regexp_extract(M.front(F.col("text")), r"(?m)^tags:[ \t]*\[?([^\]\n]*)\]?[ \t]*$", 1)
+    tags = F.transform(F.split(raw, ","), lambda x: F.regexp_replace(F.trim(x), r'^["#]+|"+$', ""))
+    span = (F.col("modified") >= F.lit("2024-03-01").cast("timestamp_ntz")) & (F.col("modified") < F.lit("2026-01-01").cast("timestamp_ntz"))
+    hit = F.startswith("path", F.lit("meeting")) & span & status.isin("draft", "active") & F.arrays_overlap(tags, F.array(*[F.lit(x) for x in ("meeting", "project", "session", "review")])) & F.contains(F.lower("path"), F.lit("e"))
+    f = t.where(hit).select("doc_id", "path", "modified")
+    total = f.agg(F.count(F.lit(1)).alias("total"))
+    order = [F.desc("modified"), "path", "doc_id"]
+    page = f.orderBy(*order).limit(12).withColumn("rank", F.row_number().over(Window.orderBy(*order))).where("rank > 2")
+    return page.crossJoin(F.broadcast(total)).select("doc_id", "path", "rank", "total")  # one row is broadcast
+
+
 QUERIES, SQL = book.queries, book.sql
