@@ -175,7 +175,7 @@ def name_hits(docs, entities, share):
 
     e = entities.where(F.length("name") <= 25).select("id", F.posexplode(F.concat(F.array("name"), "aliases")).alias("p", "a")).select("id", "p", words_of(F.col("a")).alias("w")).where("size(w) > 0")
     # as many words as give the share, by the same division that the share is checked with
-    least = F.aggregate(F.sequence(F.lit(1), F.size("w")), F.lit(0), lambda s, i: F.when((s == 0) & (i / F.size("w") >= share), i).otherwise(s))
+    least = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), F.lit(0), lambda s, i: F.when((s == 0) & (i / F.greatest(F.size("w"), F.lit(1)) >= share), i).otherwise(s))
     h = word_hits(docs.select("doc_id", words_of(F.col("text")).alias("words")), "doc_id", e.withColumn("least", least))
     h = h.select("doc_id", "id", F.size("found").alias("hit"), F.size("w").alias("n")).withColumn("ratio", F.col("hit") / F.col("n"))
     best = h.groupBy("doc_id", "id").agg(F.max(F.struct((F.col("hit") * 10 + F.when(F.col("hit") == F.col("n"), 8).otherwise(0)).alias("points"), "ratio")).alias("x"))

@@ -154,10 +154,10 @@ def agg_health_checks(spark, d):
     age = lambda col: age_days(F.col(col), AS_OF)
     rows = [
         ("notes", F.when(F.col("nn") > 0, "ok").otherwise("error"), F.col("nn").cast("double")),
-        ("note_vectors", warn(F.col("v") * 2 < F.col("nn")), F.round(F.col("v") / F.col("nn"), 4)),
-        ("entity_vectors", warn(F.col("w") * 2 < F.col("ne")), F.round(F.col("w") / F.col("ne"), 4)),
-        ("dead_links", warn(F.col("dead") * 5 > F.col("links")), F.round(F.col("dead") / F.col("links"), 4)),
-        ("orphans", warn(F.col("orphans") * 2 > F.col("nn")), F.round(F.col("orphans") / F.col("nn"), 4)),
+        ("note_vectors", warn(F.col("v") * 2 < F.col("nn")), F.round(F.try_divide("v", "nn"), 4)),
+        ("entity_vectors", warn(F.col("w") * 2 < F.col("ne")), F.round(F.try_divide("w", "ne"), 4)),
+        ("dead_links", warn(F.col("dead") * 5 > F.col("links")), F.round(F.try_divide("dead", "links"), 4)),
+        ("orphans", warn(F.col("orphans") * 2 > F.col("nn")), F.round(F.try_divide("orphans", "nn"), 4)),
         ("log_age_days", warn(age("log") > 7), F.round(age("log"), 4)),
         ("cache_age_days", warn(age("cache") > 1), F.round(age("cache"), 4)),
     ]

@@ -94,7 +94,7 @@ def lexical(notes: DataFrame, entities: DataFrame, c: dict, stems: bool) -> Data
         ns, ts, key = names.withColumn("s", F.col("w")), notes.select("k", words.alias("words")), "w"
         plain = None
     share = c["share"]
-    least = F.aggregate(F.sequence(F.lit(1), F.size("x")), F.lit(0), lambda s, i: F.when((s == 0) & (i / F.size("x") >= share), i).otherwise(s))
+    least = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size("x"), F.lit(1))), F.lit(0), lambda s, i: F.when((s == 0) & (i / F.greatest(F.size("x"), F.lit(1)) >= share), i).otherwise(s))
     look = ns.select("id", "p", F.col(key).alias("x"), "w").withColumn("least", least)
     hits = A.word_hits(ts, "k", look.select("id", "p", F.col("x").alias("w"), "least"))
     df = notes.select(F.explode(words).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
@@ -109,7 +109,7 @@ def lexical(notes: DataFrame, entities: DataFrame, c: dict, stems: bool) -> Data
         extra = F.lit(0)
     total = F.aggregate("exact", F.lit(0.0), lambda s, x: s + x["idf"] * c["exact"])
     full = F.when((F.col("p") > 0) & (F.size("exact") == F.size("ws")), 8.0).otherwise(0.0)
-    mean = F.aggregate("ws", F.lit(0.0), lambda s, x: s + x["idf"]) / F.size("ws")
+    mean = F.aggregate("ws", F.lit(0.0), lambda s, x: s + x["idf"]) / F.greatest(F.size("ws"), F.lit(1))
     h = h.select("k", "id", F.round(total + full, 6).alias("lexical"), F.round(F.greatest(extra, F.lit(0)) * mean * c["stem"], 6).alias("stems"))
     return h.groupBy("k", "id").agg(F.max(F.struct((F.col("lexical") + F.col("stems")).alias("s"), "lexical", "stems")).alias("x")).select("k", "id", "x.lexical", "x.stems")
 
@@ -195,7 +195,7 @@ fbb AS (SELECT f.entity, f.folder, CASE WHEN f.n >= 5 THEN CASE WHEN (f.good + 4
 ov AS (SELECT entity, max(suppressed) AS suppressed FROM ({FB._OVER}) GROUP BY 1), off_ AS (SELECT f.entity, f.folder FROM stf f JOIN sta a ON a.entity = f.entity LEFT JOIN ov ON ov.entity = f.entity WHERE CASE WHEN ov.suppressed IS NOT NULL THEN ov.suppressed WHEN (a.good + 4) / (a.good + a.bad + 5) < 0.45 AND a.n >= 15 THEN TRUE ELSE (f.good + 4) / (f.good + f.bad + 5) < 0.45 AND f.n >= 5 END),
 prs AS (SELECT term AS entity, least(6.0, round({_PROMO} * {_HALF.format('last_seen', 60)}, 6) / 10) AS prospect FROM ps WHERE round({_PROMO} * {_HALF.format('last_seen', 60)}, 6) > 5),
 cand AS (SELECT coalesce(lex.k, go.k) AS k, coalesce(lex.id, go.id) AS id, lexical, cooc, seeds FROM lex FULL JOIN (SELECT * FROM go WHERE cooc > 0) go ON go.k = lex.k AND go.id = lex.id),
-wide AS (SELECT c.k, c.id, f.name, f.category, nt.size, coalesce(c.seeds, 0) AS seeds, round(coalesce(lexical, 0) * coalesce(greatest(0.7, least(1.8, ln((tot.n + 1.0) / (edf.df + 1)))), 1.3), 6) AS lexical, {_case(KIND, 'f.category')} AS kind,
+wide AS (SELECT c.k, c.id, f.name, f.category, nt.size, coalesce(c.seeds, 0) AS seeds, round(coalesce(lexical, 0) * CASE WHEN edf.df IS NULL THEN 1.3 ELSE greatest(0.7, least(1.8, ln((tot.n + 1.0) / (edf.df + 1)))) END, 6) AS lexical, {_case(KIND, 'f.category')} AS kind,
   CASE WHEN {_has(CONTEXT_PATHS['daily']).replace('(k,', '(c.k,')} THEN {_case(CONTEXT['daily'], 'f.category')} WHEN {_has(CONTEXT_PATHS['project']).replace('(k,', '(c.k,')} THEN {_case(CONTEXT['project'], 'f.category')} WHEN {_has(CONTEXT_PATHS['tech']).replace('(k,', '(c.k,')} THEN {_case(CONTEXT['tech'], 'f.category')} ELSE 0 END AS context,
   CASE WHEN f.ek IS NULL OR split_part(f.ek, '/', 1) = '' OR split_part(c.k, '/', 1) = '' THEN 0 WHEN split_part(f.ek, '/', 1) = split_part(c.k, '/', 1) THEN CASE WHEN split_part(f.ek, '/', 2) <> '' AND split_part(f.ek, '/', 2) = split_part(c.k, '/', 2) THEN 3 ELSE 2 END WHEN split_part(f.ek, '/', 1) IN ({', '.join(map(repr, GENERIC))}) THEN 0 WHEN split_part(c.k, '/', 1) IN ({', '.join(map(repr, GENERIC))}) THEN -1 ELSE -3 END AS folder,
   coalesce(rec.recency, 0) AS recency, CASE WHEN f.hub_score > 0 THEN least(floor(log2(f.hub_score) * 6 + 0.5) / 10, 4.0) ELSE 0 END AS hub, round(CASE WHEN wg.mean > 1 THEN least((wg.mean - 1) * 2, 4.0) ELSE 0 END, 6) AS edge, coalesce(fbb.feedback, 0) AS feedback, round(coalesce(prs.prospect, 0), 6) AS prospect, coalesce(c.cooc, 0) AS cooc

@@ -68,6 +68,17 @@ def upsert(table: DataFrame, batch: DataFrame, keys: list[str], version: str) ->
     return both.groupBy(*keys).agg(F.max(F.struct(version, *rest)).alias("x")).select(*keys, "x.*")
 
 
+def merge_upsert(table: DataFrame, batch: DataFrame, keys: list[str], greatest: list[str] = (), total: list[str] = (), ranked: dict[str, list[str]] | None = None) -> DataFrame:
+    """An upsert that merges: of each key the greatest value of some columns, the sum of others, and of ``ranked`` ones the value that stands first in its list. Nulls give way; values outside a list come last."""
+    both = table.unionByName(batch)
+    out = [F.max(c).alias(c) for c in greatest] + [F.sum(c).alias(c) for c in total]
+    for c, order in (ranked or {}).items():
+        place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(c))
+        place = F.when(F.col(c).isNull(), len(order) + 2).when(place == 0, len(order) + 1).otherwise(place)
+        out.append(F.min_by(c, F.struct(place, F.col(c))).alias(c))
+    return both.groupBy(*keys).agg(*out)
+
+
 def read_changes(spark: SparkSession, path: str, files_per_trigger: int = 50) -> DataFrame:
     """The change log as a stream of Parquet files."""
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
