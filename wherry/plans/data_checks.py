@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +39,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_tool_results(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of transcripts joined to their own elements through the written child tables, counted by block type and element type."""
-    path = f"{ensure_checkpoint_dir(spark)}/children-{abs(hash(d)) % 10**12}"
+    # one folder for each application and input: a repeated run replaces it
+    path = f"{ensure_checkpoint_dir(spark)}/children-{spark.sparkContext.applicationId}-{zlib.crc32(d.encode())}"
     write_tables(vault_children(table(spark, d, "warmup"), table(spark, d, "vault_index_cache")).distinct(), path)
     blocks = read_child(spark, path, "warmup", "content", "type string, tool_use_id string, name string")
     parts = read_child(spark, path, "warmup", "content.content", "type string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wherry.functions.exprs import cosine, file_stem, recency_decay
+from wherry.functions.exprs import beta_mean, cosine, file_stem, recency_boost, recency_decay
 from wherry.operators import retrieval as R
 from wherry.operators import search as S
 from wherry.operators import vault as V
@@ -279,4 +279,43 @@ def assoc_collapsed_names(spark, d):
     return g.join(e, "term").select("doc_id", "id").distinct()
 
 
+_ACC = "avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END)"
+
+
+@add(
+    f"""WITH ek1 AS (SELECT id, regexp_replace(lower(trim(name)), '\\.md$', '') AS key FROM ents UNION SELECT id, regexp_replace(lower(trim(a)), '\\.md$', '') FROM (SELECT id, unnest(aliases) AS a FROM ents)), ow AS (SELECT key, min(id) AS id FROM ek1 WHERE key <> '' GROUP BY 1), me AS (SELECT DISTINCT src AS note, id AS entity FROM links JOIN ow ON key = dst),
+tt AS (SELECT count(DISTINCT note) AS n FROM me), ed AS (SELECT entity, count(*) AS df FROM me GROUP BY 1), pa AS (SELECT x.entity AS a, y.entity AS b, count(*) AS n FROM me x JOIN me y ON x.note = y.note AND x.entity <> y.entity GROUP BY 1, 2),
+nm AS (SELECT a, b, round(CASE WHEN p.n * 1.0 / tt.n >= 1 THEN 1.0 ELSE greatest(0.0, least(1.0, ln((p.n * 1.0 / tt.n) / ((x.df * 1.0 / tt.n) * (y.df * 1.0 / tt.n))) / -ln(p.n * 1.0 / tt.n))) END, 6) AS v FROM pa p JOIN ed x ON x.entity = a JOIN ed y ON y.entity = b, tt WHERE p.n >= 2),
+rc AS (SELECT entity, CASE WHEN max(modified) >= TIMESTAMP '{AS_OF}' - INTERVAL 1 HOUR THEN 8 WHEN max(modified) >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR THEN 5 WHEN max(modified) >= TIMESTAMP '{AS_OF}' - INTERVAL 72 HOUR THEN 3 WHEN max(modified) >= TIMESTAMP '{AS_OF}' - INTERVAL 168 HOUR THEN 1 ELSE 0 END AS r FROM me JOIN notes ON notes.k = me.note GROUP BY 1),
+fe AS (SELECT f.k, f.rrf, min(e.id) AS id, lower(any_value(n.title)) AS low FROM fused f JOIN notes n ON n.k = f.k LEFT JOIN ents e ON e.name_lower = lower(n.title) GROUP BY 1, 2),
+co AS (SELECT a.k, max(v) AS v FROM fe a JOIN nm ON nm.b = a.id JOIN fe s ON s.id = nm.a AND s.k <> a.k GROUP BY 1),
+fbk AS (SELECT dst AS entity, weight >= 0.5 AS ok, exp(-ln(2) * greatest((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(wt)) / 86400000000.0, 0) / 30) * weight AS w FROM links WHERE wt IS NOT NULL AND weight IS NOT NULL), fs AS (SELECT entity, count(*) AS n, {_ACC} AS acc, (sum(CASE WHEN ok THEN w ELSE 0 END) + 4) / (sum(w) + 5) AS p FROM fbk GROUP BY 1),
+fd AS (SELECT entity, CASE WHEN p < 0.45 THEN floor(-15 * (1 - p / 0.45) + 0.5) WHEN p < 0.55 THEN -5 WHEN acc >= 0.85 AND n >= 5 THEN 10 WHEN acc >= 0.7 AND n >= 3 THEN 6 ELSE 0 END AS f FROM fs), ew AS (SELECT target_k AS k, avg(weight) AS w FROM res WHERE target_k IS NOT NULL AND weight > 1 GROUP BY 1)
+SELECT fe.k, round(rrf + (coalesce(CASE WHEN co.v > 0 THEN least(floor(co.v * 12 * CASE WHEN coalesce(rc.r, 0) > 0 THEN 1.5 ELSE 0.5 END + 0.5), 12) END, 0) + coalesce(rc.r, 0) + coalesce(fd.f, 0) + CASE WHEN ew.w > 1 THEN least((ew.w - 1) * 3, 6) ELSE 0 END) / 50, 6) AS score
+FROM fe LEFT JOIN co ON co.k = fe.k LEFT JOIN rc ON rc.entity = fe.id LEFT JOIN fd ON fd.entity = fe.low LEFT JOIN ew ON ew.k = fe.k"""
+)
+def hybrid_reranked(spark, d):
+    """The fused list re-ranked by what its notes' entities say: co-occurrence with the other hits, recency, feedback, and the mean weight of strong links."""
+    from wherry.plans.feedback import scored, tier
+    from wherry.plans.learning import feedback
+
+    c, r = _channels(spark, d)
+    ent = V.entities(spark, d).groupBy(F.col("name_lower").alias("low")).agg(F.min("id").alias("id"))
+    n = V.notes(spark, d)
+    f = cut(S.fuse(c, "k").select("k", "rrf").join(n.select("k", F.lower("title").alias("low")), "k").join(ent, "low", "left"))
+    m = cut(mentions(spark, d))
+    p = npmi_pairs(m)
+    both = p.select(F.col("a").alias("seed"), F.col("b").alias("id"), "npmi").unionByName(p.select(F.col("b").alias("seed"), F.col("a").alias("id"), "npmi"))
+    hits = f.where("id is not null").select("k", "id")  # a short list
+    go = both.join(F.broadcast(hits.select(F.col("id").alias("seed"), F.col("k").alias("other"))), "seed").join(F.broadcast(hits), "id").where("k <> other").groupBy("k").agg(F.max("npmi").alias("v"))
+    last = m.join(n.select(F.col("k").alias("note"), "modified"), "note").groupBy(F.col("entity").alias("id")).agg(F.max("modified").alias("last")).select("id", recency_boost(F.col("last"), AS_OF).alias("recency"))
+    fb = scored(feedback(spark, d), "entity").select(F.col("entity").alias("low"), tier(beta_mean(F.col("good"), F.col("bad")), F.col("acc"), F.col("n")).alias("feedback"))
+    w = r.where(F.col("to").isNotNull() & (F.col("weight") > 1)).groupBy(F.col("to").alias("k")).agg(F.avg("weight").alias("w"))
+    x = f.join(go, "k", "left").join(last, "id", "left").join(fb, "low", "left").join(w, "k", "left")
+    rec = F.coalesce("recency", F.lit(0))
+    cooc = F.when(F.col("v") > 0, F.least(F.floor(F.col("v") * 12 * F.when(rec > 0, 1.5).otherwise(0.5) + 0.5), F.lit(12))).otherwise(0)
+    edge = F.when(F.col("w") > 1, F.least((F.col("w") - 1) * 3, F.lit(6.0))).otherwise(0.0)
+    return x.select("k", F.round(F.col("rrf") + (cooc + rec + F.coalesce("feedback", F.lit(0)) + edge) / 50, 6).alias("score"))
+
+
 QUERIES, SQL = book.queries, book.sql
