@@ -17,7 +17,13 @@ from wherry.session import table  # noqa: E402
 def test_query(spark, sf, name):
     rows, diff = compare(spark, name, sf)
     assert not diff, diff
-    assert rows > 0 or name in queries.SQL
+    # the recall is measured on the keys whose hash is divisible by 100, of which the smallest tables may have none
+    assert rows > 0 or name in queries.SQL or name == "p3_recall"
+
+
+def test_recall_of_the_index(spark):
+    rows = queries.p3_recall(spark, "/root/testdata/sf0.1").collect()
+    assert rows and all(r["recall_at_5"] >= 0.95 for r in rows)
 
 
 def test_pieces_join_to_the_texts(spark, sf):
