@@ -98,16 +98,14 @@ def components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 50) -> Dat
     """``k, component``: the least key of each connected component, by neighbour minima and pointer jumping to a fixpoint."""
     both = cut(undirected(edges))
     label = nodes.select("k", F.col("k").alias("component"))
-    jump_of = lambda s: s.toDF("component", "c2")
     for _ in range(most_rounds):
         low = both.join(label.toDF("dst", "c"), "dst").groupBy(F.col("src").alias("k")).agg(F.min("c").alias("c"))
-        step = label.join(low, "k", "left").select("k", F.least("component", F.coalesce("c", "component")).alias("component"))
-        step = cut(step)
+        step = cut(label.join(low, "k", "left").select("k", F.col("component").alias("old"), F.least("component", F.coalesce("c", "component")).alias("component")))
         # in the end most notes have one label: a hot key
-        new = cut(hot_join(step, jump_of(step), "component", "left").select("k", F.least("component", F.coalesce("c2", "component")).alias("component")))
-        moved = new.join(label.withColumnRenamed("component", "old"), "k").where(F.col("component") != F.col("old"))
-        label = new
-        if moved.isEmpty():
+        jump = hot_join(step, step.select(F.col("k").alias("component"), F.col("component").alias("c2")), "component", "left")
+        new = cut(jump.select("k", F.least("component", F.coalesce("c2", "component")).alias("component"), "old"))
+        label = new.select("k", "component")
+        if new.where(F.col("component") != F.col("old")).isEmpty():
             return label
     raise RuntimeError(f"components are not settled after {most_rounds} rounds")
 
