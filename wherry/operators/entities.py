@@ -35,8 +35,27 @@ FOLDERS = {
 ORG_WORDS = ["inc", "corp", "llc", "ltd", "team", "group", "co", "company"]
 PLACE_WORDS = ["city", "county", "region", "district", "province"]
 REGIONS = ["eu", "apac", "emea", "latam", "amer"]
-#: Parts of names that make a technology; a default, other lists are passed in.
-TECH = ["api", "code", "azure", "sql", "git", "node", "react", "excel", "endpoint", "typescript", "javascript", "python", "docker", "kubernetes", "aws", "gcp", "terraform", "embedding", "vector", "prompt", "agent", "transformer"]
+#: Parts of names that make a technology (fixed values, a default; other lists are passed in).
+TECH = [
+    "databricks", "api", "code", "azure", "sql", "git", "node", "react", "powerbi", "excel", "copilot", "fabric", "apim", "endpoint", "synology", "tailscale", "obsidian", "claude", "powershell", "mcp", "typescript", "javascript", "python", "docker", "kubernetes", "adf", "adb", "net", "aws", "gcp", "terraform",
+    "chatgpt", "langchain", "openai", "huggingface", "pytorch", "tensorflow", "anthropic", "llm", "embedding", "vector", "rag", "prompt", "agent", "transformer", "ollama", "gemini",
+    "swift", "kotlin", "rust", "golang", "elixir", "scala", "julia", "ruby", "php", "csharp", "ansible", "nginx", "redis", "postgres", "mongodb", "graphql", "grpc", "kafka",
+]
+
+
+def declared_types(extra: dict[str, str] | None = None) -> dict[str, str]:
+    """Categories by declared type: a category or a folder's name, in the plural or the singular; ``extra`` adds a vault's own types and wins."""
+    out: dict[str, str] = {}
+    for cat, names in FOLDERS.items():
+        for n in (cat, *names):
+            for t in (n, n.removesuffix("s"), n[:-3] + "y" if n.endswith("ies") else n):
+                out.setdefault(t, cat)
+    return out | (extra or {})
+
+
+def declared_category(kind: Column, extra: dict[str, str] | None = None) -> Column:
+    """Category of a declared type; null if it stands for none."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in declared_types(extra).items() for x in pair]), F.lower(F.trim(kind)))
 
 
 def is_entity_name(name: Column) -> Column:

@@ -104,15 +104,6 @@ def scan_preview_hash(spark, d):
     return docs(spark, d, "text").select("doc_id", M.preview(b).alias("preview"), F.substring(F.sha2("text", 256), 1, 16).alias("hash"), F.ceil(F.length("text") / 4).cast("long").alias("n_tokens"))
 
 
-@add("SELECT CASE WHEN regexp_matches(t, '^(person|people)$') THEN 'people' WHEN t = 'meeting' THEN 'events' WHEN t IS NOT NULL THEN t WHEN source IN ('tool-docs', 'changelog', 'release-notes') THEN 'technologies' WHEN source IN ('client-notes') THEN 'organizations' ELSE 'other' END AS category, count(*) AS n_docs FROM (SELECT docs.doc_id, source, f.value AS t FROM docs LEFT JOIN (SELECT DISTINCT doc_id, value FROM fields WHERE field = 'type' AND value <> '') f ON f.doc_id = docs.doc_id) GROUP BY 1")
-def scan_categories(spark, d):
-    """Documents by category: declared type first, then folder."""
-    t = docs(spark, d, "source", "text")
-    f = M.fields(t, "doc_id", F.col("text")).where("field = 'type' and value <> ''").select("doc_id", F.col("value").alias("t")).distinct()
-    cat = F.when(F.col("t").rlike("^(person|people)$"), "people").when(F.col("t") == "meeting", "events").when(F.col("t").isNotNull(), F.col("t")).when(F.col("source").isin("tool-docs", "changelog", "release-notes"), "technologies").when(F.col("source") == "client-notes", "organizations").otherwise("other")
-    return t.drop("text").join(f, "doc_id", "left").groupBy(cat.alias("category")).agg(F.count(F.lit(1)).alias("n_docs"))
-
-
 @add("SELECT doc_id FROM docs WHERE doc_id IN (SELECT doc_id FROM fields WHERE field = 'status' AND lower(value) = 'draft') AND doc_id IN (SELECT doc_id FROM tags WHERE lower(tag) IN ('meeting', 'project', 'review')) AND NOT doc_id IN (SELECT doc_id FROM tags WHERE lower(tag) = 'import')")
 def filter_frontmatter_tags(spark, d):
     """Documents by field value, any of several tags, and the absence of one, without regard to case. One pass over expressions, no join."""

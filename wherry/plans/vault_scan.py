@@ -56,6 +56,20 @@ def scan_entity_categories(spark, d):
     return e.select("id", E.category(name, F.col("path")).alias("by_all"), E.category(name, F.lit(None).cast("string")).alias("by_name"))
 
 
+_DECLARED = "CASE lower(trim(t)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in E.declared_types().items()) + " END"
+
+
+@add(f"""WITH x AS (SELECT d.doc_id, d.path, {_NAME.replace('path', 'd.path')} AS name, (SELECT min(value) FROM fields f WHERE f.doc_id = d.doc_id AND field = 'type' AND value <> '') AS t FROM docs d)
+SELECT coalesce({_DECLARED}, {_folder_sql('path')}, {_CAT}) AS category, count(*) AS n_docs FROM x GROUP BY 1""")
+def scan_categories(spark, d):
+    """Documents by category: declared type, folder, form of the name. One pass over expressions."""
+    t = docs(spark, d, "path", "text")
+    kind = F.regexp_extract_all(M.front(F.col("text")), F.lit(r"(?mi)^type:[ \t]*(.+?)[ \t]*$"), 1)
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?i)\.md$", "")
+    cat = E.category(name, F.col("path"), E.declared_category(F.array_min(kind)))
+    return t.groupBy(cat.alias("category")).agg(F.count(F.lit(1)).alias("n_docs"))
+
+
 @add("""WITH p AS (SELECT doc_id, trim(regexp_extract(front, '(?m)^description:\\s*[''"]?(.+?)[''"]?\\s*$', 1)) AS d, regexp_replace(string_split_regex(regexp_replace(body, '^\\s+|\\s+$', '', 'g'), '\\n\\s*\\n')[1], '^\\s+|\\s+$', '', 'g') AS first FROM docs)
 SELECT doc_id, CASE WHEN d <> '' THEN substr(d, 1, 200) ELSE substr(trim(regexp_replace(regexp_replace(first, '(?m)^#+\\s+', '', 'g'), '\\[\\[([^\\]|]+)(?:\\|[^\\]]+)?\\]\\]', '\\1', 'g')), 1, 200) END AS description FROM p WHERE d <> '' OR len(first) >= 10""")
 def scan_descriptions(spark, d):
