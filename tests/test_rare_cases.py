@@ -90,8 +90,12 @@ def test_words_meet_on_the_rarest(spark):
     names = [(i, p, sorted(set(rng.choices(vocab, k=rng.randint(1, 4)) + ["w0"] * (i % 2)))) for i in range(40) for p in range(2)]
     names = [(i, p, w, rng.randint(1, len(w))) for i, p, w in names] + [(99, 0, [], 0), (98, 0, ["w1"], 2)]
     want = {(t, i, p): len(set(ws) & set(w)) for t, ws in texts for i, p, w, least in names if w and 0 < least <= len(w) and len(set(ws) & set(w)) >= least}
-    got = association.word_hits(spark.createDataFrame(texts, "t int, words array<string>"), "t", spark.createDataFrame(names, "id int, p int, w array<string>, least int")).collect()
-    assert {(r["t"], r["id"], r["p"]): len(r["found"]) for r in got} == want and len(got) == len(want)
+    for most in (100_000, 0):
+        got = association.word_hits(spark.createDataFrame([*texts, (900, None)], "t int, words array<string>"), "t", spark.createDataFrame(names, "id int, p int, w array<string>, least int"), most).collect()
+        assert {(r["t"], r["id"], r["p"]): len(r["found"]) for r in got} == want and len(got) == len(want)
+        assert all(set(r["found"]) <= set(r["w"]) for r in got)
+    none = spark.createDataFrame([], "id int, p int, w array<string>, least int")
+    assert association.word_hits(spark.createDataFrame(texts, "t int, words array<string>"), "t", none).count() == 0
 
 
 def test_large_notes_are_tiled(spark):

@@ -88,14 +88,62 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(F.lower(text), F.lit("")), F.lit(r"[\p{L}\p{N}]+"), 0))
 
 
-def word_hits(texts: DataFrame, key: str, names: DataFrame) -> DataFrame:
+#: The most names, and letters of them, that are sent to the tasks.
+MOST_NAMES, MOST_LETTERS = 100_000, 8_000_000
+
+
+def word_hits(texts: DataFrame, key: str, names: DataFrame, most: int = MOST_NAMES) -> DataFrame:
     """``key, id, p, w, least, found``: names ``(id, p, w, least)`` of which at least ``least`` of the words ``w`` stand in a text ``(key, words)``; ``found`` are those.
 
     A text that holds ``least`` of a name's n words holds one of its n - least + 1 rarest, so texts and names meet on those words only and a
-    frequent word of many names joins nothing by itself. What meets is then counted in the text's words that any name has, which is all that
-    is kept of a text. Names without words and those that ask for more words than they have give nothing.
+    frequent word of many names meets nothing by itself. Names without words and those that ask for more words than they have give nothing.
+    Names are counted first: a list of at most ``most`` goes to the tasks as an index by its rarest words and no text is shuffled; a longer one
+    is joined. Both give the same rows.
     """
-    names = names.where((F.size("w") >= F.col("least")) & (F.size("w") > 0) & (F.col("least") > 0)).select("id", "p", "w", "least")
+    names = names.where((F.size("w") >= F.col("least")) & (F.size("w") > 0) & (F.col("least") > 0)).select("id", "p", "w", F.col("least").cast("int").alias("least"))
+    n, letters = names.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.array_join("w", ""))), F.lit(0))).first()
+    if n > most or letters > MOST_LETTERS:
+        return _joined_hits(texts, key, names)
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = [to_arrow_type(names.schema[c].dataType) for c in ("id", "p")]
+    return texts.select(key, "words").mapInArrow(_hits_of([tuple(r) for r in names.collect()], kinds), f"`{key}` {texts.schema[key].dataType.simpleString()}, id {names.schema['id'].dataType.simpleString()}, p {names.schema['p'].dataType.simpleString()}, w array<string>, least int, found array<string>")
+
+
+def _hits_of(rows: list[tuple], kinds: list):
+    """The words of each text looked up in an index of the names by their rarest words."""
+    from collections import Counter
+
+    often = Counter(w for r in rows for w in r[2])
+    index: dict[str, list[int]] = {}
+    for i, (_, _, ws, least) in enumerate(rows):
+        for w in sorted(ws, key=lambda x: (often[x], x))[: len(ws) - least + 1]:
+            index.setdefault(w, []).append(i)
+
+    def run(batches):
+        import pyarrow as pa
+
+        ids, ps = pa.array([r[0] for r in rows], kinds[0]), pa.array([r[1] for r in rows], kinds[1])
+        ws, least = pa.array([list(r[2]) for r in rows], pa.list_(pa.string())), pa.array([r[3] for r in rows], pa.int32())
+        for b in batches:
+            text, name, found = [], [], []
+            for t, words in enumerate(b.column(1).to_pylist()):
+                have = set(words or ())
+                for i in {i for w in have if w in index for i in index[w]}:
+                    hit = [w for w in rows[i][2] if w in have]
+                    if len(hit) >= rows[i][3]:
+                        text.append(t)
+                        name.append(i)
+                        found.append(hit)
+            if name:
+                at = pa.array(name)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text)), ids.take(at), ps.take(at), ws.take(at), least.take(at), pa.array(found, pa.list_(pa.string()))], names=[b.schema.names[0], "id", "p", "w", "least", "found"])
+
+    return run
+
+
+def _joined_hits(texts: DataFrame, key: str, names: DataFrame) -> DataFrame:
+    """The same by joins; of a text only the words that any name has are kept."""
     vocabulary = names.select(F.explode("w").alias("token")).distinct()
     kept = cut(texts.select(key, F.explode("words").alias("token")).join(vocabulary, "token", "left_semi"))
     df = kept.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
