@@ -31,7 +31,7 @@ def strength(edges: DataFrame, tops: DataFrame, tags: DataFrame) -> DataFrame:
 
     ``tops(k, folder)``, ``tags(k, tag)``.
     """
-    e = edges.where(F.col("src") != F.col("dst"))
+    e = cut(edges.where(F.col("src") != F.col("dst")))  # used six times
     pairs = e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "src").groupBy("a", "b").agg(F.when(F.countDistinct("src") == 2, 3.0).otherwise(1.0).alias("link"))
     # of a pair the end with fewer links is spread out and looked up among the other's, so that two hubs cost no more than the smaller one
     n_out = e.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
