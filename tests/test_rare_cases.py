@@ -242,6 +242,17 @@ def test_stemmed_counts_against_a_plain_loop(spark):
     assert got == want and got
 
 
+def test_stems_are_taken_of_distinct_words_only(spark):
+    docs = spark.createDataFrame([(1, "Digests digested, indexing index"), (1, "digest"), (2, "none"), (3, None), (4, "digest digest")], "doc_id int, text string")
+    p = search.postings(docs, "doc_id", "text")
+    v = search.stem_words(p.select(F.col("term").alias("word")).distinct()).where(F.col("stem").isin("digest"))
+    plan = p.join(v, p["term"] == v["word"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("MapInArrow") == 1
+    got = {tuple(r) for r in search.stemmed_counts(docs, "doc_id", "text", ["digest", "index", "nowhere"]).collect()}
+    assert got == {(1, 5, 2), (4, 2, 1)}
+    assert search.stemmed_counts(docs, "doc_id", "text", ["nowhere"]).collect() == []
+
+
 def test_the_entry_survives_a_missing_package(monkeypatch):
     import importlib
 

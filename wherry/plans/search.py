@@ -126,12 +126,8 @@ def search_dates(spark, d):
 
 @add()
 def search_stemmed(spark, d):
-    """Documents by stemmed terms: the distinct vocabulary is stemmed once and joined back."""
-    p = S.postings(table(spark, d, "documents"), "doc_id", "text")
-    vocab = S.stem_words(p.select(F.col("term").alias("word")).distinct())
-    stems = [S.porter(t) for t in TERMS]
-    wanted = vocab.where(F.col("stem").isin(*stems))
-    return p.join(wanted, p["term"] == wanted["word"]).groupBy("doc_id").agg(F.sum("tf").alias("tf"), F.countDistinct("stem").alias("n_terms"))
+    """Documents by stemmed terms: the distinct vocabulary is stemmed once, the words with a stem of the query are counted in each text."""
+    return S.stemmed_counts(table(spark, d, "documents"), "doc_id", "text", [S.porter(t) for t in TERMS])
 
 
 _EMB = "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
