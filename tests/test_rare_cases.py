@@ -253,6 +253,21 @@ def test_stems_are_taken_of_distinct_words_only(spark):
     assert search.stemmed_counts(docs, "doc_id", "text", ["nowhere"]).collect() == []
 
 
+def test_weak_pairs_meet_no_note(spark, sf):
+    import __spark_entry__ as e
+
+    pairs = spark.createDataFrame([(1, 2, 0.31), (1, 3, 0.30), (2, 3, 0.95), (3, 4, 0.0), (4, 5, 1.0)], "a int, b int, npmi double")
+    up = spark.createDataFrame([(1, True), (2, False), (3, None), (5, True)], "entity int, up boolean")
+    want = set()
+    for a, b, v in [tuple(r) for r in pairs.collect()]:
+        for seed, entity in ((a, b), (b, a)):
+            boost = min(math.floor(v * 12 * (1.5 if entity in (1, 5) else 0.5) + 0.5), 12)
+            want |= {(seed, entity, boost)} if boost >= 6 else set()
+    assert {tuple(r) for r in association.strong_pairs(pairs, up, 6).collect()} == want == {(2, 1, 6), (2, 3, 6), (3, 2, 6), (4, 5, 12), (5, 4, 6)}
+    plan = e.queries()["assoc_note_boosts"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "max(boost" in plan and "max(npmi" not in plan
+
+
 def test_the_entry_survives_a_missing_package(monkeypatch):
     import importlib
 

@@ -29,6 +29,17 @@ def adamic_adar(mentions: DataFrame, most: int = 200, piece: int = 2000) -> Data
     return pairs.unionByName(wide).groupBy("a", "b").agg(F.round(F.sum("w"), 6).alias("weight"), F.count(F.lit(1)).alias("n"))
 
 
+def strong_pairs(pairs: DataFrame, rising: DataFrame, least: int) -> DataFrame:
+    """``seed, entity, boost``: both directions of ``pairs(a, b, npmi)`` whose boost is at least ``least``: mutual information times 12, half as much again for entities of ``rising(entity, up)``, else half, rounded, at most 12.
+
+    The boost grows with the mutual information, so over several seeds the greatest boost is that of the greatest; what is left out here can't
+    reach ``least`` in any note and needn't meet one.
+    """
+    both = pairs.select(F.col("a").alias("seed"), F.col("b").alias("entity"), "npmi").unionByName(pairs.select(F.col("b").alias("seed"), F.col("a").alias("entity"), "npmi"))
+    boost = F.least(F.floor(F.col("npmi") * 12 * F.when(F.col("up"), 1.5).otherwise(0.5) + 0.5), F.lit(12)).cast("int")
+    return both.join(rising, "entity", "left").select("seed", "entity", boost.alias("boost")).where(F.col("boost") >= least)
+
+
 def co_retrieval(reads: DataFrame, as_of: str, days: float = 7.0, most: int = 50, piece: int = 2000) -> DataFrame:
     """``a, b, weight``: notes read in the same session, 1/ln(n) per session of n notes, halved every ``days``. ``reads(session, note, at)``.
 

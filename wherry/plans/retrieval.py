@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wherry.functions.exprs import beta_mean, cosine, file_stem, recency_boost, recency_decay
+from wherry.operators import association as A
 from wherry.operators import retrieval as R
 from wherry.operators import search as S
 from wherry.operators import vault as V
@@ -239,16 +240,16 @@ SELECT c.note, c.entity, CAST(least(floor(c.v * 12 * CASE WHEN rc.recent THEN 1.
     common=False,
 )
 def assoc_note_boosts(spark, d):
-    """Entities that a note doesn't mention and that go with those it does: the greatest mutual information over its seeds times 12, more for recent ones, 6 to 12."""
+    """Entities that a note doesn't mention and that go with those it does: the greatest mutual information over its seeds times 12, more for recent ones, 6 to 12.
+
+    Pairs that are too weak for any note are dropped before notes come in.
+    """
     n = V.notes(spark, d).select(F.col("k").alias("note"), "modified")
     m = cut(mentions(spark, d))
-    pairs = npmi_pairs(m)
-    both = pairs.select(F.col("a").alias("seed"), F.col("b").alias("entity"), "npmi").unionByName(pairs.select(F.col("b").alias("seed"), F.col("a").alias("entity"), "npmi"))
-    rec = m.join(n, "note").groupBy("entity").agg((F.max("modified") >= F.lit(AS_OF).cast("timestamp_ntz") - F.expr("interval 168 hours")).alias("recent"))
-    c = m.withColumnRenamed("entity", "seed").join(both, "seed").groupBy("note", "entity").agg(F.max("npmi").alias("v")).where("v > 0")
-    x = c.join(m, ["note", "entity"], "left_anti").join(rec, "entity", "left")
-    boost = F.least(F.floor(F.col("v") * 12 * F.when(F.col("recent"), 1.5).otherwise(0.5) + 0.5), F.lit(12)).cast("int")
-    return x.select("note", "entity", boost.alias("boost")).where("boost >= 6")
+    rec = m.join(n, "note").groupBy("entity").agg((F.max("modified") >= F.lit(AS_OF).cast("timestamp_ntz") - F.expr("interval 168 hours")).alias("up"))
+    strong = A.strong_pairs(npmi_pairs(m), rec, 6)
+    c = m.withColumnRenamed("entity", "seed").join(strong, "seed").groupBy("note", "entity").agg(F.max("boost").alias("boost"))
+    return c.join(m, ["note", "entity"], "left_anti").select("note", "entity", "boost")
 
 
 @add("""WITH r AS (SELECT user_id || '-' || CAST(ts AS DATE) AS session, CAST(json_extract_string(props, '$.k') AS BIGINT) AS note, ts FROM events), s AS (SELECT session, list_sort(list(DISTINCT note)) AS es, max(ts) AS at_ FROM r GROUP BY 1 HAVING count(DISTINCT note) >= 2),
