@@ -253,6 +253,26 @@ def test_stems_are_taken_of_distinct_words_only(spark):
     assert search.stemmed_counts(docs, "doc_id", "text", ["nowhere"]).collect() == []
 
 
+def test_many_queries_are_ranked_as_a_few(spark, sf):
+    import __spark_entry__ as e
+
+    rng = random.Random(5)
+    word = lambda: f"w{min(int(rng.expovariate(0.08)), 150)}"
+    docs = [(i, " ".join(word() for _ in range(rng.randint(0, 30)))) for i in range(700)]
+    asks = [(i, word()) for i in range(300) for _ in range(rng.randint(1, 5))] + [(300, "w0"), (301, "nowhere"), (302, "w0"), (302, "only"), (303, "only")]
+    docs += [(700, "only"), (701, ""), (702, "w0 w0"), (703, "w0 w0"), (704, None)]
+    texts = spark.createDataFrame(docs, "id long, text string")
+    queries = spark.createDataFrame(asks, "query_id long, term string")
+    want = {(r["query_id"], r["rank"]): (r["id"], round(r["score"], 5)) for r in search.bm25_batch(texts, "id", "text", queries, 4).collect()}
+    x = texts.select("id", F.size(search.words(F.col("text"))).alias("dl"), search.keep_known(queries)(search.words(F.col("text"))).alias("kept"))
+    for shard, block in ((10_000, 10_000), (150, 70)):
+        got = {(r["query_id"], r["rank"]): (r["id"], round(r["score"], 5)) for r in search.bm25_many(x, queries, 4, shard=shard, block=block).collect()}
+        assert got == want and len(want) > 1000
+    # before, contents and all pairs of titles and notes with a word in common were shuffled
+    plan = e.queries()["eval_retrieval"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "content" not in plan and "MapInArrow" in plan
+
+
 def test_weak_pairs_meet_no_note(spark, sf):
     import __spark_entry__ as e
 
