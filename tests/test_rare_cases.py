@@ -273,6 +273,21 @@ def test_many_queries_are_ranked_as_a_few(spark, sf):
     assert "content" not in plan and "MapInArrow" in plan
 
 
+def test_only_candidates_meet_pairs(spark, sf, monkeypatch):
+    from wherry.plans import suggestion
+
+    pairs = spark.createDataFrame([(1, 2, 0.4), (1, 3, 0.2), (2, 3, 0.9), (4, 5, 1.0)], "a long, b long, npmi double")
+    own = spark.createDataFrame([(10, 1), (10, 2), (11, 4)], "k long, id long")
+    ask = spark.createDataFrame([(10, 3), (10, 5), (11, 5), (12, 3)], "k long, id long")
+    assert {tuple(r) for r in suggestion.cooc(ask, own, pairs).collect()} == {(10, 3, 0.9, 2), (11, 5, 1.0, 1)}
+    asked = []
+    real = suggestion.cooc
+    monkeypatch.setattr(suggestion, "cooc", lambda c, m, p: asked.append((c.count(), c.distinct().count(), c.dtypes[0][1])) or real(c, m, p), raising=False)
+    suggestion.note_suggestions(spark, sf, disabled=("stems",))
+    # once each and by number; before, every mention met every pair of its entity under the note's path
+    assert len(asked) == 1 and asked[0][0] == asked[0][1] > 0 and asked[0][2] == "bigint"
+
+
 def test_weak_pairs_meet_no_note(spark, sf):
     import __spark_entry__ as e
 

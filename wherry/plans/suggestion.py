@@ -100,7 +100,9 @@ def lexical(notes: DataFrame, entities: DataFrame, c: dict, stems: bool) -> Data
     df = notes.select(F.explode(words).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     used = ns.select(F.explode("w").alias("t")).distinct().join(df, "t", "left").crossJoin(F.broadcast(n_all)).select("t", idf_clamped(F.coalesce("df", F.lit(0)), F.col("total"), 0.5, 2.5).alias("idf"))
     weighted = ns.select("id", "p", F.explode("w").alias("t")).join(used, "t").groupBy("id", "p").agg(F.collect_list(F.struct("t", "idf")).alias("ws"))
-    h = hits.select("k", "id", "p", "found", F.size("w").alias("n")).join(weighted, ["id", "p"])
+    # as many names as go to the tasks for the hits take their weights there, and no hit is shuffled for them
+    few = names.count() <= A.MOST_NAMES
+    h = hits.select("k", "id", "p", "found").join(F.broadcast(weighted) if few else weighted, ["id", "p"])
     if plain is not None:
         h = h.join(plain, "k").withColumn("exact", F.filter("ws", lambda x: F.array_contains("plain", x["t"]))).drop("plain")
         extra = F.size("found") - F.size("exact")
@@ -114,6 +116,13 @@ def lexical(notes: DataFrame, entities: DataFrame, c: dict, stems: bool) -> Data
     return h.groupBy("k", "id").agg(F.max(F.struct((F.col("lexical") + F.col("stems")).alias("s"), "lexical", "stems")).alias("x")).select("k", "id", "x.lexical", "x.stems")
 
 
+def cooc(candidates: DataFrame, mentions_: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``k, id, v, seeds``: for candidates ``(k, id)`` the greatest mutual information with what stands in the note and how much of that goes with it."""
+    both = pairs.select(F.col("a").alias("seed"), F.col("b").alias("id"), "npmi").unionByName(pairs.select(F.col("b").alias("seed"), F.col("a").alias("id"), "npmi"))
+    met = candidates.join(mentions_.withColumnRenamed("id", "seed"), "k").join(both, ["seed", "id"])
+    return met.groupBy("k", "id").agg(F.max("npmi").alias("v"), F.count(F.lit(1)).alias("seeds"))
+
+
 def note_suggestions(spark, d, strictness: str = "balanced", disabled: tuple[str, ...] = ()) -> DataFrame:
     """``k, id``, a column for each layer, ``total``: candidates of every note that pass all gates. A layer named in ``disabled`` counts 0.
 
@@ -122,21 +131,25 @@ def note_suggestions(spark, d, strictness: str = "balanced", disabled: tuple[str
     """
     c = STRICTNESS[strictness]
     content = F.coalesce("content", F.lit(""))
-    notes = cut(V.notes(spark, d, tokens=tokens_of(content), size=F.length(content)).select("k", "top", "tokens", "size"))
+    notes = cut(V.notes(spark, d, tokens=tokens_of(content), size=F.length(content)).select(F.col("k").alias("path_key"), "top", "tokens", "size", F.monotonically_increasing_id().alias("k")))
     e = fits(V.entities(spark, d)).select("id", "name", "aliases", "category", link_key("path").alias("path"), link_key("name").alias("entity"), "hub_score")
-    m = cut(mentions(spark, d).withColumnRenamed("note", "k").withColumnRenamed("entity", "id"))
-    words = lexical(notes, e, c, "stems" not in disabled)
-    total = m.agg(F.countDistinct("k").alias("total"))
-    rarity = m.groupBy("id").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total)).select("id", idf_clamped(F.col("df"), F.col("total"), 0.7, 1.8).alias("rarity"))
+    m = cut(mentions(spark, d))
+    # notes go by number until the end; what stands in no note of the table counts in the statistics alone
+    own = cut(m.join(notes.select(F.col("path_key").alias("note"), "k"), "note").select("k", F.col("entity").alias("id")))
+    words = cut(lexical(notes.select("k", "tokens"), e, c, "stems" not in disabled).join(own, ["k", "id"], "left_anti"))
+    total = m.agg(F.countDistinct("note").alias("total"))
+    rarity = m.groupBy(F.col("entity").alias("id")).agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total)).select("id", idf_clamped(F.col("df"), F.col("total"), 0.7, 1.8).alias("rarity"))
     from wherry.plans.association import npmi_pairs
 
-    pairs = npmi_pairs(m.toDF("note", "entity")).where("npmi > 0")
-    both = pairs.select(F.col("a").alias("seed"), F.col("b").alias("id"), "npmi").unionByName(pairs.select(F.col("b").alias("seed"), F.col("a").alias("id"), "npmi"))
-    last = m.join(V.notes(spark, d).select("k", "modified"), "k").groupBy("id").agg(F.max("modified").alias("last"))
-    recent = last.select("id", recency_boost(F.col("last"), AS_OF).alias("recency"))
-    go = m.withColumnRenamed("id", "seed").join(both, "seed").groupBy("k", "id").agg(F.max("npmi").alias("v"), F.count(F.lit(1)).alias("seeds"))
+    pairs = cut(npmi_pairs(m).where("npmi > 0"))
+    last = m.join(V.notes(spark, d).select(F.col("k").alias("note"), "modified"), "note").groupBy(F.col("entity").alias("id")).agg(F.max("modified").alias("last"))
+    recent = cut(last.select("id", recency_boost(F.col("last"), AS_OF).alias("recency")))
+    # only what has words or a pair at the gate can be admitted, so nothing else meets a note's pairs
+    strong = A.strong_pairs(pairs, recent.select(F.col("id").alias("entity"), (F.col("recency") > 0).alias("up")), c["gate"])
+    gated = own.withColumnRenamed("id", "seed").join(strong.withColumnRenamed("entity", "id"), "seed").select("k", "id").distinct().join(own, ["k", "id"], "left_anti")
+    go = cooc(words.select("k", "id").unionByName(gated).distinct(), own, pairs)
     go = go.join(recent, "id", "left").select("k", "id", "seeds", F.least(F.floor(F.col("v") * 12 * F.when(F.coalesce("recency", F.lit(0)) > 0, 1.5).otherwise(0.5) + 0.5), F.lit(12)).alias("cooc")).where("cooc > 0")
-    x = words.join(go, ["k", "id"], "full_outer").join(m, ["k", "id"], "left_anti").join(e.drop("aliases"), "id").join(notes.select("k", "top", "size"), "k")
+    x = words.join(go, ["k", "id"], "full_outer").join(e.drop("aliases"), "id").join(notes.select("k", "path_key", "top", "size"), "k").drop("k").withColumnRenamed("path_key", "k")
     edges = V.links(spark, d).where("weight > 1").groupBy(F.col("dst").alias("entity")).agg(F.avg("weight").alias("mean"))
     fb = FB.learn_boosts_by_folder(spark, d).select("entity", F.col("folder").alias("top"), F.col("boost").alias("feedback"))
     off = FB.learn_is_suppressed(spark, d).where("suppressed").select("entity", F.col("folder").alias("top"))
