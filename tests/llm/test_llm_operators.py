@@ -504,3 +504,27 @@ def test_extra_columns_with_clashing_names(spark):
     assert splitting.pieces(splitting.newest_oversized(notes), "path", "content").count() >= 2
     w = spark.createDataFrame([(1, "r", 1, "user", "s1", "u1", json.dumps({"content": "hi"}), 5, "x"), (2, "r", 2, "assistant", "s1", "u2", json.dumps({"id": "m", "content": [{"type": "text", "text": "yo"}]}), 6, "y")], "line_id long, run string, line_no int, type string, session_id string, uuid string, message string, node int, root string")
     assert [r["msg_key"] for r in conversations.build(w).where("whole").orderBy("turn_no").collect()] == ["u1", "m"]
+
+
+# ---- training on every labelled text ----------------------------------------------------------------------------------------------------
+
+
+def test_every_labelled_text_is_trained_on(spark):
+    rows = [(i, f"Zdanie numer {i} bez niczego.", "PL ") for i in range(600)]
+    order = [r["i"] for r in spark.createDataFrame([(r[0],) for r in rows], "i long").orderBy(F.xxhash64("i")).collect()]
+    rows += [(1000 + i, "Die lange Straße\n" * 2000, "de") for i in range(2)] + [(2000, "Ни слова", "xx"), (2001, None, "de")]
+    late = set(order[300:])
+    rows = [(i, t + " Dłużej." if i in late else t, k) for i, t, k in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = encoding.train(encoding.sample(df, "doc_id", "text", "lang"))
+    assert {c for c in m.alphabet if c > "\xa0"} == set("łżß") and set(m.dicts) == {"pl", "de"}
+
+
+def test_long_languages_are_condensed_and_garbled_ids_are_those_of_garbled(spark, monkeypatch):
+    monkeypatch.setattr(encoding, "SHARD_BYTES", 20_000)
+    monkeypatch.setattr(encoding, "CONDENSED_BYTES", 4_096)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    m = encoding.train(encoding.sample(docs, "doc_id", "text", "lang"))
+    assert set(m.dicts) == set(encoding.LANGUAGES) and encoding.restore("WÃ¤hrend der PrÃ¼fung", m)[0] == "Während der Prüfung"
+    ids = sorted(r["doc_id"] for r in encoding.garbled_ids(docs, model=m).collect())
+    assert ids == sorted(r["doc_id"] for r in encoding.garbled(docs, model=m).collect()) != []

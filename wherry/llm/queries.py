@@ -129,7 +129,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a passage read with a wrong encoding."""
-    return encoding.garbled(table(spark, d, "documents"), with_text=False).select("doc_id").distinct()
+    return encoding.garbled_ids(table(spark, d, "documents")).distinct()
 
 
 def p10_restored(spark: SparkSession, d: str) -> DataFrame:
