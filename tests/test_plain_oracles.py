@@ -73,6 +73,19 @@ def test_centrality(spark, sf, vault):
         assert abs(got[k]["betweenness"] - between[k] / ((n - 1) * (n - 2))) < 2e-6 and abs(got[k]["closeness"] - close[k]) < 2e-6
 
 
+def test_centrality_in_the_tasks_and_by_joins(spark, monkeypatch):
+    monkeypatch.setattr(graph.G, "BLOCK", 60)  # blocks of a few sources
+    star = [("hub", f"s{i:02d}") for i in range(12)] + [("s00", "s01"), ("s03", "p00"), ("s04", "p00"), ("x", "x"), ("y", "z"), ("z", "y")]
+    links = star + [(f"p{i:02d}", f"p{i + 1:02d}") for i in range(6)]
+    nodes = spark.createDataFrame([(k,) for k in sorted({k for e in links for k in e} | {"alone"})], "k string")
+    rows = lambda edges, **how: {r["k"]: (r["betweenness"], r["closeness"]) for r in graph.G.centrality(edges, nodes, **how).collect()}
+    edges = spark.createDataFrame(links, "src string, dst string")
+    got, by_joins = rows(edges), rows(edges, most_pairs=0)
+    assert got.keys() == by_joins.keys() and all(abs(a - b) < 2e-6 for k in got for a, b in zip(got[k], by_joins[k]))
+    assert got["alone"] == got["x"] == (0.0, 0.0) and got["y"] == (0.0, 1.0) and got["hub"][0] > 0.1 and got["p06"][1] > 0
+    assert set(rows(edges.limit(0)).values()) == {(0.0, 0.0)}
+
+
 @pytest.fixture(scope="module")
 def mentions(spark):
     """Whole-word mentions outside closed zones by a search for every pattern, the longest first."""
